@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, packing, spm, toxicity, urlfilter
+from . import ann, knn, langid, packing, simhash, spm, toxicity, urlfilter
 from .common import table
 
 
@@ -29,10 +30,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.label_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.label_languages(table(spark, sf_dir, "documents"))
 
@@ -41,16 +50,24 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, floor_scale=256.0)
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
+        "op3_simhash": op3_simhash,
         "op4_toxicity": op4_toxicity,
         "op5_sentencepiece": op5_sentencepiece,
+        "op6_nearest": op6_nearest,
         "op7_language_id": op7_language_id,
         "op8_url_filter": op8_url_filter,
+        "op9_top_k": op9_top_k,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": urlfilter.oracle()}
+    return {"op8_url_filter": urlfilter.oracle(), "op9_top_k": knn.oracle()}
