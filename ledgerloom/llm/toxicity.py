@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc32_mod
+from .common import chunks, crc32_mod, materialize
 from .ngrams import letters, ngram_hashes
 
 #: Letters (and word edges) in a feature.
@@ -35,6 +35,8 @@ GRAM = 5
 FIT_ROWS, FEATURES = 3_000, 1_024
 #: A feature must be in this many labelled rows.
 MIN_ROWS = 4
+#: N-grams are many: this chi-squared on one degree of freedom leaves few by chance.
+MIN_CHI = 20
 #: Nearest examples that vote, and examples in a block of the index.
 NEIGHBOURS, BLOCK = 15, 64
 #: Scores from here on are predicted toxic.
@@ -47,8 +49,8 @@ class ToxicIndex:
     #: sorted hashes of the features, and each one's IDF
     grams: np.ndarray
     idf: np.ndarray
-    #: for each feature: which examples have it, with which weights (unit vectors)
-    postings: tuple[tuple[np.ndarray, np.ndarray], ...]
+    #: features x blocks x BLOCK: the weights of each feature in each block's examples (unit vectors)
+    postings: np.ndarray
     #: features x blocks: the largest weight of the feature in the block
     block_max: np.ndarray
     labels: np.ndarray
@@ -78,7 +80,11 @@ def feature_counts(grams: np.ndarray, texts: list[str | None]) -> tuple[np.ndarr
 
 def vectors(grams: np.ndarray, idf: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, feature, weight) of the texts' unit TF-IDF vectors."""
-    doc, feature, n = feature_counts(grams, texts)
+    parts = []
+    for first in range(0, len(texts), 256):
+        part = feature_counts(grams, texts[first : first + 256])
+        parts.append((part[0] + first, *part[1:]))
+    doc, feature, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
     w = (1 + np.log(np.maximum(n, 1))) * idf[feature]
     norm = np.sqrt(np.bincount(doc, w * w, minlength=len(texts)))
     return doc, feature, w / np.maximum(norm[doc], 1e-12)
@@ -88,25 +94,24 @@ def nearest(index: ToxicIndex, feature: np.ndarray, weight: np.ndarray, k: int,
     """The exact k nearest examples of one vector: their numbers and cosines, nearest first.
 
     ``skip`` is an example that doesn't count (when an example is its own query).
+    Blocks are taken in the order of their bounds, a few more each time, until
+    no other block can hold a nearer example.
     """
     bound = weight @ index.block_max[feature]
     order = np.argsort(-bound, kind="stable")
-    n = len(index.labels)
+    order = order[bound[order] > 0]
     near, score = np.zeros(0, np.int64), np.zeros(0)
-    spans = [index.postings[f] for f in feature]
-    for block in order:
-        if bound[block] <= 0 or len(near) == k and bound[block] < score[-1] - 1e-12:
-            break
-        low, high = block * BLOCK, min(n, (block + 1) * BLOCK)
-        got = np.zeros(high - low)
-        for (rows, values), w in zip(spans, weight, strict=True):
-            a, b = np.searchsorted(rows, (low, high))
-            got[rows[a:b] - low] += w * values[a:b]
-        own = np.flatnonzero(got > 0) + low
-        own = own[own != skip]
-        near, score = np.append(near, own), np.append(score, got[own - low])
+    done, step = 0, 2
+    while done < len(order) and not (len(near) == k and bound[order[done]] < score[-1] - 1e-9):
+        some = order[done : done + step]
+        got = np.tensordot(weight, index.postings[feature[:, None], some[None, :]].astype(np.float64), 1)
+        own = (some[:, None] * BLOCK + np.arange(BLOCK)[None, :]).ravel()
+        got = got.ravel()
+        use = (got > 0) & (own != skip)
+        near, score = np.append(near, own[use]), np.append(score, got[use])
         best = np.lexsort((near, -score))[:k]
         near, score = near[best], score[best]
+        done, step = done + step, 2 * step
     return near, score
 
 
@@ -142,30 +147,36 @@ def fit_rows(docs: DataFrame, labels: DataFrame, per_label: int = FIT_ROWS) -> D
     share = F.lit(0.0)
     for label, n in sizes.items():
         share = F.when(F.col("toxic") == label, F.lit(min(1.0, per_label / n))).otherwise(share)
-    return docs.select("doc_id", "text").join(known.where(draw < share), "doc_id")
+    # bounded by per_label, so it may be broadcast; the documents stay where they are
+    return docs.select("doc_id", "text").join(F.broadcast(known.where(draw < share)), "doc_id")
 
 
-def choose_features(rows: list, features: int = FEATURES) -> np.ndarray:
-    """Hashes of the n-grams that toxic rows have and others lack, by chi-squared."""
-    texts, toxic = [r.text for r in rows], np.array([r.toxic for r in rows])
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for first in range(0, len(texts), 256):
-        points, doc, _ = letters(texts[first : first + 256])
-        h, of = ngram_hashes(points, doc, GRAM)
-        pairs = np.unique(np.rec.fromarrays([h, of]))
-        label = toxic[first + pairs.f1.astype(np.int64)]
-        for y in (0, 1):
-            found.append((pairs.f0[label == y], np.full(np.sum(label == y), y)))
-    grams, same = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
-    label = np.concatenate([x[1] for x in found])
-    a, b = np.bincount(same, label == 1, len(grams)), np.bincount(same, label == 0, len(grams))
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    p, p1, p0 = (a + b) / (n1 + n0), a / n1, b / n0
-    chi = np.where((a + b >= MIN_ROWS) & (p1 > p0), (p1 - p0) ** 2 / np.maximum(p * (1 - p), 1e-12), 0)
-    # n-grams are many: 20 on one degree of freedom leaves few by chance
-    chi = np.where(chi * n1 * n0 / (n1 + n0) >= 20, chi, 0)
-    best = np.lexsort((grams, -chi))[:features]
-    return np.sort(grams[best[chi[best] > 0]])
+def choose_features(rows: DataFrame, features: int = FEATURES) -> np.ndarray:
+    """Hashes of the n-grams that toxic ones of the labelled (text, toxic) rows have and others lack, by chi-squared."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, _ in chunks(batches, "text"):
+            points, doc, _ = letters(batch.column("text").to_pylist())
+            h, of = ngram_hashes(points, doc, GRAM)
+            order = np.lexsort((of, h))
+            h, of = h[order], of[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+            h, label = h[new], batch.column("toxic").to_numpy()[of[new]]
+            grams, same = np.unique(h, return_inverse=True)
+            a, n = np.bincount(same, label == 1, len(grams)).astype(np.int64), np.bincount(same, minlength=len(grams))
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(a), pa.array(n - a)], ["gram", "a", "b"])
+
+    sizes = rows.agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")).first()
+    n1, n0 = max(1, sizes.n1 or 0), max(1, sizes.n0 or 0)
+    p, p1, p0 = (F.col("a") + F.col("b")) / (n1 + n0), F.col("a") / n1, F.col("b") / n0
+    chi = (p1 - p0) ** 2 / (p * (1 - p) + 1e-12) * (n1 * n0 / (n1 + n0))
+    counts = rows.select("text", "toxic").mapInArrow(count, "gram long, a long, b long").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    best = (
+        counts.where((F.col("a") + F.col("b") >= MIN_ROWS) & (p1 > p0)).withColumn("chi", chi)
+        .where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "gram").limit(features)
+    )
+    return np.sort(np.array([r.gram for r in best.select("gram").collect()], np.int64).view(np.uint64))
 
 
 def document_frequencies(docs: DataFrame, grams: np.ndarray) -> tuple[np.ndarray, int]:
@@ -191,24 +202,21 @@ def document_frequencies(docs: DataFrame, grams: np.ndarray) -> tuple[np.ndarray
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = FIT_ROWS) -> ToxicIndex:
     """The calibrated index; the driver holds at most about 2 x ``per_label`` labelled rows."""
-    rows = sorted(fit_rows(docs, labels, per_label).collect(), key=lambda r: (r.doc_id, r.text or ""))
+    fit = materialize(fit_rows(docs, labels, per_label), "labelled")
+    grams = choose_features(fit)
+    rows = sorted(fit.collect(), key=lambda r: (r.doc_id, r.text or ""))
     toxic = np.array([r.toxic for r in rows], np.int64)
-    grams = choose_features(rows) if len(rows) else np.zeros(0, np.uint64)
     df, n = document_frequencies(docs, grams) if len(grams) else (np.zeros(0, np.int64), 0)
     idf = np.log((1 + n) / (1 + df)) + 1
     doc, feature, weight = vectors(grams, idf, [r.text for r in rows])
-    # balance the labels again: the fit took a larger share of the rarer one
     some = np.unique(doc)
     without = np.setdiff1d(np.arange(len(rows)), some)
     number = np.full(len(rows), -1)
     number[some] = np.arange(len(some))
     label = toxic[some]
-    by = np.lexsort((number[doc], feature))
-    cuts = np.searchsorted(feature[by], np.arange(len(grams) + 1))
-    at, value = number[doc][by], weight[by]
-    postings = tuple((at[a:b], value[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-    block_max = np.zeros((len(grams), -(-len(some) // BLOCK)))
-    np.maximum.at(block_max, (feature, number[doc] // BLOCK), weight)
+    postings = np.zeros((len(grams), -(-len(some) // BLOCK), BLOCK), np.float32)
+    postings[feature, number[doc] // BLOCK, number[doc] % BLOCK] = weight
+    block_max = postings.max(axis=2, initial=0).astype(np.float64)
     none = float(toxic[without].mean()) if len(without) else 0.0
     index = ToxicIndex(grams, idf, postings, block_max, label, np.array([rows[i].doc_id for i in some]), none, np.zeros(1), np.zeros(1))
     starts = np.searchsorted(doc, some), np.searchsorted(doc, some, "right")
