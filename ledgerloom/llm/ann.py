@@ -31,7 +31,7 @@ from .hilbert import hilbert_keys
 from .vectors import distinct_vectors, matrix, search_groups, top_k, usable_vectors
 
 CURVES, AXES, BITS = 6, 4, 10
-#: Ranges of an ordering, and how many on either side of its own a query searches.
+#: Ranges of an ordering (fewer where one would hold less than 2 (k + 1) vectors), and how many on either side of its own a query searches.
 RANGES, REACH = 32, 4
 #: Vectors of which ranges and scales are fitted (a bound), and vectors in a block of a range.
 SAMPLE, BLOCK = 20_000, 4_096
@@ -40,7 +40,7 @@ SAMPLE, BLOCK = 20_000, 4_096
 class Curves:
     """Projections, shifts and range bounds, fitted on a bounded sample."""
 
-    def __init__(self, sample: np.ndarray, seed: int = 11):
+    def __init__(self, sample: np.ndarray, ranges: int, seed: int = 11):
         rng = np.random.default_rng(seed)
         dims = sample.shape[1]
         turn = [np.linalg.qr(rng.normal(size=(dims, dims)))[0] for _ in range(-(-CURVES * AXES // dims))]
@@ -50,7 +50,7 @@ class Curves:
         self.middle, self.scale = placed.mean(axis=0), np.maximum(placed.std(axis=0), 1e-12)
         self.shift = rng.random(axes.shape[1]) / 4
         keys = self.keys(sample)
-        self.bounds = [np.quantile(k, np.arange(1, RANGES) / RANGES, method="lower") for k in keys]
+        self.bounds = [np.quantile(k, np.arange(1, ranges) / ranges, method="lower") for k in keys]
 
     def keys(self, x: np.ndarray) -> list[np.ndarray]:
         """Each curve's key of each vector."""
@@ -73,8 +73,9 @@ def nearest(embeddings: DataFrame, is_query, k: int) -> DataFrame:
     draw = F.pmod(F.xxhash64("vec"), F.lit(1_000_003)) / 1_000_003
     sample = distinct.where(draw < min(1.0, SAMPLE / max(1, n))).select("vec").limit(2 * SAMPLE).toArrow()
     x = matrix(sample["vec"].combine_chunks())
-    curves = spark.sparkContext.broadcast(Curves(x if len(x) else np.zeros((1, 1))))
-    blocks = max(1, -(-n // (RANGES * BLOCK)))
+    n_ranges = min(RANGES, max(1, n // (2 * (k + 1))))
+    curves = spark.sparkContext.broadcast(Curves(x if len(x) else np.zeros((1, 1)), n_ranges))
+    blocks = max(1, -(-n // (n_ranges * BLOCK)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +99,7 @@ def nearest(embeddings: DataFrame, is_query, k: int) -> DataFrame:
             ranges = curves.value.ranges(matrix(batch.column("vec")))
             for c in range(CURVES):
                 for step in range(-REACH, REACH + 1):
-                    ok = (ranges[c] + step >= 0) & (ranges[c] + step < RANGES)
+                    ok = (ranges[c] + step >= 0) & (ranges[c] + step < n_ranges)
                     some = batch.filter(pa.array(ok))
                     for block in range(blocks):
                         yield pa.RecordBatch.from_arrays(
