@@ -278,20 +278,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Texts that lose nothing stay as they were.
     """
-    rows = with_rows(docs)
     names = docs.columns
+    inner = ["text" if c == "text" else f"c{i}" for i, c in enumerate(names)]  # no name of the input can clash
+    rows = with_rows(docs.toDF(*inner))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in chunks(batches, "text"):
             texts = batch.column("text").to_pylist()
             cuts = batch.column("cuts").to_pylist()
             new = [b" ".join(kept_words(t, c)[1]).decode() if c else t for t, c in zip(texts, cuts, strict=True)]
-            out = [batch.column(c) for c in names]
+            out = [batch.column(c) for c in inner]
             out[names.index("text")] = pa.array(new, batch.column("text").type)
             if "n_chars" in names:
-                old = batch.column("n_chars")
+                old = batch.column(inner[names.index("n_chars")])
                 n = [len(t) if c else o for t, c, o in zip(new, cuts, old.to_pylist(), strict=True)]
                 out[names.index("n_chars")] = pa.array(n, old.type)
             yield pa.RecordBatch.from_arrays(out, names)
 
-    return rows.join(repeats(rows), "row_no", "left").select(*names, "cuts").mapInArrow(run, docs.schema)
+    return rows.join(repeats(rows), "row_no", "left").select(*inner, "cuts").mapInArrow(run, docs.schema)
