@@ -1,0 +1,88 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import ann, knn
+from ledgerloom.llm.hilbert import hilbert_keys
+
+SHAPE = "vec_id long, embedding array<float>, label int, ids int"
+
+
+def rows(n=400, dims=8, seed=0):
+    rng = np.random.default_rng(seed)
+    out = [(i, rng.normal(size=dims).astype(np.float32).tolist(), 0, 1) for i in range(n)]
+    same = out[5][1]
+    out += [(5000 + i, same, 0, 1) for i in range(60)]  # one very common vector
+    out += [out[20], out[20]]  # repeated rows
+    out += [(2000, None, 0, 1), (2020, [None] * dims, 0, 1), (2040, [math.nan] * dims, 0, 1), (2060, [math.inf] * dims, 0, 1), (2100, [1.0] * (dims + 1), 0, 1), (None, same, 0, 1)]
+    return out + [(3000, [0.0] * dims, 0, 1)]
+
+
+def brute(data, every, k, convert, drop_zero):
+    good = {}
+    for i, v, *_ in data:
+        if i is not None and v is not None and len(v) == len(data[0][1]) and all(x is not None and math.isfinite(x) for x in v):
+            good[i] = convert(np.array(v, np.float32).astype(float))
+    if drop_zero:
+        good = {i: v for i, v in good.items() if v.any()}
+    ids = np.array(sorted(good))
+    x = np.array([good[i] for i in ids])
+    out = {}
+    for q in ids[ids % every == 0]:
+        s = x @ good[q]
+        order = [j for j in np.lexsort((ids, -s)) if ids[j] != q][:k]
+        out[int(q)] = [(int(ids[j]), s[j]) for j in order]
+    return out
+
+
+def collected(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r.rank)):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r.rank == len(out[r.query_id])
+    return out
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_exact_search(stored, monkeypatch, block):
+    monkeypatch.setattr(knn, "BLOCK", block)
+    df = stored(rows(), SHAPE)
+    got = collected(knn.nearest(df, F.col("vec_id") % 20 == 0, 5, floor_scale=256.0))
+    assert got == brute(rows(), 20, 5, lambda v: np.floor(256 * v), False)
+
+
+def test_bounds_prune_clusters():
+    rng = np.random.default_rng(1)
+    pivots = np.eye(4) * 100
+    q = pivots + rng.normal(size=(4, 4))
+    need = knn.thresholds(q, pivots, [[0.1] * 6] * 4, np.full(4, 0.5), 5)
+    assert (need == np.eye(4, dtype=bool)).all()
+
+
+def test_approximate_search_recall_and_edges(stored, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 4)
+    df = stored(rows(1500), SHAPE)
+    got = collected(ann.nearest(df, F.col("vec_id") % 20 == 0, 20))
+    want = brute(rows(1500), 20, 20, lambda v: v, True)
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    hit = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]
+    assert np.mean(hit) >= 0.9
+    exact = {(q, i): s for q, v in brute(rows(1500), 20, 3000, lambda v: v, True).items() for i, s in v}
+    assert all(abs(exact[q, i] - s) < 1e-9 for q, v in got.items() for i, s in v)
+
+
+def test_few_and_no_vectors(stored):
+    df = stored(rows()[:3], SHAPE)
+    assert {q: len(v) for q, v in collected(ann.nearest(df, F.col("vec_id") % 20 == 0, 20)).items()} == {0: 2}
+    none = df.where("false")
+    assert ann.nearest(none, F.col("vec_id") % 20 == 0, 20).collect() == knn.nearest(none, F.col("vec_id") % 20 == 0, 5).collect() == []
+
+
+def test_hilbert_curve_visits_neighbours():
+    for dims, bits in ((2, 4), (3, 3), (4, 2)):
+        grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), -1).reshape(-1, dims)
+        keys = hilbert_keys(grid, bits)
+        assert sorted(keys) == list(range(len(grid)))
+        assert (np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
