@@ -444,10 +444,11 @@ def coverage_score_route(spark, sf_dir):
 # ---- slots
 
 
-def slot_arrivals(spark, sf_dir):
+def slot_arrivals(spark, sf_dir, orders=None):
     """Orders as arrivals: a slot per customer, priority and year; status says the side."""
     side = F.when(F.col("o_orderstatus") == "F", slots.GL).otherwise(slots.CLIENT)
-    return read(spark, sf_dir, "orders").select(
+    orders = read(spark, sf_dir, "orders") if orders is None else orders
+    return orders.select(
         F.col("o_custkey").alias("client_id"), F.col("o_orderpriority").alias("domain"), F.trunc("o_orderdate", "year").alias("value_date"),
         F.col("o_orderkey").alias("arrival_id"), side.alias("side"), F.col("o_orderkey").alias("seq"),
     )
@@ -468,6 +469,21 @@ def slot_fold(spark, sf_dir):
     return slots.fold(slot_arrivals(spark, sf_dir)).select("seq", "side_1", "side_2", "state", "assignment_id", "supersedes")
 
 
+@query(f"WITH {SLOT_SQL} SELECT seq, side_1, side_2, state, assignment_id, supersedes FROM o")
+def slot_stream(spark, sf_dir):
+    """STR-01, STR-03, STR-07: the same fold as a stateful stream over files, until all are read."""
+    from ..streaming.slot_stream import shared_folder, slot_outcomes
+
+    schema = read(spark, sf_dir, "orders").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders*.parquet").parquet(sf_dir)
+    arrived = slot_arrivals(spark, sf_dir, stream).withColumn("arrival_id", F.col("arrival_id").cast("string"))
+    root = shared_folder(spark, "slots")
+    query_ = slot_outcomes(arrived).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+    query_.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return spark.read.parquet(f"{root}/out").select("seq", long("side_1"), long("side_2"), "state", "assignment_id", "supersedes")
+
+
 @query(f"WITH {SLOT_SQL} SELECT supersedes AS assignment_id, assignment_id AS voided_by FROM o WHERE supersedes IS NOT NULL")
 def slot_supersede(spark, sf_dir):
     """SNK-06."""

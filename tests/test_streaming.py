@@ -1,0 +1,24 @@
+from pyspark.sql import functions as F
+
+from ledgerloom.streaming import slot_stream
+from tests.test_operators import simulate, slot_frame, slot_rows
+
+
+def test_stream_equals_the_batch_machine(spark, tmp_path):
+    rows = slot_rows(60, 9)
+    shape = slot_frame(spark, rows).schema
+    for part in range(3):
+        slot_frame(spark, rows[20 * part : 20 * part + 20]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(shape).parquet(f"{tmp_path}/in")
+    out = slot_stream.slot_outcomes(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck")
+    out.trigger(availableNow=True).start().awaitTermination()
+    got = {r.seq: (r.side_1, r.side_2, r.state, r.assignment_id, r.supersedes) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == simulate(rows)
+
+
+def test_topics(spark, tmp_path):
+    spark.createDataFrame([(1, "DISPATCHED"), (2, "REJECTED")], "id int, disposition string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id int, disposition string").parquet(f"{tmp_path}/in")
+    slot_stream.project_topics(stream, f"{tmp_path}/ok", f"{tmp_path}/held", f"{tmp_path}/ck").start().awaitTermination()
+    assert [r.id for r in spark.read.parquet(f"{tmp_path}/ok").collect()] == [1]
+    assert spark.read.parquet(f"{tmp_path}/held").where(F.col("id") == 2).count() == 1
