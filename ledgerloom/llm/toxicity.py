@@ -37,6 +37,8 @@ FIT_ROWS, FEATURES = 3_000, 1_024
 MIN_ROWS = 4
 #: N-grams are many: this chi-squared on one degree of freedom leaves few by chance.
 MIN_CHI = 20
+#: How many times as frequent in toxic rows as in others a feature must be.
+MIN_LIFT = 3
 #: Nearest examples that vote, and examples in a block of the index.
 NEIGHBOURS, BLOCK = 15, 64
 #: Scores from here on are predicted toxic.
@@ -62,12 +64,14 @@ class ToxicIndex:
     scores: np.ndarray
 
 
-def feature_counts(grams: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, feature, count) triples, ordered by text."""
+def feature_counts(grams: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, count) triples, ordered by text, and the words of each text."""
     points, doc, _ = letters(texts)
+    begins = (points[1:] != 0) & (points[:-1] == 0)
+    words = np.bincount(doc[1:][begins], minlength=len(texts))
     h, of = ngram_hashes(points, doc, GRAM)
     if not len(grams) or not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), words
     seen = np.zeros(BUCKETS, bool)  # nearly all n-grams end at this cheap test
     seen[(grams & np.uint64(BUCKETS - 1)).astype(np.int64)] = True
     maybe = seen[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
@@ -75,19 +79,26 @@ def feature_counts(grams: np.ndarray, texts: list[str | None]) -> tuple[np.ndarr
     at = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
     real = grams[at] == h
     pairs, n = np.unique(of[real] * len(grams) + at[real], return_counts=True)
-    return pairs // len(grams), pairs % len(grams), n
+    return pairs // len(grams), pairs % len(grams), n, words
 
 
-def vectors(grams: np.ndarray, idf: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, feature, weight) of the texts' unit TF-IDF vectors."""
-    parts = []
+def vectors(grams: np.ndarray, idf: np.ndarray, texts: list[str | None], every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, weight) of the texts' unit TF-IDF vectors, ordered by text.
+
+    All that isn't a feature counts as one more of them, with the text's words as its
+    frequency, so that the angle tells many features among few words from one
+    among many. Texts without features have no vector, unless ``every`` text with a word is to have one.
+    """
+    parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for first in range(0, len(texts), 256):
-        part = feature_counts(grams, texts[first : first + 256])
-        parts.append((part[0] + first, *part[1:]))
-    doc, feature, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
-    w = (1 + np.log(np.maximum(n, 1))) * idf[feature]
-    norm = np.sqrt(np.bincount(doc, w * w, minlength=len(texts)))
-    return doc, feature, w / np.maximum(norm[doc], 1e-12)
+        doc, feature, n, words = feature_counts(grams, texts[first : first + 256])
+        rest = np.flatnonzero(words) if every else np.unique(doc)
+        w = np.concatenate([(1 + np.log(np.maximum(n, 1))) * idf[feature], 1 + np.log(words[rest])])
+        doc, feature = np.append(doc, rest), np.append(feature, np.full(len(rest), len(grams)))
+        norm = np.sqrt(np.bincount(doc, w * w, minlength=256))
+        order = np.argsort(doc, kind="stable")
+        parts.append((doc[order] + first, feature[order], (w / np.maximum(norm[doc], 1e-12))[order]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def nearest(index: ToxicIndex, feature: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +184,7 @@ def choose_features(rows: DataFrame, features: int = FEATURES) -> np.ndarray:
     chi = (p1 - p0) ** 2 / (p * (1 - p) + 1e-12) * (n1 * n0 / (n1 + n0))
     counts = rows.select("text", "toxic").mapInArrow(count, "gram long, a long, b long").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     best = (
-        counts.where((F.col("a") + F.col("b") >= MIN_ROWS) & (p1 > p0)).withColumn("chi", chi)
+        counts.where((F.col("a") + F.col("b") >= MIN_ROWS) & (p1 >= MIN_LIFT * p0)).withColumn("chi", chi)
         .where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "gram").limit(features)
     )
     return np.sort(np.array([r.gram for r in best.select("gram").collect()], np.int64).view(np.uint64))
@@ -186,7 +197,7 @@ def document_frequencies(docs: DataFrame, grams: np.ndarray) -> tuple[np.ndarray
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(len(shared.value) + 1, np.int64), 0
         for batch, _, _ in chunks(batches, "text"):
-            _, feature, _ = feature_counts(shared.value, batch.column("text").to_pylist())
+            _, feature, _, _ = feature_counts(shared.value, batch.column("text").to_pylist())
             df[:-1] += np.bincount(feature, minlength=len(shared.value))
             n += batch.num_rows
         df[-1] = n
@@ -208,23 +219,25 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = FIT_ROWS) -> Toxi
     toxic = np.array([r.toxic for r in rows], np.int64)
     df, n = document_frequencies(docs, grams) if len(grams) else (np.zeros(0, np.int64), 0)
     idf = np.log((1 + n) / (1 + df)) + 1
-    doc, feature, weight = vectors(grams, idf, [r.text for r in rows])
+    doc, feature, weight = vectors(grams, idf, [r.text for r in rows], every=True)
     some = np.unique(doc)
-    without = np.setdiff1d(np.arange(len(rows)), some)
+    without = np.setdiff1d(np.arange(len(rows)), doc[feature < len(grams)])
     number = np.full(len(rows), -1)
     number[some] = np.arange(len(some))
     label = toxic[some]
-    postings = np.zeros((len(grams), -(-len(some) // BLOCK), BLOCK), np.float32)
+    postings = np.zeros((len(grams) + 1, -(-len(some) // BLOCK), BLOCK), np.float32)
     postings[feature, number[doc] // BLOCK, number[doc] % BLOCK] = weight
     block_max = postings.max(axis=2, initial=0).astype(np.float64)
     none = float(toxic[without].mean()) if len(without) else 0.0
     index = ToxicIndex(grams, idf, postings, block_max, label, np.array([rows[i].doc_id for i in some]), none, np.zeros(1), np.zeros(1))
+    own = np.setdiff1d(np.arange(len(some)), number[without])  # examples with features: texts without are not searched for
     starts = np.searchsorted(doc, some), np.searchsorted(doc, some, "right")
-    votes = np.zeros(len(some))
-    for i, (a, b) in enumerate(zip(*starts, strict=True)):
+    votes = np.zeros(len(own))
+    for j, i in enumerate(own):
+        a, b = starts[0][i], starts[1][i]
         near, score = nearest(index, feature[a:b], weight[a:b], NEIGHBOURS, skip=i)
-        votes[i] = vote(label[near], score)
-    x, y = rising(votes, label) if len(some) else (np.zeros(1), np.zeros(1))
+        votes[j] = vote(label[near], score)
+    x, y = rising(votes, label[own]) if len(own) else (np.zeros(1), np.zeros(1))
     return ToxicIndex(grams, idf, postings, block_max, label, index.doc_ids, none, x, y)
 
 
