@@ -476,7 +476,7 @@ def slot_stream(spark, sf_dir):
 
     schema = read(spark, sf_dir, "orders").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders*.parquet").parquet(sf_dir)
-    arrived = slot_arrivals(spark, sf_dir, stream).withColumn("arrival_id", F.col("arrival_id").cast("string"))
+    arrived = slot_arrivals(spark, sf_dir, stream).withColumns({c: F.col(c).cast("string") for c in ("arrival_id", "client_id")})
     root = shared_folder(spark, "slots")
     query_ = slot_outcomes(arrived).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
     query_.outputMode("append").trigger(availableNow=True).start().awaitTermination()
@@ -666,3 +666,73 @@ def canonical_projection(spark, sf_dir):
         F.lit("C").alias("client_id"), F.lit("2026-08-28").alias("value_date"), F.lit("TRADE").alias("domain"), F.lit("CME").alias("source_system"),
     )
     return projection.project(rows).select("arrival_id", "account_id", "instrument_id", "quantity", "net_amount", "market_value", "side", "domain")
+
+
+@query("""WITH f AS (SELECT s_suppkey, s_suppkey % 3 AS g FROM supplier)
+SELECT g, 'tf_' || left(sha256('C' || g || '|accountid|symbol|qty'), 16) AS fingerprint, count(*) AS n FROM f GROUP BY g""")
+def layout_fingerprints(spark, sf_dir):
+    """FN-12: files of one client and layout share a fingerprint."""
+    s = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 3).alias("g"))
+    mark = scalars.template_fingerprint(F.concat(F.lit("C"), F.col("g").cast("string")), F.array(*map(F.lit, ("Account ID", "Symbol", "Qty"))))
+    return s.withColumn("fingerprint", mark).groupBy("g", "fingerprint").agg(F.count("*").alias("n"))
+
+
+@query()
+def mapping_ladder(spark, sf_dir):
+    """CLS-05 to CLS-09, WIN-08: suppliers as files of three clients; each distinct layout is mapped once."""
+    from ..operators import ladder
+
+    cols = header_columns(spark, sf_dir).where("header != 'Ticker'")
+    cols = cols.select(
+        F.col("arrival_id").cast("string").alias("arrival_id"), F.concat(F.lit("C"), (F.col("arrival_id") % 3).cast("string")).alias("client_id"), "col_idx", "header",
+        F.array(F.lit("USD")).alias("samples"), F.lit(0.9).alias("ratio"), F.col("header").contains("Price").alias("price_like"),
+    )
+    return ladder.map_layouts(ladder.layouts(cols), dict(ALIASES), tuple(sorted({f for _, f in ALIASES} | {"trade_price"})))
+
+
+@query("""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '{"a": 1}' WHEN doc_id % 4 = 1 THEN '<x/>' ELSE text END AS t FROM documents)
+SELECT CASE WHEN starts_with(t, '{') THEN 'JSON' WHEN starts_with(t, '<') THEN 'XML' WHEN contains(left(t, 65536), chr(10)) THEN 'DELIMITED' ELSE 'NONE' END AS format, count(*) AS n
+FROM c WHERE NOT regexp_matches(t, '^[ \\t\\n\\r]*[\\[{<]') OR starts_with(t, '{') OR starts_with(t, '<') GROUP BY 1""")
+def format_sniff(spark, sf_dir):
+    """FMT-01, FMT-12, FMT-16, SRT-06: documents as files, some of them JSON or XML."""
+    from ..sources.documents import sniff
+
+    t = F.when(F.col("doc_id") % 4 == 0, '{"a": 1}').when(F.col("doc_id") % 4 == 1, "<x/>").otherwise(F.col("text"))
+    d = read(spark, sf_dir, "documents").select(t.alias("t")).where(~F.col("t").rlike(r"^[ \t\n\r]*[\[{<]") | F.col("t").startswith("{") | F.col("t").startswith("<"))
+    found = F.coalesce(sniff(F.encode("t", "UTF-8"), F.lit("x.bin")), F.lit("NONE"))
+    return d.select(found.alias("format")).groupBy("format").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {ARRIVALS_SQL} SELECT disposition = 'DISPATCHED' AS dispatched, count(*) AS n FROM arr GROUP BY 1""")
+def topic_routing(spark, sf_dir):
+    """PRJ-07, PRJ-08, PRJ-09."""
+    ok, held = projection.route_topics(order_arrivals(spark, sf_dir))
+    both = ok.select(F.lit(True).alias("dispatched")).unionByName(held.select(F.lit(False).alias("dispatched")))
+    return both.groupBy("dispatched").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_custkey, count(*) AS n_rows, count(DISTINCT o_orderdate::DATE) AS n_dates, min(o_orderdate::DATE) AS first_date FROM orders GROUP BY 1""")
+def distinct_dates(spark, sf_dir):
+    """AGG-04, SET-05."""
+    o = read(spark, sf_dir, "orders").withColumn("d", F.to_date("o_orderdate"))
+    out = o.groupBy("o_custkey").agg(F.count("*").alias("n_rows"), F.array_sort(F.collect_set("d")).alias("dates"))
+    return out.select("o_custkey", "n_rows", F.size("dates").cast("long").alias("n_dates"), F.element_at("dates", 1).alias("first_date"))
+
+
+@query(f"""WITH {SLOT_SQL}, e AS (SELECT DISTINCT c_custkey AS client_id, p AS domain, DATE '1996-01-01' AS value_date FROM customer, (SELECT DISTINCT o_orderpriority AS p FROM orders))
+SELECT client_id, domain FROM e WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.client_id = e.client_id AND a.domain = e.domain AND a.value_date = e.value_date)""")
+def silent_expectations(spark, sf_dir):
+    """STR-05 for slots that no side ever opened."""
+    domains = F.array(*(F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
+    expected = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("client_id"), F.explode(domains).alias("domain"), F.lit("1996-01-01").cast("date").alias("value_date"))
+    return slots.silent_expectations(expected, slot_arrivals(spark, sf_dir)).select("client_id", "domain")
+
+
+@query("""SELECT c_custkey, o_orderkey, CASE WHEN o_orderkey IS NULL THEN 'NEVER' ELSE o_orderstatus END AS state FROM customer
+LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def projection_update(spark, sf_dir):
+    """JOIN-14: arrivals with their latest classification."""
+    raw = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("arrival_id"))
+    last = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("arrival_id"), "o_orderkey", "o_orderstatus")
+    out = board.project_update(raw, last, "o_orderkey")
+    return out.select(F.col("arrival_id").alias("c_custkey"), "o_orderkey", F.coalesce("o_orderstatus", F.lit("NEVER")).alias("state"))
