@@ -26,8 +26,11 @@ from . import vptree
 from .common import chunks, drop_materialized, materialize
 
 SHINGLE, SEED, REACH = 3, 42, 3
-#: Fingerprints of which the shards' tree is built (a bound), and those that a shard should hold.
-SAMPLE, SHARD = 65_536, 4_096
+#: Fingerprints of which the shards' tree is built (a bound).
+SAMPLE = 65_536
+#: A shard should hold this many times the square root of all distinct fingerprints: queries visit
+#: a share of the shards, so that fewer, larger ones keep the rows sent near to proportion with the input.
+SHARD = 8
 #: A shard with more fingerprints of its own than this (a dense ball that no tree can part) is searched in blocks.
 BLOCK = 262_144
 
@@ -69,7 +72,7 @@ def shard_tree(distinct: DataFrame, total: int) -> tuple[vptree.Node, int]:
     share = min(1.0, SAMPLE / max(1, total))
     draw = F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1_000_003)) / 1_000_003
     sample = distinct.where(draw < share).select("fp").limit(2 * SAMPLE).toArrow()["fp"].to_numpy()
-    return vptree.build(np.sort(sample.view(np.uint64)), max(16, int(SHARD * share)))
+    return vptree.build(np.sort(sample.view(np.uint64)), max(16, int(SHARD * total**0.5 * share)))
 
 
 def star_links(distinct: DataFrame) -> DataFrame:
