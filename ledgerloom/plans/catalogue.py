@@ -736,3 +736,54 @@ def projection_update(spark, sf_dir):
     last = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("arrival_id"), "o_orderkey", "o_orderstatus")
     out = board.project_update(raw, last, "o_orderkey")
     return out.select(F.col("arrival_id").alias("c_custkey"), "o_orderkey", F.coalesce("o_orderstatus", F.lit("NEVER")).alias("state"))
+
+
+@query("""WITH r AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) - 1 AS row_idx, l_orderkey % 9 = 0 AS bad FROM lineitem)
+SELECT l_suppkey, count(*) FILTER (WHERE NOT bad) AS numeric, count(*) AS rows, count(*) FILTER (WHERE NOT bad) >= greatest(1, floor(count(*) * 0.8)) AS price_like
+FROM r WHERE row_idx < 200 GROUP BY 1""")
+def price_likeness(spark, sf_dir):
+    """AGG-07, WIN-07: prices of a supplier's first lines, some of them not numbers."""
+    by = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    text = F.when(F.col("l_orderkey") % 9 == 0, "tbd").otherwise(F.format_number("l_extendedprice", 2))
+    cells = read(spark, sf_dir, "lineitem").withColumn("row_idx", F.row_number().over(by) - 1).withColumn("cell", text)
+    return mapping.price_like(cells, ["l_suppkey"], "cell")
+
+
+@query("""SELECT o_custkey, string_agg(CASE WHEN len(o_orderkey::VARCHAR) <= 4 THEN repeat('*', len(o_orderkey::VARCHAR)) ELSE repeat('*', len(o_orderkey::VARCHAR) - 4) || right(o_orderkey::VARCHAR, 4) END, ',' ORDER BY o_orderkey) AS accounts
+FROM orders GROUP BY 1""")
+def mask_payload(spark, sf_dir):
+    """FN-15: account ids inside a payload's array."""
+    ids = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("ids"))
+    masked = F.transform(F.transform("ids", lambda x: x.cast("string")), scalars.mask_account)
+    return ids.select("o_custkey", F.array_join(masked, ",").alias("accounts"))
+
+
+@query(f"""WITH {DAYS_SQL} SELECT o_orderkey, name AS holiday FROM orders JOIN (SELECT day AS d, holiday AS name FROM closed) ON o_orderdate::DATE = d""")
+def holiday_names(spark, sf_dir):
+    """FN-11."""
+    out = calendars.with_day(order_days(spark, sf_dir), days(spark), "calendar_id", "d", "c_")
+    return out.where("c_holiday IS NOT NULL").select("o_orderkey", F.col("c_holiday").alias("holiday"))
+
+
+@query(f"""WITH {SLOT_SQL}, c AS (SELECT client_id, domain, value_date, arg_max(state, seq) AS state FROM o GROUP BY 1, 2, 3)
+SELECT client_id, domain, value_date FROM c WHERE state = 'ASSIGNED' AND value_date = DATE '1996-01-01'""")
+def slot_board(spark, sf_dir):
+    """PRJ-05, SRT-04."""
+    now = slots.current(slots.fold(slot_arrivals(spark, sf_dir)))
+    return board.slots(now, "ASSIGNED", "1996-01-01").select("client_id", "domain", "value_date")
+
+
+@query(f"""WITH {SLOT_SQL} SELECT seq, assignment_id FROM o WHERE assignment_id IS NOT NULL ORDER BY seq DESC LIMIT 200""")
+def latest_assignments(spark, sf_dir):
+    """SRT-03: a top-k report."""
+    made = slots.fold(slot_arrivals(spark, sf_dir)).where("assignment_id IS NOT NULL")
+    return made.orderBy(F.desc("seq")).limit(board.list_limit(0)).select("seq", "assignment_id")
+
+
+@query(f"""WITH h(i, header) AS (VALUES {values(enumerate(HEADERS))}), al(alias, field) AS (VALUES {values(ALIASES)}),
+c AS (SELECT s_suppkey AS arrival_id, header, ((i + s_suppkey) % {len(HEADERS)}) AS col_idx, regexp_replace(lower(regexp_replace(header, '[^A-Za-z0-9]', '', 'g')), '(usd)$', '') AS n FROM supplier, h),
+m AS (SELECT c.*, field, row_number() OVER (PARTITION BY arrival_id, field ORDER BY col_idx) AS rn FROM c LEFT JOIN al ON n = alias)
+SELECT arrival_id, CASE WHEN field IS NOT NULL AND rn = 1 THEN 'ALIAS' ELSE 'UNRESOLVED' END AS tier, count(*) AS n FROM m GROUP BY 1, 2""")
+def tier_counts(spark, sf_dir):
+    """AGG-12, PRJ-10."""
+    return alias_first_wins(spark, sf_dir).groupBy("arrival_id", "tier").agg(F.count("*").alias("n"))
