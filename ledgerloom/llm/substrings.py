@@ -23,7 +23,6 @@ gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize
+from .common import chunks, materialize, release_shuffles
 from .words import WORD_BASE, run_hashes, window_anchors
 
 WINDOW, ANCHOR = 35, 20
@@ -41,6 +40,8 @@ WINDOW, ANCHOR = 35, 20
 SEED = (WINDOW + 1) // 2
 #: Bytes of text that a shard should hold, the fewest shards, and the most (their sizes come to the driver).
 SHARD_BYTES, MIN_SHARDS, MAX_SHARDS = 2_000_000, 64, 65_536
+#: Anchors with more than a HOT_ANCHORS-th of all recurring places, and HOT_PLACES at least, are broadcast: they are fewer than HOT_ANCHORS.
+HOT_ANCHORS, HOT_PLACES = 10_000, 1_000
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
@@ -75,12 +76,17 @@ def anchors(rows: DataFrame) -> DataFrame:
 def stretches(rows: DataFrame) -> DataFrame:
     """(home, row_no, place, words): stretches under windows whose anchors recur, home being the anchor's first row."""
     found = anchors(rows)
-    recurring = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("row_no").alias("home")).where("n > 1").select("gram", "home")
-    marks = (
-        found.join(recurring, "gram")
-        .groupBy("row_no")
-        .agg(F.collect_list(F.struct("place", "home")).alias("marks"))
-    )
+    counts = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("row_no").alias("home"))
+    recurring = materialize(counts.where("n > 1"), "anchors")
+    release_shuffles(rows.sparkSession)
+    total = recurring.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(HOT_PLACES, total // HOT_ANCHORS)
+    # places of hot anchors are told their home at once and go anywhere; the others meet theirs by anchor
+    told = found.join(F.broadcast(recurring.where(hot).select("gram", F.col("home").alias("hot_home"))), "gram", "left")
+    told = told.withColumn("key", F.when(F.col("hot_home").isNull(), F.col("gram")).otherwise(F.xxhash64("row_no", "place")))
+    others = recurring.where(~hot).select(F.col("gram").alias("key"), "home")
+    met = told.join(others, "key", "left").withColumn("home", F.coalesce("hot_home", "home"))
+    marks = met.where("home IS NOT NULL").groupBy("row_no").agg(F.collect_list(F.struct("place", "home")).alias("marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in chunks(batches, "text"):
@@ -203,8 +209,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     """(row_no, cuts): for rows that lose words, their ranges (first, last) of removed words, by place."""
     spark = rows.sparkSession
     found = materialize(stretches(rows), "stretches")
-    gc.collect()  # with their last reference gone Spark deletes the shuffles behind the table
-    spark.sparkContext._jvm.System.gc()
+    release_shuffles(spark)  # the table stands for all that came before
     total = found.agg(F.sum(F.length("words"))).first()[0] or 0
     shards = int(min(MAX_SHARDS, max(MIN_SHARDS, total // SHARD_BYTES)))
     sharded = found.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int"))
