@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at once (a longer document is its own step).
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,10 +73,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column, nulls as empty, without Python strings."""
-    column = column.cast(pa.large_string()).fill_null("")
+    """Bytes and offsets of a string column, nulls as empty, without Python strings and, where no null holds bytes, without a copy."""
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    if not (pa.types.is_string(column.type) or kind is np.int64):
+        column, kind = column.cast(pa.large_string()), np.int64
     _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if column.null_count and np.diff(at)[column.is_null().to_numpy(zero_copy_only=False)].any():
+        return utf8(column.fill_null(""))
     values = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return values[at[0] : at[-1]], at - at[0]
 

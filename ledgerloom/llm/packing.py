@@ -40,7 +40,7 @@ END_ID = 1
 PER_SEQUENCE, SENTENCE_CUT, HARD_CUT = 4, 8, 96
 SEGMENT = 1 << 20
 #: Distinct words that an encoder remembers; others are worked out anew each time.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 class ByteBpe(dict):

@@ -18,9 +18,8 @@ def break_table() -> np.ndarray:
     return out
 
 
-@functools.lru_cache(maxsize=4)
-def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below ``size`` (a power of two)."""
+@functools.lru_cache(maxsize=3)
+def base_powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
@@ -29,9 +28,15 @@ def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
+def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i below ``size`` at least; the usual sizes share one table, and larger ones aren't kept."""
+    usual = 1 << 20
+    return base_powers(base, usual) if size <= usual else base_powers.__wrapped__(base, size)
+
+
 def run_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray, base: int) -> np.ndarray:
     """A 64-bit hash of values[first:last] for each pair, whatever its place."""
-    up, down = powers(base, 1 << max(4, int(len(values)).bit_length()))
+    up, down = powers(base, len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=total[1:])
     h = (total[last] - total[first]) * down[first]
