@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import vptree
+from . import minhash, vptree
 from .common import chunks, drop_materialized, materialize
 
 SHINGLE, SEED, REACH = 3, 42, 3
@@ -162,12 +162,51 @@ def label_documents(docs: DataFrame) -> DataFrame:
     return of_doc.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def sketches(docs: DataFrame) -> DataFrame:
+    """row_no, doc_id, fp, words (digest of the set of five-word shingles), its size and its MinHash bands of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, _ in chunks(batches, "text"):
+            texts = batch.column("text").to_pylist()
+            fp = np.array([fingerprint(t) for t in texts], np.uint64)
+            words, size, bands = [], [], []
+            for t in texts:
+                found = minhash.shingles(t)
+                words.append(xxhash.xxh3_128_digest(found.tobytes()))
+                size.append(len(found))
+                bands.append(minhash.bands(found))
+            columns = [batch.column("row_no"), batch.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(words, pa.binary()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row_no", "doc_id", "fp", "words", "size", "bands"])
+
+    shape = "row_no long, doc_id long, fp long, words binary, size long, bands array<long>"
+    return docs.select("row_no", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, shape)
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """row_no, doc_id, fp, words and root of each row: rows within REACH bits, or of a five-word Jaccard of 0.8 or more, share a root."""
+    of_row = materialize(sketches(docs), "sketches")
+    nodes = materialize(of_row.groupBy("fp", "words").agg(F.min("row_no").alias("node")), "distinct-texts")
+    of_fp = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least")), "distinct-fingerprints")
+    of_words = materialize(nodes.groupBy("words").agg(F.min("node").alias("least")), "distinct-sets")
+    star = star_links(of_fp)
+    star = star.join(of_fp.toDF("a", "_a"), "a").join(of_fp.toDF("b", "_b"), "b").select("_a", "_b")
+    same = [nodes.join(x, on).where("node != least").select("node", "least") for x, on in ((of_fp, "fp"), (of_words, "words"))]
+    one = of_row.withColumnRenamed("row_no", "node").join(of_words.select(F.col("least").alias("node")), "node", "left_semi")
+    near = minhash.jaccard_links(docs.select(F.col("row_no").alias("node"), "text"), one.select("node", "size", "bands"))
+    root = components(star.union(same[0]).union(same[1]).union(near).toDF("a", "b"))
+    rooted = nodes.join(root, nodes.node == root.a, "left").select("fp", "words", F.coalesce("b", "node").alias("root"))
+    return of_row.select("row_no", "doc_id", "fp", "words").join(rooted, ["fp", "words"])
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each component, that of its component_id, all columns as they were.
+    """One row of ``docs`` for each group of near copies, that of its smallest doc_id, all columns as they were.
 
+    Near copies are those of ``near_components``, which reach further than the labels'. ``docs``
+    must give the same rows in the same places each time, as files do.
     A row without a doc_id can't be told from others by name, and stays.
     """
-    kept = label_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
+    groups = near_components(docs.select("doc_id", "text").withColumn("row_no", F.monotonically_increasing_id()))
+    kept = groups.where("doc_id IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     first = docs.join(materialize(kept, "kept"), "doc_id", "left_semi")
     # rows that share a doc_id are rare: only they are compared
     again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")

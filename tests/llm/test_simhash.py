@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from ledgerloom.llm import simhash, vptree
+from ledgerloom.llm import minhash, simhash, vptree
 
 
 def slow_fingerprint(text):
@@ -100,3 +100,46 @@ def test_one_of_each_group_stays(stored):
     df = stored(rows, "doc_id long, text string, component_id string")
     assert sorted(map(tuple, simhash.keep_one(df).collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
     assert simhash.label_documents(df.where("false")).collect() == []
+
+
+def near_texts(n=30, seed=3):
+    """Texts of 60 to 120 words, each with copies of which some words are others."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        base = [f"v{x}" for x in rng.integers(0, 5000, rng.integers(60, 120))]
+        rows.append(" ".join(base))
+        for k in (1, 2, 4):
+            copy = list(base)
+            for p in rng.integers(0, len(copy), k):
+                copy[p] = f"e{p}"
+            rows.append(" ".join(copy))
+    return rows
+
+
+def jaccard_roots(texts):
+    """Components of all links by 3 bits or by a five-word Jaccard of 0.8, by brute force."""
+    split = [t.lower().split() for t in texts]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in split]
+    fp = [slow_fingerprint(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    near = [(i, j) for i, j in pairs if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    bits = [(i, j) for i, j in pairs if (fp[i] ^ fp[j]).bit_count() <= 3]
+    assert set(near) - set(bits)
+    return roots(range(len(texts)), near + bits)
+
+
+def test_near_copies_beyond_the_bits_leave(stored, monkeypatch):
+    texts = near_texts()
+    want = sorted(set(jaccard_roots(texts).values()))
+    df = stored(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == want
+    monkeypatch.setattr(minhash, "BLOCK", 150)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == want
+
+
+def test_stars_have_the_components_of_all_links():
+    sets = [minhash.shingles(t) for t in near_texts(12, 8)]
+    member, root = minhash.stars(sets)
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    assert links and roots(range(len(sets)), zip(member.tolist(), root.tolist(), strict=True)) == roots(range(len(sets)), links)
