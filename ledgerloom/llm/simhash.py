@@ -199,17 +199,15 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each group of near copies, that of its smallest doc_id, all columns as they were.
+    """One row of ``docs`` for each group of near copies, one of its smallest doc_id, all columns as they were.
 
     Near copies are those of ``near_components``, which reach further than the labels'. ``docs``
-    must give the same rows in the same places each time, as files do.
-    A row without a doc_id can't be told from others by name, and stays.
+    must give the same rows in the same places each time, as files do. Rows are told apart by
+    their places, so that texts of one doc_id in different groups all stay; of a group's rows that share
+    its smallest doc_id, the text decides. A row without a doc_id stays.
     """
-    groups = near_components(docs.select("doc_id", "text").withColumn("row_no", F.monotonically_increasing_id()))
-    kept = groups.where("doc_id IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    first = docs.join(materialize(kept, "kept"), "doc_id", "left_semi")
-    # rows that share a doc_id are rare: only they are compared
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    single = first.join(again, "doc_id", "left_anti")
-    repeated = first.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    rows = docs.withColumn("_row_no", F.monotonically_increasing_id())
+    groups = materialize(near_components(rows.select(F.col("_row_no").alias("row_no"), "doc_id", "text")), "near-groups")
+    first = groups.where("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "fp", "words", "row_no")).alias("least")).select("least.row_no")
+    kept = first.union(groups.where("doc_id IS NULL").select("row_no")).withColumnRenamed("row_no", "_row_no")
+    return rows.join(materialize(kept, "kept"), "_row_no", "left_semi").select(*docs.columns)

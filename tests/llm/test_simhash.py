@@ -143,3 +143,12 @@ def test_stars_have_the_components_of_all_links():
     member, root = minhash.stars(sets)
     links = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
     assert links and roots(range(len(sets)), zip(member.tolist(), root.tolist(), strict=True)) == roots(range(len(sets)), links)
+
+
+def test_texts_that_share_an_id_stay_in_their_own_groups(stored):
+    rows = [(1, "same text here now"), (1, "other words are these"), (1, "other words are these"), (2, "Other words are these"), (3, "a third one is alone"), (None, "same text here now")]
+    df = stored(rows, "doc_id long, text string")
+    want = [(1, "other words are these"), (1, "same text here now"), (3, "a third one is alone"), (None, "same text here now")]
+    assert sorted(map(tuple, simhash.keep_one(df).collect()), key=str) == sorted(want, key=str)
+    many = stored([(7, " ".join(f"w{i}_{k}" for k in range(9))) for i in range(20)], "doc_id long, text string", "many")
+    assert simhash.keep_one(many).count() == 20
