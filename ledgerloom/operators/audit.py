@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,12 +13,39 @@ from ..functions.scalars import record_hash
 
 #: Hashed fields besides the previous hash, in order; ``at`` is RFC 3339 text.
 FIELDS = ("record_id", "arrival_id", "at", "component", "decision_type", "inputs_json", "outcome_json", "actor")
+MARK = "\x1f"
+
+
+def chain_links(records: DataFrame) -> DataFrame:
+    """arrival_id, record_id, prev_hash and record_hash of each record, along its arrival's chain in order (at, record_id).
+
+    Sorted records stream through; only the last hash is carried, so memory doesn't grow with a chain.
+    """
+    part = F.concat(*(x for f in FIELDS for x in (F.coalesce(F.col(f), F.lit("")), F.lit(MARK))))
+    rows = records.select("arrival_id", "at", "record_id", part.alias("_text"))
+    rows = rows.repartition("arrival_id").sortWithinPartitions("arrival_id", "at", "record_id", "_text").drop("at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrival, last = None, None
+        for batch in batches:
+            before, own = [], []
+            for a, text in zip(batch.column("arrival_id").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+                if last is None or a != arrival:
+                    arrival, last = a, ""
+                before.append(last)
+                last = hashlib.sha256(f"{text}{last}{MARK}".encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column("arrival_id"), batch.column("record_id"), pa.array(before, pa.string()), pa.array(own, pa.string())], ["arrival_id", "record_id", "prev_hash", "record_hash"])
+
+    kinds = ", ".join(f"{c} {records.schema[c].dataType.simpleString()}" for c in ("arrival_id", "record_id"))
+    return rows.select("arrival_id", "record_id", "_text").mapInArrow(run, f"{kinds}, prev_hash string, record_hash string")
 
 
 def build_chains(records: DataFrame) -> DataFrame:
     """(arrival_id, chain): each arrival's records in order (at, record_id), with prev_hash and record_hash.
 
-    A chain is folded inside one row, so it is as long as one arrival's decisions are many.
+    A chain is folded inside one row, so it is as long as one arrival's decisions are many:
+    use ``chain_links`` where arrivals may have many.
     """
     mark = "\x1f"
     part = F.concat(*(x for f in FIELDS for x in (F.coalesce(F.col(f), F.lit("")), F.lit(mark))))

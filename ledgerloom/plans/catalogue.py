@@ -525,8 +525,7 @@ chain AS (SELECT arrival_id, pos, record_id, sha256(body || '' || chr(31)) AS h
 @query(f"WITH RECURSIVE {CHAIN_SQL} SELECT arrival_id, record_id, h AS record_hash FROM chain")
 def audit_build(spark, sf_dir):
     """WIN-04, FN-16."""
-    chain = audit.build_chains(event_records(spark, sf_dir))
-    return chain.select("arrival_id", F.inline("chain")).select("arrival_id", "record_id", "record_hash")
+    return audit.chain_links(event_records(spark, sf_dir)).select("arrival_id", "record_id", "record_hash")
 
 
 @query("""WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, lpad(event_id::VARCHAR, 12, '0')) AS pos FROM events)
@@ -534,7 +533,7 @@ SELECT lpad(user_id::VARCHAR, 12, '0') AS arrival_id, min(pos)::INTEGER AS posit
 def audit_verify(spark, sf_dir):
     """WIN-02, WIN-03: chains in which some records were edited."""
     records = event_records(spark, sf_dir)
-    chain = audit.build_chains(records).select("arrival_id", F.inline("chain"))
+    chain = audit.chain_links(records)
     stored = records.join(chain, ["arrival_id", "record_id"])
     edited = F.when(F.col("record_id").cast("long") % 97 == 5, "edited").otherwise(F.col("actor"))
     return audit.verify(stored.withColumn("actor", edited)).select("arrival_id", "position", "reason")

@@ -76,6 +76,18 @@ def test_chain(spark):
     assert [(r.arrival_id, r.position, r.reason) for r in audit.verify(stored.where("record_id != 'r1'")).collect()] == [("a1", 1, "link")]
 
 
+def test_links_of_a_long_chain(spark):
+    shape = "record_id string, arrival_id string, at string, component string, decision_type string, inputs_json string, outcome_json string, actor string"
+    rows = [(f"r{i:06d}", "hot" if i % 10 else f"a{i}", "2026-08-31T06:00:00Z", "c", "D", "{}", None, "system") for i in range(30_000)] + records()
+    want, last = {}, {}
+    for r in sorted(rows):
+        text = "".join(f"{x or ''}\x1f" for x in (*r, last.get(r[1], "")))
+        prev, last[r[1]] = last.get(r[1], ""), hashlib.sha256(text.encode()).hexdigest()
+        want[r[0]] = (r[1], prev, last[r[1]])
+    got = audit.chain_links(spark.createDataFrame(rows, shape).repartition(5)).collect()
+    assert len(got) == len(rows) and {r.record_id: (r.arrival_id, r.prev_hash, r.record_hash) for r in got} == want
+
+
 def simulate(rows):
     state, out = {}, {}
     for seq, key, s in rows:
