@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -20,8 +18,8 @@ CHUNK_BYTES = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what ``spark.checkpoint.dir`` names; only where that is unset, as in
-    local tests, a temporary folder is made and set.
+    It is what ``spark.checkpoint.dir`` names; only where that is unset and Spark runs in this
+    one process, a temporary folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -29,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rsplit("/", 1)[0]
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="checkpoints-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -56,18 +56,6 @@ def drop_materialized(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Has Spark delete the shuffle files of finished queries that nothing refers to any more.
-
-    Python's references to the JVM's objects go first, and the JVM's own after them.
-    """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.2)
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,30 +1,35 @@
 """Removal of word passages that occur more than once, with repeated-phrase automata.
 
 1. Every window of 35 words is represented by one phrase of it (its anchor), so that
-   equal windows have equal anchors. Anchors that occur twice or more are kept,
-   each with the first row that has it.
-2. Stretches of documents under windows with such anchors are routed to the
-   shard of that first row: equal windows meet in one shard, and a document's
-   stretches mostly go to few. Shards that hold much more than the others are
-   dealt out in blocks, and windows that occur in several blocks are counted across them.
-3. A shard confirms which windows recur, word for word, cuts the passages that
-   they form into phrases such that any 35 words hold a whole one, compiles these
-   into an Aho-Corasick automaton over words, and streams all stretches through it
-   to locate every occurrence; windows around a hit are checked against the
-   confirmed ones.
+   equal windows have equal anchors. Anchors are counted; stretches of documents under
+   windows whose anchors recur are routed to the shard of the first row that has the anchor.
+2. A shard confirms which windows recur. Each distinct one belongs to one passage;
+   passages are written in pieces with the anchors they hold. Shards that hold much more than
+   the others are dealt out in blocks, whose windows are counted across them in Spark.
+3. All documents are dealt into blocks, and a block gets the pieces that hold an anchor of
+   its documents. It compiles them into Aho-Corasick automata and streams its whole
+   documents through: a hit is a window, word for word, and the hits are the result.
+
+The automata's letters are phrases of five words, each phrase with an exact number of two digits,
+so that a window is seven phrases and a node has few branches. A text is read in five phases,
+which begin at its first five words.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` as they stand. Windows are judged on the input.
 
 Defined cases: a null text has no words; texts shorter than a window lose
-nothing; repeated rows repeat each other's windows and lose them; rows are
-told apart by their place in the input, so ids may be null or repeat; an empty table
-gives an empty result.
+nothing; a text of any length is read whole, by one task; a passage that overlaps itself or stands
+twice in one text is a repeat like any other; repeated rows repeat each other's windows and lose them; rows are
+told apart by their place in the input, so ids may be null or repeat; other columns
+may have any names; an empty table gives an empty result. The input is read more than once and must
+give the same rows in the same places each time, as files do; rows would lose
+words of others otherwise, so write other inputs with ``materialize`` first.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -32,24 +37,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, release_shuffles
+from .common import chunks, materialize
 from .words import WORD_BASE, run_hashes, window_anchors
 
-WINDOW, ANCHOR = 35, 20
-#: Words of a seed phrase: any WINDOW consecutive words hold a whole one of those that tile a passage.
-SEED = (WINDOW + 1) // 2
-#: Bytes of text that a shard should hold, the fewest shards, and the most (their sizes come to the driver).
-SHARD_BYTES, MIN_SHARDS, MAX_SHARDS = 2_000_000, 64, 65_536
+WINDOW, ANCHOR = 35, 12
+#: Words of a phrase, an automaton's letter; a window is a whole number of them.
+PHRASE = 5
+#: Windows of a passage's piece, and windows that one automaton holds.
+PIECE, PATTERNS = 128, 65_536
+#: Bytes of text that a shard of stretches and a block of documents should hold, and the fewest shards.
+SHARD_BYTES, BLOCK_BYTES, MIN_SHARDS = 2_000_000, 6_000_000, 64
 #: Anchors with more than a HOT_ANCHORS-th of all recurring places, and HOT_PLACES at least, are broadcast: they are fewer than HOT_ANCHORS.
 HOT_ANCHORS, HOT_PLACES = 10_000, 1_000
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row.
-
-    The numbers come from the rows' places, so ``docs`` must give the same rows in the
-    same places each time, as files do; ``materialize`` other inputs first.
-    """
+    """``docs`` with a number for each row, from its place."""
     return docs.withColumn("row_no", F.monotonically_increasing_id())
 
 
@@ -74,11 +77,10 @@ def anchors(rows: DataFrame) -> DataFrame:
 
 
 def stretches(rows: DataFrame) -> DataFrame:
-    """(home, row_no, place, words): stretches under windows whose anchors recur, home being the anchor's first row."""
+    """(home, row_no, words): stretches under windows whose anchors recur, home being the anchor's first row."""
     found = anchors(rows)
     counts = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("row_no").alias("home"))
     recurring = materialize(counts.where("n > 1"), "anchors")
-    release_shuffles(rows.sparkSession)
     total = recurring.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") > max(HOT_PLACES, total // HOT_ANCHORS)
     # places of hot anchors are told their home at once and go anywhere; the others meet theirs by anchor
@@ -109,13 +111,12 @@ def stretches(rows: DataFrame) -> DataFrame:
                 [
                     pa.array(home[begin]),
                     batch.column("row_no").take(pa.array(doc[begin])),
-                    pa.array((begin - first[doc[begin]]).astype(np.int32)),
                     pa.array([text[a:b] for a, b in zip(starts[begin].tolist(), ends[last + WINDOW - 1].tolist(), strict=True)], pa.binary()),
                 ],
-                ["home", "row_no", "place", "words"],
+                ["home", "row_no", "words"],
             )
 
-    return rows.select("row_no", "text").join(marks, "row_no").mapInArrow(run, "home long, row_no long, place int, words binary")
+    return rows.select("row_no", "text").join(marks, "row_no").mapInArrow(run, "home long, row_no long, words binary")
 
 
 def window_keys(words: list[bytes]) -> np.ndarray:
@@ -138,144 +139,228 @@ def shard_windows(table: pa.Table) -> tuple[list[list[bytes]], np.ndarray, np.nd
 KEY = np.dtype([("a", np.uint64), ("b", np.uint64)])
 
 
-def locate(table: pa.Table, elsewhere: pa.Table) -> pa.Table:
-    """(row_no, first, last): word ranges of a shard's stretches that recurring windows cover.
+def text_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors' hashes and words of each window of some texts, the window's first word, and the texts' first words."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    _, _, first, grams, anchor = window_anchors(data, np.cumsum([0, *map(len, texts)]), WINDOW, ANCHOR)
+    start = np.flatnonzero(anchor >= 0)
+    return grams[anchor[start]], anchor[start], start, first
+
+
+def runs(member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 of the runs of equal non-negative numbers; negative ones are in none."""
+    new = np.ones(len(member), bool)
+    new[1:] = member[1:] != member[:-1]
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(member))
+    real = member[begin] >= 0
+    return begin[real], end[real]
+
+
+def block_windows(table: pa.Table) -> pa.Table:
+    """Keys of a block's distinct windows, with how often they occur there and their anchors."""
+    words, keys, _ = shard_windows(table)
+    own, first, n = np.unique(np.ascontiguousarray(keys).view(KEY).ravel(), return_index=True, return_counts=True)
+    grams, *_ = text_anchors([b" ".join(w) + b" " for w in words])
+    return pa.table(
+        {
+            "shard": np.full(len(own), table["shard"][0].as_py(), np.int32), "block": np.full(len(own), table["block"][0].as_py(), np.int32),
+            "a": own["a"].view(np.int64), "b": own["b"].view(np.int64), "gram": grams[first].view(np.int64), "n": n,
+        }
+    )
+
+
+PASSAGES = "words binary, grams array<long>"
+
 
-    ``elsewhere`` has the keys of windows that also occur in other blocks.
+def confirm(table: pa.Table, assigned: pa.Table) -> pa.Table:
+    """(words, grams): pieces of the passages that a block's recurring windows form, each distinct window once, and their anchors.
+
+    A shard of one block counts its windows itself, word for word. Of a shard in several, ``assigned`` has the keys
+    of recurring windows that this block is to give.
     """
-    none = pa.table({"row_no": pa.array([], pa.int64()), "first": pa.array([], pa.int32()), "last": pa.array([], pa.int32())})
+    none = pa.table({"words": pa.array([], pa.binary()), "grams": pa.array([], pa.list_(pa.int64()))})
     if not table.num_rows:
         return none
     words, keys, from_window = shard_windows(table)
     flat = np.ascontiguousarray(keys).view(KEY).ravel()
-    distinct, first, same, n = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
-    other = np.empty(elsewhere.num_rows, KEY)
-    other["a"], other["b"] = elsewhere["a"].to_numpy().view(np.uint64), elsewhere["b"].to_numpy().view(np.uint64)
-    confirmed = (n > 1) | np.isin(distinct, other)
-    if not confirmed.any():
-        return none
-    # words by number, stretch after stretch; a window's first word is at its own number plus its stretch's shift
-    number: dict[bytes, int] = {}
-    codes = [[number.setdefault(x, len(number) + 1) for x in w] for w in words]
-    code = np.concatenate([np.array(c, np.int64) for c in codes])
-    shift = np.arange(len(words)) * (WINDOW - 1)
+    distinct, first, same = np.unique(flat, return_index=True, return_inverse=True)
     stretch = np.repeat(np.arange(len(words)), np.diff(from_window))
-    place = np.arange(len(flat)) + shift[stretch]
-    # word for word: a window equals the first one with its key
-    view = np.lib.stride_tricks.sliding_window_view(code, WINDOW)
-    exact = np.ones(len(flat), bool)
-    for a in range(0, len(flat), 1 << 16):
-        b = slice(a, a + (1 << 16))
-        exact[b] = (view[place[b]] == view[place[first[same[b]]]]).all(axis=1)
-    wanted = confirmed[same] & exact
-    # passages: runs of windows that are the first of their kind
-    chosen = np.zeros(len(flat), bool)
-    chosen[first[confirmed]] = True
-    new = np.ones(len(flat), bool)
-    new[1:] = ~(chosen[1:] & chosen[:-1] & (stretch[1:] == stretch[:-1]))
-    begin = np.flatnonzero(chosen & new)
-    end = np.flatnonzero(chosen & np.append(new[1:], True)) + 1
-    phrases = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for a, b in zip(place[begin].tolist(), (place[end - 1] + WINDOW).tolist(), strict=True):
-        for at in range(a, b - SEED + 1, SEED):
-            phrases.add_word(tuple(code[at : at + SEED].tolist()), 1)
-    phrases.make_automaton()
-    # around a hit, the windows that hold the whole phrase
-    around = np.zeros(len(flat) + 1, np.int64)
-    for i, c in enumerate(codes):
-        low, high = int(from_window[i]), int(from_window[i + 1])
-        hits = np.fromiter((x for x, _ in phrases.iter(tuple(c))), np.int64) - (SEED - 1)
-        np.add.at(around, np.clip(hits - (WINDOW - SEED), 0, high - low) + low, 1)
-        np.add.at(around, np.clip(hits + 1, 0, high - low) + low, -1)
-    located = (np.cumsum(around[:-1]) > 0) & wanted
-    cover = np.zeros(len(code) + 1, np.int64)
-    np.add.at(cover, place[located], 1)
-    np.add.at(cover, place[located] + WINDOW, -1)
-    covered = np.cumsum(cover[:-1]) > 0
-    from_word = np.append(from_window[:-1] + shift, len(code))
-    owner = np.repeat(np.arange(len(words)), np.diff(from_word))
-    new = np.ones(len(code), bool)
-    new[1:] = (covered[1:] != covered[:-1]) | (owner[1:] != owner[:-1])
-    a = np.flatnonzero(new)
-    b = np.append(a[1:], len(code))
-    a, b = a[covered[a]], b[covered[a]]
-    base = table["place"].to_numpy()[owner[a]] - from_word[owner[a]]
+    if table["blocks"][0].as_py() > 1:
+        given = np.empty(assigned.num_rows, KEY)
+        given["a"], given["b"] = assigned["a"].to_numpy().view(np.uint64), assigned["b"].to_numpy().view(np.uint64)
+        chosen = first[np.isin(distinct, given)]
+    else:
+        number: dict[bytes, int] = {}
+        code = np.array([number.setdefault(x, len(number)) for w in words for x in w], np.int64)
+        view = np.lib.stride_tricks.sliding_window_view(code, WINDOW)
+        place = np.arange(len(flat)) + stretch * (WINDOW - 1)
+        n = np.zeros(len(distinct), np.int64)
+        for at in range(0, len(flat), 1 << 16):
+            some = slice(at, at + (1 << 16))
+            exact = (view[place[some]] == view[place[first[same[some]]]]).all(axis=1)
+            n += np.bincount(same[some][exact], minlength=len(distinct))
+        chosen = first[n > 1]
+    if not len(chosen):
+        return none
+    member = np.full(len(flat), -1)
+    member[chosen] = stretch[chosen]
+    begin, end = runs(member)
+    pieces = [
+        b" ".join(words[stretch[a]][x - from_window[stretch[a]] : min(x + PIECE, b) - from_window[stretch[a]] + WINDOW - 1]) + b" "
+        for a, b in zip(begin.tolist(), end.tolist(), strict=True)
+        for x in range(a, b, PIECE)
+    ]
+    grams, _, start, from_word = text_anchors(pieces)
+    cut = np.searchsorted(start, from_word)
     return pa.table(
-        {"row_no": table["row_no"].to_numpy()[owner[a]], "first": (a + base).astype(np.int32), "last": (b + base).astype(np.int32)}
+        {"words": pieces, "grams": [np.unique(grams[a:b].view(np.int64)) for a, b in zip(cut[:-1], cut[1:], strict=True)]},
+        schema=pa.schema([("words", pa.binary()), ("grams", pa.list_(pa.int64()))]),
     )
 
 
-def repeats(rows: DataFrame) -> DataFrame:
-    """(row_no, cuts): for rows that lose words, their ranges (first, last) of removed words, by place."""
-    spark = rows.sparkSession
-    found = materialize(stretches(rows), "stretches")
-    release_shuffles(spark)  # the table stands for all that came before
+def passages(found: DataFrame) -> DataFrame:
+    """The pieces of all recurring passages of some stretches."""
     total = found.agg(F.sum(F.length("words"))).first()[0] or 0
-    shards = int(min(MAX_SHARDS, max(MIN_SHARDS, total // SHARD_BYTES)))
-    sharded = found.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int"))
-    sizes = sharded.groupBy("shard").agg(F.sum(F.length("words")).alias("bytes")).collect()
+    shards = max(MIN_SHARDS, total // SHARD_BYTES)
     most = 2 * max(1, total // shards)
-    blocks = {r.shard: -(-r.bytes // most) for r in sizes if r.bytes > most}
-    number = F.lit(1)
-    if blocks:
-        number = F.coalesce(F.element_at(F.lit([int(blocks.get(s, 1)) for s in range(shards)]), F.col("shard") + 1), F.lit(1))
-    placed = sharded.withColumn("blocks", number).withColumn("block", F.pmod(F.xxhash64("row_no"), F.col("blocks")).cast("int"))
-
-    def block_windows(table: pa.Table) -> pa.Table:
-        _, keys, _ = shard_windows(table)
-        own = np.unique(np.ascontiguousarray(keys).view(KEY).ravel())
-        return pa.table(
-            {
-                "shard": np.full(len(own), table["shard"][0].as_py(), np.int32), "block": np.full(len(own), table["block"][0].as_py(), np.int32),
-                "a": own["a"].view(np.int64), "b": own["b"].view(np.int64),
-            }
-        )
-
-    across = (
-        placed.where("blocks > 1").select("shard", "block", "words").groupBy("shard", "block")
-        .applyInArrow(block_windows, "shard int, block int, a long, b long")
-        .groupBy("shard", "a", "b").agg(F.collect_list("block").alias("in"))
-        .where(F.size("in") > 1).select("shard", F.explode("in").alias("block"), "a", "b")
-    )
-    covers = (
-        placed.select("shard", "block", "row_no", "place", "words").groupBy("shard", "block")
-        .cogroup(across.groupBy("shard", "block"))
-        .applyInArrow(locate, "row_no long, first int, last int")
+    sharded = found.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int"))
+    sizes = sharded.groupBy("shard").agg(F.ceil(F.sum(F.length("words")) / most).cast("int").alias("blocks")).where("blocks > 1")
+    placed = sharded.join(sizes, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("row_no"), F.col("blocks")).cast("int")).select("shard", "block", "blocks", "words")
+    assigned = (
+        placed.where("blocks > 1").groupBy("shard", "block")
+        .applyInArrow(block_windows, "shard int, block int, a long, b long, gram long, n long")
+        .groupBy("shard", "a", "b").agg(F.sum("n").alias("n"), F.min("gram").alias("gram"), F.array_sort(F.collect_list("block")).alias("in"))
+        .where("n > 1").select("shard", F.element_at("in", (F.pmod("gram", F.size("in")) + 1).cast("int")).alias("block"), "a", "b")
     )
-    return covers.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("cuts"))
+    return placed.groupBy("shard", "block").cogroup(assigned.groupBy("shard", "block")).applyInArrow(confirm, PASSAGES)
+
+
+class Phrases:
+    """Exact numbers, from 1, of the phrases of some pieces; 0 stands for any other phrase."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.word: dict[bytes, int] = {}
+        self.pairs: list[np.ndarray] = []
+        for p in pieces:
+            for w in p.split():
+                self.word.setdefault(w, len(self.word) + 1)
+        self.number(self.codes([p.split() for p in pieces])[0])
+
+    def codes(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' words by number, a 0 after each text, and each text's first place."""
+        get = self.word.get
+        flat = np.fromiter((n for t in texts for n in (*(get(w, 0) for w in t), 0)), np.int64)
+        return flat, np.cumsum([0, *(len(t) + 1 for t in texts)])
+
+    def number(self, code: np.ndarray) -> np.ndarray:
+        """The number of the phrase at each place: words are joined to pairs, pairs to fours, fours and a word to fives."""
+        learn, level = not self.pairs, 0
+
+        def join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            nonlocal level
+            key, known = left << 32 | right, (left > 0) & (right > 0)
+            if learn:
+                self.pairs.append(np.unique(key[known]))
+            names = self.pairs[level]
+            level += 1
+            if not len(names):
+                return np.zeros(len(key), np.int64)
+            at = np.minimum(np.searchsorted(names, key), len(names) - 1)
+            return np.where(known & (names[at] == key), at + 1, 0)
+
+        padded = np.append(code, np.zeros(PHRASE - 1, np.int64))
+        two = join(padded[:-1], padded[1:])
+        four = join(two[:-2], two[2:])
+        return join(four[:-1], padded[PHRASE - 1 :])
+
+    def stream(self, code: np.ndarray) -> tuple[str, int]:
+        """The phrases in five phases one after another, two digits each, and how many phrases a phase has."""
+        number = self.number(code)
+        steps = -(-len(number) // PHRASE) + 1  # at least one unknown phrase parts the phases
+        phases = np.append(number, np.zeros(steps * PHRASE - len(number), np.int64)).reshape(steps, PHRASE).T.ravel()
+        base = math.isqrt(len(self.pairs[-1])) + 1
+        digits = np.stack([1 + phases // base, 2 + base + phases % base], axis=1)
+        digits[phases == 0] = 0
+        digits[digits >= 0xD800] += 0x800  # these are no characters
+        return digits.ravel().astype("<u4").tobytes().decode("utf-32-le"), steps
+
+
+def locate(pieces: list[bytes], texts: list[list[bytes]]) -> list[np.ndarray | None]:
+    """For each text (as words) which of its words the automata's hits cover; None for none."""
+    phrases = Phrases(pieces)
+    code, first = phrases.codes(texts)
+    text, steps = phrases.stream(code)
+    own, from_word = phrases.codes([p.split() for p in pieces])
+    written, own_steps = phrases.stream(own)
+    start = np.concatenate([np.arange(a, b - WINDOW) for a, b in zip(from_word[:-1], from_word[1:], strict=True)])
+    patterns = list({written[2 * x : 2 * x + 2 * WINDOW // PHRASE] for x in (start % PHRASE * own_steps + start // PHRASE).tolist()})
+    cover = np.zeros(len(code) + 1, np.int64)
+    for at in range(0, len(patterns), PATTERNS):
+        windows = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for p in patterns[at : at + PATTERNS]:
+            windows.add_word(p, 1)
+        windows.make_automaton()
+        hit = np.fromiter((end for end, _ in windows.iter(text)), np.int64) // 2 - (WINDOW // PHRASE - 1)
+        place = hit % steps * PHRASE + hit // steps
+        np.add.at(cover, place, 1)
+        np.add.at(cover, np.minimum(place + WINDOW, len(code)), -1)
+    covered = np.cumsum(cover[:-1]) > 0
+    parts = [covered[a : b - 1] for a, b in zip(first[:-1], first[1:], strict=True)]
+    return [p if p.any() else None for p in parts]
+
+
+def scan(docs: DataFrame, result: Callable[[pa.Table, list[list[bytes]], list[np.ndarray | None]], pa.Table], shape: str) -> DataFrame:
+    """Every document through the automata of its block; ``result`` makes rows of a block's table, its words and what of them is covered.
+
+    ``docs`` has a text and any other columns but row_no and block.
+    """
+    rows = with_rows(docs)
+    blocks = max(1, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
+    block = F.pmod(F.xxhash64("row_no"), F.lit(blocks)).cast("int").alias("block")
+    found = materialize(stretches(rows), "stretches")
+    pieces = materialize(passages(found).withColumn("piece", F.monotonically_increasing_id()), "passages")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, _, start, from_word = text_anchors([w + b" " for w in batch.column("words").to_pylist()])
+            of = batch.column("block").to_numpy()[np.searchsorted(from_word, start, "right") - 1]
+            pairs = np.unique(np.stack([grams.view(np.int64), of.astype(np.int64)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1], pa.int32())], ["gram", "block"])
+
+    where = found.select("words", block).mapInArrow(places, "gram long, block int").distinct()
+    routed = pieces.select("piece", F.explode("grams").alias("gram")).join(where, "gram").select("piece", "block").distinct()
+    routed = routed.join(pieces.select("piece", "words"), "piece").select("block", "words")
 
+    def one_block(table: pa.Table, some: pa.Table) -> pa.Table:
+        words = [(t or "").encode("utf-8", "replace").split() for t in table["text"].to_pylist()]
+        covered = locate(some["words"].to_pylist(), words) if some.num_rows else [None] * len(words)
+        return result(table, words, covered)
 
-def kept_words(text: str | None, cuts: list[dict] | None) -> tuple[int, list[bytes]]:
-    """How many words a text has, and those that are left."""
-    words = (text or "").encode("utf-8", "replace").split()
-    n = len(words)
-    if cuts:
-        keep = np.ones(n, bool)
-        for c in cuts:
-            keep[c["first"] : c["last"]] = False
-        words = [words[i] for i in np.flatnonzero(keep).tolist()]
-    return n, words
+    dealt = rows.select(*docs.columns, block)
+    return dealt.groupBy("block").cogroup(routed.groupBy("block")).applyInArrow(one_block, shape)
+
+
+def kept(words: list[bytes], covered: np.ndarray | None) -> list[bytes]:
+    return words if covered is None else [words[i] for i in np.flatnonzero(~covered).tolist()]
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document."""
-    rows = with_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, _ in chunks(batches, "text"):
-            got = [kept_words(t, c) for t, c in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([n for n, _ in got], pa.int64()),
-                    pa.array([n - len(w) for n, w in got], pa.int64()),
-                    pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for _, w in got]),
-                ],
-                ["doc_id", "n_words", "n_removed", "kept_sha256"],
-            )
+    def result(table: pa.Table, words: list[list[bytes]], covered: list[np.ndarray | None]) -> pa.Table:
+        left = [kept(w, c) for w, c in zip(words, covered, strict=True)]
+        return pa.table(
+            {
+                "doc_id": table["doc_id"],
+                "n_words": pa.array([len(w) for w in words], pa.int64()),
+                "n_removed": pa.array([len(w) - len(x) for w, x in zip(words, left, strict=True)], pa.int64()),
+                "kept_sha256": pa.array([hashlib.sha256(b" ".join(x)).hexdigest() for x in left], pa.string()),
+            }
+        )
 
-    joined = rows.join(repeats(rows), "row_no", "left").select("doc_id", "text", "cuts")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), result, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -285,19 +370,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     inner = ["text" if c == "text" else f"c{i}" for i, c in enumerate(names)]  # no name of the input can clash
-    rows = with_rows(docs.toDF(*inner))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, _ in chunks(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            cuts = batch.column("cuts").to_pylist()
-            new = [b" ".join(kept_words(t, c)[1]).decode() if c else t for t, c in zip(texts, cuts, strict=True)]
-            out = [batch.column(c) for c in inner]
-            out[names.index("text")] = pa.array(new, batch.column("text").type)
-            if "n_chars" in names:
-                old = batch.column(inner[names.index("n_chars")])
-                n = [len(t) if c else o for t, c, o in zip(new, cuts, old.to_pylist(), strict=True)]
-                out[names.index("n_chars")] = pa.array(n, old.type)
-            yield pa.RecordBatch.from_arrays(out, names)
-
-    return rows.join(repeats(rows), "row_no", "left").select(*inner, "cuts").mapInArrow(run, docs.schema)
+    def result(table: pa.Table, words: list[list[bytes]], covered: list[np.ndarray | None]) -> pa.Table:
+        texts = table["text"].to_pylist()
+        new = [t if c is None else b" ".join(kept(w, c)).decode() for t, w, c in zip(texts, words, covered, strict=True)]
+        out = [table[c] for c in inner]
+        out[names.index("text")] = pa.array(new, table["text"].type)
+        if "n_chars" in names:
+            old = table[inner[names.index("n_chars")]]
+            n = [o if c is None else len(t) for t, c, o in zip(new, covered, old.to_pylist(), strict=True)]
+            out[names.index("n_chars")] = pa.array(n, old.type)
+        return pa.table(out, names)
+
+    return scan(docs.toDF(*inner), result, docs.schema)

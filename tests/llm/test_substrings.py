@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 
 import pytest
 
@@ -72,7 +73,62 @@ def test_removal_keeps_columns_that_clash(stored):
     assert got == {1: (1, "", "p", 0, 3), 2: (2, "tail", "q", 4, 4), 3: docs[2], 4: docs[3]}
 
 
+class NoHits:
+    def __init__(self, *_):
+        pass
+
+    def add_word(self, *_):
+        pass
+
+    def make_automaton(self):
+        pass
+
+    def iter(self, text):
+        return iter(())
+
+
+class AllHits(NoHits):
+    def iter(self, text):
+        return ((end, 1) for end in range(2 * W // substrings.PHRASE - 1, len(text) // 2, 2))
+
+
+@pytest.mark.parametrize("wrong", [NoHits, AllHits])
+def test_the_automatons_hits_are_the_result(wrong, monkeypatch):
+    one, two = words("p", 60).split(), words("q", 50).split()
+    texts = [[x.encode() for x in t] for t in (["a", *one, "b"], [*two, *one[3:50], *two])]
+    right = substrings.locate([b" ".join(texts[0][1:61])], texts)
+    assert [c.sum() for c in right] == [60, 47]
+    monkeypatch.setattr(substrings.ahocorasick, "Automaton", wrong)
+    got = substrings.locate([b" ".join(texts[0][1:61])], texts)
+    assert [0 if c is None else c.sum() for c in got] != [60, 47]
+
+
+@pytest.mark.parametrize("per_automaton", [3, 1_000])
+def test_locate_equals_brute_force_on_few_words(per_automaton, monkeypatch):
+    monkeypatch.setattr(substrings, "PATTERNS", per_automaton)
+    draw = random.Random(5)
+    for _ in range(30):
+        passages = [[draw.choice([b"a", b"b", b"c"]) for _ in range(draw.randint(W, 60))] for _ in range(3)]
+        texts = [[w for _ in range(draw.randint(0, 3)) for w in (*draw.choice(passages)[draw.randint(0, 9) :], b"a", b"x")] for _ in range(6)]
+        known = {tuple(p[k : k + W]) for p in passages for k in range(len(p) - W + 1)}
+        got = substrings.locate([b" ".join(p) for p in passages], texts)
+        for t, c in zip(texts, got, strict=True):
+            want = {j for k in range(len(t) - W + 1) if tuple(t[k : k + W]) in known for j in range(k, k + W)}
+            assert want == (set() if c is None else set(c.nonzero()[0].tolist()))
+
+
+def test_a_very_long_text_and_one_that_overlaps_itself(stored):
+    docs = [(1, words("v", 400_000)), (2, words("v", 100)), (3, words("o", 20) + " " + " ".join(["u v w"] * 40)), (4, "u v w " * 30)]
+    assert run(stored(docs, "doc_id long, text string")) == brute(docs)
+
+
+def test_digest_with_columns_that_clash(stored):
+    docs = [(1, words("a", 40), 1, 2, 3, 4), (2, words("a", 40) + " t", 5, 6, 7, 8)]
+    df = stored(docs, "doc_id long, text string, block int, row_no long, piece int, words int")
+    assert run(df) == brute([d[:2] for d in docs])
+
+
 @pytest.mark.parametrize("n", [35, 52, 71])
-def test_seeds_cover_every_window(stored, n):
+def test_passages_of_any_length(stored, n):
     docs = [(1, words("p", n)), (2, "x " + words("p", n) + " y")]
     assert run(stored(docs, "doc_id long, text string")) == brute(docs)
