@@ -12,13 +12,17 @@ million tokens at a time; the last, unfilled part of a segment is carried into t
 next one. Nothing is shuffled, and tasks give their sequences ids of their own.
 
 Defined cases: a null or empty text is the closing id alone; documents longer
-than a sequence are cut; repeated rows and null doc_ids are packed like others;
-an empty table gives an empty result.
+than a sequence are cut, and a text of any length is encoded whole; a stretch of more than a sequence without a sentence's
+end is cut after each full sequence; repeated rows and null doc_ids are packed like others; of equally
+cheap cuts ``best_cuts`` says which win; other columns, whatever they are called, play no part;
+an empty table gives an empty result. Each task leaves one unfilled sequence, so that the padding depends a little
+on the number of splits.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from array import array
@@ -39,58 +43,68 @@ END_ID = 1
 #: Costs in tokens of padding: of any sequence, of a cut at a sentence's end, and of one inside a sentence.
 PER_SEQUENCE, SENTENCE_CUT, HARD_CUT = 4, 8, 96
 SEGMENT = 1 << 20
+#: Lengths below WINDOW that need no padding, longest first.
+POWERS = tuple(1 << i for i in reversed(range(WINDOW.bit_length() - 1)))
 #: Distinct words that an encoder remembers; others are worked out anew each time.
 REMEMBERED = 250_000
 
 
 class ByteBpe(dict):
-    """Ids of texts under a byte-level BPE, by distinct words.
+    """Ids of texts by a tokenizers file.
 
-    A single space with other characters on both sides always starts a new
-    part of the text for the tokenizer, and so does a single line break; each
-    distinct part is encoded once and its ids remembered. Texts with other white space
-    are cut where it is safe, and those that hold a special token's
-    string go to the tokenizers library whole.
+    Of a byte-level BPE with the usual split of texts and no normaliser, a single space with other
+    characters on both sides always starts a new part of the text, and so does a single line break;
+    each distinct part is encoded once and its ids remembered. Texts with other white space
+    are cut where it is safe. Texts that hold a special token's string, and all texts
+    under other settings, go to the library whole.
     """
 
     odd = re.compile("[\\s᠎​﻿]{2}|^\\s|\\s$|\x00")
     safe = re.compile("(?<=[^\\s᠎​﻿]) (?=[^\\s᠎​﻿])")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer
 
         super().__init__()
         self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        assert isinstance(self.whole.model, models.BPE)
-        self.fast = self._same_vocabulary()
         self.n_ids = self.whole.get_vocab_size()
-
-    def _same_vocabulary(self):
-        """tiktoken's encoder of the same pieces (an id is its piece's rank), with the tokenizer's own split of texts."""
-        import tiktoken
-
-        shown = byte_alphabet()
-        back = {c: b for b, c in shown.items()}
-        ranks = {bytes(back[c] for c in p): i for p, i in self.whole.get_vocab().items() if p not in self.special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-    def __missing__(self, part: str) -> bytes:
-        ids = array("I", self.fast.encode_ordinary(part if part[:1] == "\n" else " " + part)).tobytes()
-        if len(self) < REMEMBERED:
-            self[part] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+        settings = json.loads(self.whole.to_str())
+        split = settings["pre_tokenizer"] or {}
+        self.in_parts = (
+            settings["normalizer"] is None and settings["model"]["type"] == "BPE" and not settings["model"].get("dropout")
+            and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        )
+
+    def parts(self, text: str) -> list[str] | None:
+        """The parts of a text: the first after a \\0, those after a line break with it, others without their space; None if it must stay whole."""
+        if not self.in_parts or "\x00" in text or any(s in text for s in self.special):
+            return None
         if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        parts = self.safe.split(text) if self.odd.search(text) else text.replace("\n", " \n").split(" ")
-        first = array("I", self.fast.encode_ordinary(parts[0])).tobytes()
-        return first + b"".join(map(self.__getitem__, parts[1:]))
+            return []
+        found = self.safe.split(text) if self.odd.search(text) else text.replace("\n", " \n").split(" ")
+        found[0] = "\x00" + found[0]
+        return found
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        got = self.whole.encode_batch(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in got]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids, as little-endian unsigned 32-bit integers; new parts go to the library in batches."""
+        cut = [self.parts(t) for t in texts]
+        new = list(set().union(*(c for c in cut if c)).difference(self))
+        found: dict[str, bytes] = {}
+        for first in range(0, len(new), 20_000):
+            some = new[first : first + 20_000]
+            found.update(zip(some, self.ids([p[1:] if p[0] == "\x00" else p if p[0] == "\n" else " " + p for p in some]), strict=True))
+        whole = iter(self.ids([t for t, c in zip(texts, cut, strict=True) if c is None]))
+        if len(self) < REMEMBERED:
+            self.update(found)
+            return [next(whole) if c is None else b"".join(map(self.__getitem__, c)) for c in cut]
+        return [next(whole) if c is None else b"".join([self[p] if p in self else found[p] for p in c]) for c in cut]
 
     def sentence_ends(self) -> np.ndarray:
         """For each id whether its piece ends a sentence or a line."""
@@ -101,13 +115,6 @@ class ByteBpe(dict):
         return out
 
 
-def byte_alphabet() -> dict[int, str]:
-    """The printable character that byte-level vocabularies write for each byte: itself, or the next one from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 @functools.cache
 def byte_bpe(path: str) -> tuple[ByteBpe, np.ndarray]:
     """One encoder per Python worker and vocabulary."""
@@ -121,11 +128,11 @@ def padding(length: int) -> int:
 
 
 def best_cuts(places: list[int], penalty: list[int], last: bool) -> list[int]:
-    """The cheapest cuts of one segment.
+    """The cheapest cuts of one segment. Of equal costs the padded sequence wins, the longer one first, then the longer power of two.
 
     ``places`` are where cuts may be, ascending from 0, neighbours at most
     WINDOW apart; ``penalty`` is what a cut there costs. A segment that isn't the
-    ``last`` may end at whichever cut of its last window is cheapest.
+    ``last`` may end at whichever cut of its last window is cheapest, the latest of equal ones.
     """
     n = len(places)
     cost, back = [0] * n, [0] * n
@@ -138,14 +145,14 @@ def best_cuts(places: list[int], penalty: list[int], last: bool) -> list[int]:
         j = queue[0]
         best = cost[j] + WINDOW - (p - places[j])
         # powers of two need no padding
-        for power in (1024, 512, 256, 128, 64):
+        for power in POWERS:
             k = at.get(p - power)
             if k is not None and cost[k] < best:
                 best, j = cost[k], k
         cost[i], back[i] = best + PER_SEQUENCE + penalty[i], j
         at[p] = i
         value = cost[i] + p
-        while queue and cost[queue[-1]] + places[queue[-1]] >= value:
+        while queue and cost[queue[-1]] + places[queue[-1]] > value:
             queue.pop()
         queue.append(i)
     i = n - 1
@@ -221,8 +228,9 @@ def pack_documents(docs: DataFrame, path: str) -> DataFrame:
         tokens = 0
         close = array("I", [END_ID]).tobytes()
         for batch, _, _ in chunks(batches, "text"):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.frombuffer(coder.encode(text or "") + close, "<u4")
+            coded = coder.encode([t or "" for t in batch.column("text").to_pylist()])
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
+                ids = np.frombuffer(raw + close, "<u4")
                 waiting.append(Piece(doc_id, ids, 0, len(ids)))
                 tokens += len(ids)
                 if tokens >= SEGMENT:

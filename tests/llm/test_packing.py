@@ -1,9 +1,11 @@
 import itertools
+import json
 import zlib
 from array import array
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import packing
@@ -19,35 +21,84 @@ def test_ids_are_the_tokenizers_own():
     whole = Tokenizer.from_file(PATH)
     coder, _ = packing.byte_bpe(PATH)
     for _ in range(2):  # the second time parts are remembered
-        for t in ODD:
-            assert array("I", coder.encode(t or "")).tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
+        for t, ids in zip(ODD, coder.encode([t or "" for t in ODD]), strict=True):
+            assert array("I", ids).tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
 
 
-def test_cuts_are_the_cheapest():
-    rng = np.random.default_rng(3)
+SETTINGS = {
+    "prefix": {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+    "no_split": {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}},
+    "digits": {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Digits", "individual_digits": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}]}},
+    "lower": {"normalizer": {"type": "Lowercase"}},
+    "truncated": {"truncation": {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}},
+}
+
+
+@pytest.mark.parametrize("name", SETTINGS)
+def test_ids_under_other_settings(name, tmp_path):
+    with open(PATH) as f:
+        changed = json.load(f) | SETTINGS[name]
+    path = str(tmp_path / "other.json")
+    with open(path, "w") as f:
+        json.dump(changed, f)
+    whole = Tokenizer.from_file(path)
+    whole.no_truncation()
+    texts = [t or "" for t in ODD if len(t or "") < 1000] + ["Two WORDS 12 345", "Two WORDS 12 345"]
+    got = packing.ByteBpe(path).encode(texts)
+    assert [array("I", x).tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def every_cost(places, penalty, last):
+    """The least cost by plain dynamic programming over all pairs of places."""
+    free = {1 << i for i in range(12)}
+    cost = [0]
+    for i in range(1, len(places)):
+        pads = ((j, places[i] - places[j]) for j in range(i))
+        cost.append(min((cost[j] + (0 if n in free else packing.WINDOW - n) for j, n in pads if n <= packing.WINDOW)) + packing.PER_SEQUENCE + penalty[i])
+    return cost[-1] if last else min(c for c, p in zip(cost, places, strict=True) if p > places[-1] - packing.WINDOW)
+
+
+@pytest.mark.parametrize("apart", [3, 40, 700, 2049])
+def test_cuts_are_the_cheapest(apart):
+    rng = np.random.default_rng(apart)
     for last in (True, False):
-        for _ in range(20):
-            places = [0, *np.cumsum(rng.integers(100, 1500, 9)).tolist()]
-            penalty = [0, *rng.choice([0, 8, 96], 9).tolist()]
-
-            def cost(cuts, places=places, penalty=penalty):
-                total = 0
-                for a, b in itertools.pairwise(cuts):
-                    n = places[b] - places[a]
-                    if n > packing.WINDOW:
-                        return None
-                    pad = 0 if n in (64, 128, 256, 512, 1024, 2048) else packing.WINDOW - n
-                    total += pad + packing.PER_SEQUENCE + penalty[b]
-                return total
-
-            stops = [9] if last else [k for k in range(10) if places[k] > places[-1] - packing.WINDOW]
-            every = (
-                cost((0, *(k for k in range(1, stop) if bits >> k & 1), stop)) for stop in stops if stop for bits in range(0, 1 << stop, 2)
-            )
-            best = min(c for c in every if c is not None)
+        for _ in range(40):
+            n = int(rng.integers(2, 120))
+            places = [0, *np.cumsum(rng.integers(1, apart, n)).tolist()]
+            penalty = [0, *rng.choice([0, 8, 96], n).tolist()]
             cuts = packing.best_cuts(places, penalty, last)
-            if cuts != [0]:
-                assert cost([places.index(c) for c in cuts]) == best
+            at = {p: i for i, p in enumerate(places)}
+            total = sum(packing.padding(b - a) + packing.PER_SEQUENCE + penalty[at[b]] for a, b in itertools.pairwise(cuts))
+            assert total == every_cost(places, penalty, last)
+
+
+def test_a_short_power_of_two_is_free():
+    assert packing.best_cuts([0, 1040, 2048, 2080], [0, 0, 8, 0], True) == [0, 2048, 2080]
+
+
+@pytest.mark.parametrize("apart", [5, 3000])
+def test_segments_are_cut_at_least_cost(apart):
+    rng = np.random.default_rng(apart)
+    ends = np.zeros(3, bool)
+    ends[2] = True  # id 2 ends a sentence
+    for _ in range(10):
+        pieces = []
+        for d in range(8):
+            ids = np.zeros(int(rng.integers(1, 4 * apart)), "<u4")
+            ids[rng.random(len(ids)) < 1 / apart] = 2
+            pieces.append(packing.Piece(d, ids, 0, len(ids)))
+        ids, bounds = np.concatenate([p.ids for p in pieces]), np.cumsum([0, *(len(p.ids) for p in pieces)])
+        price = {int(p) + 1: packing.SENTENCE_CUT for p in np.flatnonzero(ids == 2)} | {int(b): 0 for b in bounds}
+        for a, b in itertools.pairwise(sorted(price)):
+            price |= {p: packing.HARD_CUT for p in range(a + packing.WINDOW, b, packing.WINDOW)}
+        rows, n, carried = packing.pack_segment(pieces, ends, True)
+        length = np.bincount(rows["sequence_id"], rows["length"]).astype(int)
+        stop = np.cumsum(length).tolist()
+        assert not carried and len(stop) == n
+        places = sorted(price)
+        total = sum(packing.padding(x) + packing.PER_SEQUENCE + price[p] for x, p in zip(length.tolist(), stop, strict=True))
+        assert total == every_cost(places, [price[p] for p in places], True)
 
 
 def check(rows, docs):
@@ -88,3 +139,10 @@ def test_repeats_and_empty_table(stored):
     twice = packing.pack_documents(stored([(1, "a b"), (1, "a b")], "doc_id long, text string", files=1), PATH).collect()
     assert sorted(r.offset for r in twice) == [0, 3] and len({r.sequence_id for r in twice}) == 1
     assert packing.pack_documents(stored([], "doc_id long, text string", "e"), PATH).collect() == []
+
+
+def test_very_long_texts_and_columns_that_clash(stored):
+    docs = [(1, "A long sentence here. " * 60_000, 1, 2, 3), (2, "x" * 30_000, 4, 5, 6), (3, "end", 7, 8, 9)]
+    df = stored(docs, "doc_id long, text string, start int, length long, sequence_id string")
+    rows = packing.pack_documents(df, PATH).collect()
+    assert check(rows, [d[:2] for d in docs]) < 0.05 and packing.pack_documents(df, PATH).columns[:4] == ["doc_id", "start", "length", "ids_crc32"]
