@@ -1,19 +1,23 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are TF-IDF vectors over letter n-grams that the labels show to matter.
+Texts are TF-IDF vectors over all words that the examples have. A word's weight is its IDF over all
+documents times its relevance, the size of its correlation with the labels: words are many
+and most occur once or twice, so that by IDF alone chance words decide who is near.
 A block-max inverted index of a bounded set of labelled examples gives each
 text its exact nearest examples by cosine: an upper bound for each block of
-examples comes from the features' block maxima, and blocks are evaluated in
-order of their bounds until none can hold a nearer example. The neighbours vote with
-their cosines as weights; votes are calibrated on the examples themselves, each
-left out of its own vote.
-
-Defined cases: a null, empty or letterless text, and any text without one of
-the features, scores as the labelled texts without features do; repeated rows
-and shared doc_ids are each scored by their own text; equal cosines go to the
+examples comes from its words' block maxima, and postings of blocks are read in
+the order of their bounds until no other block can hold a nearer example. The neighbours vote with
+their cosines as weights, beside one vote of the labels' share; votes are calibrated on the
+examples themselves, each left out of its own vote.
+
+Words are runs of letters, lower-cased; one of more than five letters also counts as a stem, its first five.
+
+Defined cases: a null, empty or letterless text, and any text without a word of
+the examples, has no evidence and scores as the labels' share does; repeated rows
+and shared doc_ids are each scored by their own text; a text of any length is scored whole; equal cosines go to the
 earlier example (smaller doc_id first); labels without a document, documents without a label and
-null labels teach nothing; with no labels at all every score is 0; an empty table
-gives an empty result.
+null labels teach nothing; with no labels at all every score is 0; other columns, whatever they are called,
+play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,239 +27,268 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, crc32_mod, materialize
-from .ngrams import letters, ngram_hashes
-
-#: Letters (and word edges) in a feature.
-GRAM = 5
-#: Bounds of the fit: labelled rows of each label that features and examples come from, and features.
-FIT_ROWS, FEATURES = 3_000, 1_024
-#: A feature must be in this many labelled rows.
-MIN_ROWS = 4
-#: N-grams are many: this chi-squared on one degree of freedom leaves few by chance.
-MIN_CHI = 20
-#: How many times as frequent in toxic rows as in others a feature must be.
-MIN_LIFT = 3
+from .ngrams import letters
+from .words import BASE, run_hashes
+
+#: Bounds of the fit, for each label: rows that examples come from, and bytes of their texts (both on average, by a draw of a hash).
+FIT_ROWS, FIT_BYTES = 3_000, 32_000_000
+#: Letters of a stem.
+STEM = 5
 #: Nearest examples that vote, and examples in a block of the index.
 NEIGHBOURS, BLOCK = 15, 64
 #: Scores from here on are predicted toxic.
 TOXIC = 0.7
-BUCKETS = 1 << 20
 
 
 @dataclass(frozen=True)
 class ToxicIndex:
-    #: sorted hashes of the features, and each one's IDF
-    grams: np.ndarray
-    idf: np.ndarray
-    #: features x blocks x BLOCK: the weights of each feature in each block's examples (unit vectors)
-    postings: np.ndarray
-    #: features x blocks: the largest weight of the feature in the block
-    block_max: np.ndarray
+    #: sorted hashes of the examples' words, and each one's IDF times relevance
+    terms: np.ndarray
+    weights: np.ndarray
+    #: by word, then example: the examples that have it and its weight there (of unit vectors)
+    examples: np.ndarray
+    values: np.ndarray
+    #: by word, then block with that word: each word's first cell, and each cell's block, first posting and largest weight
+    first_cell: np.ndarray
+    blocks: np.ndarray
+    first_posting: np.ndarray
+    maxima: np.ndarray
     labels: np.ndarray
     doc_ids: np.ndarray
-    #: share of toxic rows among labelled texts without features
-    none_score: float
-    #: points of the calibration: votes and the scores they mean
-    votes: np.ndarray
-    scores: np.ndarray
+    #: share of toxic rows among all labelled ones
+    prior: float
+    #: slope and level of the calibration, on the log odds of a vote
+    calibration: tuple[float, float] = (1.0, 0.0)
 
 
-def feature_counts(grams: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, feature, count) triples, ordered by text, and the words of each text."""
+def term_counts(texts: list[str | None], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, count) triples, ordered by text and word; words are hashes, or places in ``known`` where only those count."""
     points, doc, _ = letters(texts)
-    begins = (points[1:] != 0) & (points[:-1] == 0)
-    words = np.bincount(doc[1:][begins], minlength=len(texts))
-    h, of = ngram_hashes(points, doc, GRAM)
-    if not len(grams) or not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), words
-    seen = np.zeros(BUCKETS, bool)  # nearly all n-grams end at this cheap test
-    seen[(grams & np.uint64(BUCKETS - 1)).astype(np.int64)] = True
-    maybe = seen[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
-    h, of = h[maybe], of[maybe]
-    at = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
-    real = grams[at] == h
-    pairs, n = np.unique(of[real] * len(grams) + at[real], return_counts=True)
-    return pairs // len(grams), pairs % len(grams), n, words
-
-
-def vectors(grams: np.ndarray, idf: np.ndarray, texts: list[str | None], every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, feature, weight) of the texts' unit TF-IDF vectors, ordered by text.
-
-    All that isn't a feature counts as one more of them, with the text's words as its
-    frequency, so that the angle tells many features among few words from one
-    among many. Texts without features have no vector, unless ``every`` text with a word is to have one.
-    """
-    parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    for first in range(0, len(texts), 256):
-        doc, feature, n, words = feature_counts(grams, texts[first : first + 256])
-        rest = np.flatnonzero(words) if every else np.unique(doc)
-        w = np.concatenate([(1 + np.log(np.maximum(n, 1))) * idf[feature], 1 + np.log(words[rest])])
-        doc, feature = np.append(doc, rest), np.append(feature, np.full(len(rest), len(grams)))
-        norm = np.sqrt(np.bincount(doc, w * w, minlength=256))
-        order = np.argsort(doc, kind="stable")
-        parts.append((doc[order] + first, feature[order], (w / np.maximum(norm[doc], 1e-12))[order]))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-def nearest(index: ToxicIndex, feature: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    real = points != 0
+    start = np.flatnonzero(real[1:] & ~real[:-1]) + 1
+    end = np.flatnonzero(~real[1:] & real[:-1]) + 1
+    h, doc = run_hashes(points, start, end, BASE), doc[start]
+    long = end - start > STEM
+    h = np.append(h, ~run_hashes(points, start[long], start[long] + STEM, BASE))
+    doc = np.append(doc, doc[long])
+    if known is None:
+        known, term = np.unique(h, return_inverse=True)
+    elif len(known):
+        term = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        found = known[term] == h
+        term, doc = term[found], doc[found]
+        h = known
+    else:
+        doc, term = doc[:0], np.zeros(0, np.int64)
+    pairs, n = np.unique(doc * max(1, len(known)) + term, return_counts=True)
+    doc, term = np.divmod(pairs, max(1, len(known)))
+    return doc, term if h is known else known[term], n
+
+
+def unit_vectors(weights: np.ndarray, doc: np.ndarray, term: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """The weights of (text, word, count) triples in their texts' unit vectors."""
+    w = (1 + np.log(n)) * weights[term]
+    norm = np.sqrt(np.bincount(doc, w * w, minlength=size))
+    return w / np.maximum(norm[doc], 1e-300)
+
+
+def build_index(
+    terms: np.ndarray, weights: np.ndarray, doc: np.ndarray, term: np.ndarray, n: np.ndarray, labels: np.ndarray, doc_ids: np.ndarray, prior: float
+) -> ToxicIndex:
+    """The inverted index of examples given as (example, word, count) triples."""
+    values = unit_vectors(weights, doc, term, n, len(labels))
+    order = np.lexsort((doc, term))
+    term, doc, values = term[order], doc[order], values[order]
+    block = doc // BLOCK
+    new = np.ones(len(term), bool)
+    new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+    first = np.flatnonzero(new)
+    maxima = np.maximum.reduceat(values, first) if len(first) else np.zeros(0)
+    return ToxicIndex(
+        terms, weights, doc.astype(np.int32), values, np.searchsorted(term[first], np.arange(len(terms) + 1)),
+        block[first].astype(np.int32), np.append(first, len(term)), maxima, labels, doc_ids, prior,
+    )
+
+
+def spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges [first, last), and which range each is of."""
+    size = last - first
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size - first, size), of
+
+
+def nearest(index: ToxicIndex, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
     """The exact k nearest examples of one vector: their numbers and cosines, nearest first.
 
     ``skip`` is an example that doesn't count (when an example is its own query).
     Blocks are taken in the order of their bounds, a few more each time, until
     no other block can hold a nearer example.
     """
-    bound = weight @ index.block_max[feature]
+    cell, of = spans(index.first_cell[term], index.first_cell[term + 1])
+    block, n_blocks = index.blocks[cell], -(-len(index.labels) // BLOCK)
+    bound = np.bincount(block, weight[of] * index.maxima[cell], minlength=n_blocks)
     order = np.argsort(-bound, kind="stable")
     order = order[bound[order] > 0]
     near, score = np.zeros(0, np.int64), np.zeros(0)
-    done, step = 0, 2
+    done, step = 0, 4
     while done < len(order) and not (len(near) == k and bound[order[done]] < score[-1] - 1e-9):
-        some = order[done : done + step]
-        got = np.tensordot(weight, index.postings[feature[:, None], some[None, :]].astype(np.float64), 1)
-        own = (some[:, None] * BLOCK + np.arange(BLOCK)[None, :]).ravel()
-        got = got.ravel()
-        use = (got > 0) & (own != skip)
-        near, score = np.append(near, own[use]), np.append(score, got[use])
+        taken = np.zeros(n_blocks, bool)
+        taken[order[done : done + step]] = True
+        use = np.flatnonzero(taken[block])
+        at, which = spans(index.first_posting[cell[use]], index.first_posting[cell[use] + 1])
+        dot = np.bincount(index.examples[at], weight[of[use[which]]] * index.values[at], minlength=len(index.labels))
+        if skip >= 0:
+            dot[skip] = 0
+        own = np.flatnonzero(dot > 0)
+        near, score = np.append(near, own), np.append(score, dot[own])
         best = np.lexsort((near, -score))[:k]
         near, score = near[best], score[best]
         done, step = done + step, 2 * step
     return near, score
 
 
-def vote(labels: np.ndarray, score: np.ndarray) -> float:
-    """The toxic share of the neighbours, each weighing as its cosine."""
-    return float(labels @ score / score.sum()) if len(score) and score.sum() > 0 else 0.0
+def vote(labels: np.ndarray, score: np.ndarray, prior: float) -> float:
+    """The toxic share of the neighbours, each weighing as its cosine, and one more vote of weight 1 for the prior."""
+    return float((labels @ score + prior) / (score.sum() + 1))
 
 
-def rising(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic regression of labels on votes (pool adjacent violators), with a row of each label added at the ends."""
-    order = np.argsort(votes, kind="stable")
-    x = np.concatenate(([0.0], votes[order], [1.0]))
-    y = np.concatenate(([0.0], labels[order].astype(float), [1.0]))
-    pools: list[list[float]] = []  # mean, weight, first vote, last vote
-    for a, b in zip(x, y, strict=True):
-        pools.append([b, 1, a, a])
-        while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
-            m, w, _, last = pools.pop()
-            p = pools[-1]
-            p[0], p[1], p[3] = (p[0] * p[1] + m * w) / (p[1] + w), p[1] + w, last
-    return np.array([v for p in pools for v in p[2:]]), np.array([p[0] for p in pools for _ in range(2)])
+def log_odds(votes: np.ndarray) -> np.ndarray:
+    p = np.clip(votes, 1e-6, 1 - 1e-6)
+    return np.log(p) - np.log1p(-p)
 
 
-def fit_rows(docs: DataFrame, labels: DataFrame, per_label: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, text, toxic) of about ``per_label`` labelled rows of each label, chosen by a hash of their ids."""
+def calibrate(votes: np.ndarray, labels: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and level of a logistic regression of the labels on the votes' log odds, rows weighing so that ``prior`` of them are toxic.
+
+    A slight pull towards the votes themselves keeps both finite.
+    """
+    toxic = labels == 1
+    weight = np.where(toxic, prior / max(1, toxic.sum()), (1 - prior) / max(1, (~toxic).sum())) * len(votes)
+    x = np.stack([log_odds(votes), np.ones(len(votes))], axis=1)
+    at, pull = np.array([1.0, 0.0]), 1.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -50, 50)))
+        slope = x.T @ (weight * (p - toxic)) + pull * (at - [1, 0])
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + pull * np.eye(2)
+        step = np.linalg.solve(curve, slope)
+        at = at - step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+        if np.abs(step).max() < 1e-9:
+            break
+    return max(0.0, float(at[0])), float(at[1])
+
+
+def fit_rows(docs: DataFrame, labels: DataFrame, per_label: int = FIT_ROWS) -> tuple[DataFrame, float]:
+    """(doc_id, text, toxic) of a bounded number of labelled rows of each label, chosen by a hash of their ids, and the toxic share of all."""
     known = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc32_mod("doc_id", 3) != 1))
         .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
+        .agg(F.max("toxic").cast("int").alias("toxic"))
     )
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    share = F.lit(0.0)
-    for label, n in sizes.items():
-        share = F.when(F.col("toxic") == label, F.lit(min(1.0, per_label / n))).otherwise(share)
-    # bounded by per_label, so it may be broadcast; the documents stay where they are
-    return docs.select("doc_id", "text").join(F.broadcast(known.where(draw < share)), "doc_id")
 
+    def drawn(rows: DataFrame, shares: dict[int, float], seed: int) -> DataFrame:
+        draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003
+        share = F.lit(1.0)
+        for label, x in shares.items():
+            share = F.when(F.col("toxic") == label, F.lit(min(1.0, x))).otherwise(share)
+        return rows.where(draw < share)
 
-def choose_features(rows: DataFrame, features: int = FEATURES) -> np.ndarray:
-    """Hashes of the n-grams that toxic ones of the labelled (text, toxic) rows have and others lack, by chi-squared."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, _ in chunks(batches, "text"):
-            points, doc, _ = letters(batch.column("text").to_pylist())
-            h, of = ngram_hashes(points, doc, GRAM)
-            order = np.lexsort((of, h))
-            h, of = h[order], of[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-            h, label = h[new], batch.column("toxic").to_numpy()[of[new]]
-            grams, same = np.unique(h, return_inverse=True)
-            a, n = np.bincount(same, label == 1, len(grams)).astype(np.int64), np.bincount(same, minlength=len(grams))
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(a), pa.array(n - a)], ["gram", "a", "b"])
-
-    sizes = rows.agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")).first()
-    n1, n0 = max(1, sizes.n1 or 0), max(1, sizes.n0 or 0)
-    p, p1, p0 = (F.col("a") + F.col("b")) / (n1 + n0), F.col("a") / n1, F.col("b") / n0
-    chi = (p1 - p0) ** 2 / (p * (1 - p) + 1e-12) * (n1 * n0 / (n1 + n0))
-    counts = rows.select("text", "toxic").mapInArrow(count, "gram long, a long, b long").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    best = (
-        counts.where((F.col("a") + F.col("b") >= MIN_ROWS) & (p1 >= MIN_LIFT * p0)).withColumn("chi", chi)
-        .where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "gram").limit(features)
-    )
-    return np.sort(np.array([r.gram for r in best.select("gram").collect()], np.int64).view(np.uint64))
+    # bounded by per_label, so it may be broadcast; the documents stay where they are
+    some = F.broadcast(drawn(known, {label: per_label / n for label, n in sizes.items()}, 1))
+    rows = materialize(docs.select("doc_id", "text").join(some, "doc_id"), "labelled")
+    bytes_of = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    shares = {label: FIT_BYTES / n for label, n in bytes_of.items() if n and n > FIT_BYTES}
+    return drawn(rows, shares, 2) if shares else rows, sizes.get(1, 0) / max(1, sum(sizes.values()))
 
 
-def document_frequencies(docs: DataFrame, grams: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many of all documents each feature is, and how many documents there are."""
-    shared = docs.sparkSession.sparkContext.broadcast(grams)
+def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many of all documents each word is, and how many documents there are."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(len(shared.value) + 1, np.int64), 0
         for batch, _, _ in chunks(batches, "text"):
-            _, feature, _, _ = feature_counts(shared.value, batch.column("text").to_pylist())
-            df[:-1] += np.bincount(feature, minlength=len(shared.value))
+            _, term, _ = term_counts(batch.column("text").to_pylist(), shared.value)
+            df[:-1] += np.bincount(term, minlength=len(shared.value))
             n += batch.num_rows
         df[-1] = n
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["feature", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "n"])
 
-    sums = docs.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(grams) + 1, np.int64)
-    for r in sums:
-        df[r.feature] = r.n
+    sums = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(terms) + 1, np.int64)
+    df[sums["term"].to_numpy()] = sums["n"].to_numpy()
     return df[:-1], int(df[-1])
 
 
+def relevance(doc: np.ndarray, term: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+    """The size of each word's correlation (phi) with the labels over the examples, and a little more, so that no word counts nothing."""
+    n, toxic = max(1, len(labels)), labels.sum()
+    has = np.bincount(term, minlength=size)
+    both = np.bincount(term, labels[doc], minlength=size)
+    spread = np.sqrt(has * (n - has) * float(toxic) * (n - toxic))
+    return np.abs(both * n - has * float(toxic)) / np.maximum(spread, 1) + 1 / n
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = FIT_ROWS) -> ToxicIndex:
-    """The calibrated index; the driver holds at most about 2 x ``per_label`` labelled rows."""
-    fit = materialize(fit_rows(docs, labels, per_label), "labelled")
-    grams = choose_features(fit)
-    rows = sorted(fit.collect(), key=lambda r: (r.doc_id, r.text or ""))
-    toxic = np.array([r.toxic for r in rows], np.int64)
-    df, n = document_frequencies(docs, grams) if len(grams) else (np.zeros(0, np.int64), 0)
-    idf = np.log((1 + n) / (1 + df)) + 1
-    doc, feature, weight = vectors(grams, idf, [r.text for r in rows], every=True)
-    some = np.unique(doc)
-    without = np.setdiff1d(np.arange(len(rows)), doc[feature < len(grams)])
-    number = np.full(len(rows), -1)
-    number[some] = np.arange(len(some))
-    label = toxic[some]
-    postings = np.zeros((len(grams) + 1, -(-len(some) // BLOCK), BLOCK), np.float32)
-    postings[feature, number[doc] // BLOCK, number[doc] % BLOCK] = weight
-    block_max = postings.max(axis=2, initial=0).astype(np.float64)
-    none = float(toxic[without].mean()) if len(without) else 0.0
-    index = ToxicIndex(grams, idf, postings, block_max, label, np.array([rows[i].doc_id for i in some]), none, np.zeros(1), np.zeros(1))
-    own = np.setdiff1d(np.arange(len(some)), number[without])  # examples with features: texts without are not searched for
-    starts = np.searchsorted(doc, some), np.searchsorted(doc, some, "right")
-    votes = np.zeros(len(own))
-    for j, i in enumerate(own):
-        a, b = starts[0][i], starts[1][i]
-        near, score = nearest(index, feature[a:b], weight[a:b], NEIGHBOURS, skip=i)
-        votes[j] = vote(label[near], score)
-    x, y = rising(votes, label[own]) if len(own) else (np.zeros(1), np.zeros(1))
-    return ToxicIndex(grams, idf, postings, block_max, label, index.doc_ids, none, x, y)
+    """The calibrated index; the words and counts of the bounded fit reach the driver."""
+    fit, prior = fit_rows(docs, labels, per_label)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, _ in chunks(batches, "text"):
+            doc, term, n = term_counts(batch.column("text").to_pylist())
+            at = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("toxic"),
+                    pa.ListArray.from_arrays(at, pa.array(term.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(n)),
+                ],
+                ["doc_id", "toxic", "terms", "n"],
+            )
+
+    shape = "doc_id long, toxic int, terms array<long>, n array<long>"
+    # rows of one doc_id are told apart by what they hold, so that the order is always the same
+    rows = fit.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(count, shape).orderBy("doc_id", "terms", "n").toArrow()
+    rows = rows.filter(pa.compute.greater(pa.compute.list_value_length(rows["terms"]), 0))
+    toxic, doc_ids = rows["toxic"].to_numpy().astype(np.int64), rows["doc_id"].to_numpy()
+    doc = np.repeat(np.arange(len(rows)), pa.compute.list_value_length(rows["terms"]).to_numpy())
+    hashes, n = pa.compute.list_flatten(rows["terms"]).to_numpy().view(np.uint64), pa.compute.list_flatten(rows["n"]).to_numpy()
+    terms, term = np.unique(hashes, return_inverse=True)
+    df, n_docs = document_frequencies(docs, terms) if len(terms) else (np.zeros(0, np.int64), 0)
+    weights = (np.log((1 + n_docs) / (1 + df)) + 1) * relevance(doc, term, toxic, len(terms))
+    index = build_index(terms, weights, doc, term, n, toxic, doc_ids, prior)
+    order = np.lexsort((term, doc))
+    doc, term, n = doc[order], term[order], n[order]
+    value, at = unit_vectors(weights, doc, term, n, len(rows)), np.searchsorted(doc, np.arange(len(rows) + 1))
+    votes = np.zeros(len(rows))
+    for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        near, score = nearest(index, term[a:b], value[a:b], NEIGHBOURS, skip=i)
+        votes[i] = vote(toxic[near], score, prior)
+    return ToxicIndex(**{**index.__dict__, "calibration": calibrate(votes, toxic, prior) if len(rows) else (1.0, 0.0)})
 
 
 def score_texts(index: ToxicIndex, texts: list[str | None]) -> tuple[np.ndarray, list[list[int]]]:
     """Score and the nearest examples' doc_ids (the evidence) of each text."""
-    out, evidence = np.full(len(texts), index.none_score), [[] for _ in texts]
-    doc, feature, weight = vectors(index.grams, index.idf, texts)
-    some = np.unique(doc)
-    for i, a, b in zip(some, np.searchsorted(doc, some), np.searchsorted(doc, some, "right"), strict=True):
-        near, cosine = nearest(index, feature[a:b], weight[a:b], NEIGHBOURS)
-        if len(near):
-            out[i] = np.interp(vote(index.labels[near], cosine), index.votes, index.scores)
-            evidence[i] = index.doc_ids[near[:3]].tolist()
-    return np.clip(out, 0, 1), evidence
+    if not len(index.labels):
+        return np.full(len(texts), index.prior), [[] for _ in texts]
+    votes, evidence = np.full(len(texts), index.prior), [[] for _ in texts]
+    doc, term, n = term_counts(texts, index.terms)
+    value, at = unit_vectors(index.weights, doc, term, n, len(texts)), np.searchsorted(doc, np.arange(len(texts) + 1))
+    for i in np.unique(doc).tolist():
+        near, cosine = nearest(index, term[at[i] : at[i + 1]], value[at[i] : at[i + 1]], NEIGHBOURS)
+        votes[i] = vote(index.labels[near], cosine, index.prior)
+        evidence[i] = index.doc_ids[near[:3]].tolist()
+    slope, level = index.calibration
+    return 1 / (1 + np.exp(-np.clip(slope * log_odds(votes) + level, -50, 50))), evidence
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted and evidence (doc_ids of near examples) of every document."""
+    """doc_id, held_out, score, predicted and evidence (doc_ids of the nearest examples) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,11 @@
+import collections
+import math
+import zlib
+
 import numpy as np
 
 from ledgerloom.llm import toxicity
+from tests.conftest import SMALL
 
 FINE = "the river runs along quiet fields and old stone walls number"
 BAD = "you are a worthless idiot and a stupid clown number"
@@ -45,28 +50,92 @@ def test_nothing_to_learn_and_empty_tables(stored):
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(0)
     n, f = 300, 40
-    dense = np.where(rng.random((n, f)) < 0.15, rng.random((n, f)), 0)
-    dense[:, 0] += 0.01
+    counts = np.where(rng.random((n, f)) < 0.15, rng.integers(1, 5, (n, f)), 0)
+    counts[:, 0] = np.maximum(counts[:, 0], 1)
+    counts[17] = counts[3]  # a tie
+    weights = rng.random(f) + 0.1
+    doc, term = np.nonzero(counts)
+    number = counts[doc, term]
+    index = toxicity.build_index(np.arange(f, dtype=np.uint64), weights, doc, term, number, np.zeros(n, int), np.arange(n), 0.0)
+    dense = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * weights
     dense /= np.linalg.norm(dense, axis=1)[:, None]
-    dense[17] = dense[3]  # a tie
-    blocks = -(-n // toxicity.BLOCK)
-    postings = np.zeros((f, blocks * toxicity.BLOCK), np.float32)
-    postings[:, :n] = dense.T
-    postings = postings.reshape(f, blocks, toxicity.BLOCK)
-    index = toxicity.ToxicIndex(
-        np.arange(f, dtype=np.uint64), np.ones(f), postings, postings.max(axis=2).astype(float), np.zeros(n, int), np.arange(n), 0.0, np.zeros(1), np.zeros(1)
-    )
-    stored = postings.reshape(f, -1)[:, :n].T.astype(float)
-    for i in range(40):
-        q = dense[i]
-        at = np.flatnonzero(q)
-        near, score = toxicity.nearest(index, at, q[at], 15, skip=i)
-        all_ = stored @ q
-        all_[i] = -1
-        want = np.lexsort((np.arange(n), -np.round(all_, 12)))[:15]
-        assert np.allclose(score, all_[want]) and set(near) == set(want)
-
-
-def test_calibration_rises():
-    x, y = toxicity.rising(np.array([0.1, 0.2, 0.2, 0.6, 0.7, 0.9]), np.array([0, 1, 0, 0, 1, 1]))
-    assert (np.diff(x) >= 0).all() and (np.diff(y) >= 0).all() and y[0] == 0 and y[-1] == 1
+    for i in range(60):
+        at = np.flatnonzero(dense[i])
+        near, score = toxicity.nearest(index, at, dense[i][at], 15, skip=i)
+        every = dense @ dense[i]
+        every[i] = -1
+        want = np.lexsort((np.arange(n), -np.round(every, 12)))[:15]
+        assert np.allclose(score, every[want]) and set(near) == set(want)
+
+
+def brute_scores(docs, labels):
+    """The query's scores by plain dictionaries over all words and all examples."""
+
+    def terms(text):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        return collections.Counter([*words, *(("stem", w[:5]) for w in words if len(w) > 5)])
+
+    counts = [(i, terms(t)) for i, t in docs]
+    may = {}
+    for i, toxic, _ in labels:
+        if i is not None and toxic in (0, 1) and zlib.crc32(str(i).encode()) % 3 != 1:
+            may[i] = max(toxic, may.get(i, 0))
+    prior = sum(may.values()) / len(may)
+    fit = [(i, c, may[i]) for i, c in counts if i in may and c]
+    n, toxic = len(fit), sum(y for *_, y in fit)
+    weight = {}
+    for term in set().union(*(c for _, c, _ in fit)):
+        df = sum(term in c for _, c in counts)
+        has, both = sum(term in c for _, c, _ in fit), sum(term in c and y for _, c, y in fit)
+        spread = math.sqrt(has * (n - has) * toxic * (n - toxic))
+        phi = abs(both * n - has * toxic) / spread if spread else 0
+        weight[term] = (math.log((1 + len(counts)) / (1 + df)) + 1) * (phi + 1 / n)
+
+    def unit(c):
+        w = {t: (1 + math.log(k)) * weight[t] for t, k in c.items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    units = [unit(c) for _, c, _ in fit]
+
+    def vote(c, skip=None):
+        q = unit(c)
+        near = sorted(((-sum(x * u.get(t, 0) for t, x in q.items()), k) for k, u in enumerate(units) if k != skip))[: toxicity.NEIGHBOURS]
+        near = [(-s, k) for s, k in near if s < 0]
+        return (sum(s * fit[k][2] for s, k in near) + prior) / (sum(s for s, _ in near) + 1)
+
+    slope, level = toxicity.calibrate(np.array([vote(c, k) for k, (_, c, _) in enumerate(fit)]), np.array([y for *_, y in fit]), prior)
+    return [(i, 1 / (1 + math.exp(-slope * (math.log(v) - math.log(1 - v)) - level))) for i, v in ((i, vote(c)) for i, c in counts)]
+
+
+def test_the_querys_scores_equal_brute_force(stored):
+    docs, labels = tables(stored, 120)
+    got = sorted(((r.doc_id, r.score) for r in toxicity.score_documents(docs, labels).collect()), key=str)
+    want = sorted(brute_scores([(r.doc_id, r.text) for r in docs.collect()], [tuple(r) for r in labels.collect()]), key=str)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert np.allclose([s for _, s in got], [s for _, s in want], atol=1e-9)
+
+
+def test_texts_with_a_known_word_have_evidence(spark):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    got = toxicity.score_documents(docs, labels).collect()
+    assert sum(not r.evidence for r in got) <= sum(not any(c.isalpha() for c in r.text or "") for r in docs.collect()) + 1
+    assert len({round(r.score, 9) for r in got}) > len(got) // 2
+
+
+def test_calibration_keeps_order_and_share():
+    votes, labels = np.linspace(0.01, 0.99, 200), (np.linspace(0, 1, 200) > 0.6).astype(int)
+    slope, level = toxicity.calibrate(votes, labels, 0.1)
+    p = 1 / (1 + np.exp(-slope * toxicity.log_odds(votes) - level))
+    weight = np.where(labels == 1, 0.1 / labels.sum(), 0.9 / (1 - labels).sum())
+    assert slope > 0 and abs((p * weight).sum() - 0.1) < 0.02
+    assert toxicity.calibrate(votes, 1 - labels, 0.1)[0] == 0.0
+
+
+def test_long_texts_count_whole_and_names_may_clash(stored):
+    rows = [(1, "word " * 300_000 + BAD, 1, "a"), (2, FINE, 2, "b"), (3, BAD, 3, "c"), (5, FINE + " more", 4, "d"), (6, None, None, None)]
+    docs = stored(rows, "doc_id long, text string, terms long, toxic string", "d")
+    labels = stored([(2, 0), (3, 1), (5, 0), (6, 1)], "doc_id long, toxic int", "l")
+    got = {r.doc_id: r for r in toxicity.score_documents(docs, labels).collect()}
+    assert len(got) == 5 and got[1].evidence[:1] == [3] and got[1].score > got[2].score
+    assert toxicity.keep_clean(docs, labels).schema == docs.schema
