@@ -10,9 +10,9 @@
    its documents. It compiles them into Aho-Corasick automata and streams its whole
    documents through: a hit is a window, word for word, and the hits are the result.
 
-The automata's letters are phrases of five words, each phrase with an exact number of two digits,
-so that a window is seven phrases and a node has few branches. A text is read in five phases,
-which begin at its first five words.
+The automata's letters are phrases of seven words, each phrase with an exact number of two digits,
+so that a window is five phrases and a node has few branches. A text is read in seven phases,
+which begin at its first seven words.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` as they stand. Windows are judged on the input.
 
@@ -28,6 +28,7 @@ words of others otherwise, so write other inputs with ``materialize`` first.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -42,11 +43,13 @@ from .words import WORD_BASE, run_hashes, window_anchors
 
 WINDOW, ANCHOR = 35, 12
 #: Words of a phrase, an automaton's letter; a window is a whole number of them.
-PHRASE = 5
+PHRASE = 7
 #: Windows of a passage's piece, and windows that one automaton holds.
-PIECE, PATTERNS = 128, 65_536
+PIECE, PATTERNS = 128, 131_072
 #: Bytes of text that a shard of stretches and a block of documents should hold, and the fewest shards.
-SHARD_BYTES, BLOCK_BYTES, MIN_SHARDS = 2_000_000, 6_000_000, 64
+SHARD_BYTES, BLOCK_BYTES, MIN_SHARDS = 2_000_000, 4_000_000, 64
+#: Up to this many shards that are dealt out in blocks are broadcast; more are joined.
+BROADCAST_SHARDS = 100_000
 #: Anchors with more than a HOT_ANCHORS-th of all recurring places, and HOT_PLACES at least, are broadcast: they are fewer than HOT_ANCHORS.
 HOT_ANCHORS, HOT_PLACES = 10_000, 1_000
 
@@ -195,12 +198,15 @@ def confirm(table: pa.Table, assigned: pa.Table) -> pa.Table:
         code = np.array([number.setdefault(x, len(number)) for w in words for x in w], np.int64)
         view = np.lib.stride_tricks.sliding_window_view(code, WINDOW)
         place = np.arange(len(flat)) + stretch * (WINDOW - 1)
-        n = np.zeros(len(distinct), np.int64)
-        for at in range(0, len(flat), 1 << 16):
-            some = slice(at, at + (1 << 16))
-            exact = (view[place[some]] == view[place[first[same[some]]]]).all(axis=1)
-            n += np.bincount(same[some][exact], minlength=len(distinct))
-        chosen = first[n > 1]
+        like = place[first[same]]
+        # word for word: whole windows where a run of them begins, and the last word of all others
+        head = np.ones(len(flat), bool)
+        head[1:] = (np.diff(place) != 1) | (np.diff(like) != 1)
+        equal = code[place + WINDOW - 1] == code[like + WINDOW - 1]
+        equal[head] &= (view[place[head]] == view[like[head]]).all(axis=1)
+        if not equal.all():  # keys that clash: not seen in practice
+            equal = np.array([(view[a] == view[b]).all() for a, b in zip(place.tolist(), like.tolist(), strict=True)])
+        chosen = first[np.bincount(same[equal], minlength=len(distinct)) > 1]
     if not len(chosen):
         return none
     member = np.full(len(flat), -1)
@@ -225,7 +231,8 @@ def passages(found: DataFrame) -> DataFrame:
     shards = max(MIN_SHARDS, total // SHARD_BYTES)
     most = 2 * max(1, total // shards)
     sharded = found.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int"))
-    sizes = sharded.groupBy("shard").agg(F.ceil(F.sum(F.length("words")) / most).cast("int").alias("blocks")).where("blocks > 1")
+    sizes = materialize(sharded.groupBy("shard").agg(F.ceil(F.sum(F.length("words")) / most).cast("int").alias("blocks")).where("blocks > 1"), "shards")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_SHARDS else sizes
     placed = sharded.join(sizes, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("row_no"), F.col("blocks")).cast("int")).select("shard", "block", "blocks", "words")
     assigned = (
@@ -238,76 +245,90 @@ def passages(found: DataFrame) -> DataFrame:
 
 
 class Phrases:
-    """Exact numbers, from 1, of the phrases of some pieces; 0 stands for any other phrase."""
+    """Exact numbers, from 1, of the phrases of some pieces; 0 stands for any other phrase.
+
+    Words are joined to pairs, pairs to fours, fours to runs of PHRASE words that overlap in one.
+    """
 
     def __init__(self, pieces: list[bytes]):
-        self.word: dict[bytes, int] = {}
-        self.pairs: list[np.ndarray] = []
-        for p in pieces:
-            for w in p.split():
-                self.word.setdefault(w, len(self.word) + 1)
-        self.number(self.codes([p.split() for p in pieces])[0])
+        split = [p.split() for p in pieces]
+        self.word = {w: i for i, w in enumerate({w for p in split for w in p}, 1)}
+        self.names: list[np.ndarray] = []
+        code, self.first = self.codes(split)
+        self.own = self.numbers(code)
 
     def codes(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' words by number, a 0 after each text, and each text's first place."""
         get = self.word.get
-        flat = np.fromiter((n for t in texts for n in (*(get(w, 0) for w in t), 0)), np.int64)
-        return flat, np.cumsum([0, *(len(t) + 1 for t in texts)])
+        flat: list[int] = []
+        for t in texts:
+            flat += [get(w, 0) for w in t]
+            flat.append(0)
+        return np.array(flat, np.int64), np.cumsum([0, *(len(t) + 1 for t in texts)])
 
-    def number(self, code: np.ndarray) -> np.ndarray:
-        """The number of the phrase at each place: words are joined to pairs, pairs to fours, fours and a word to fives."""
-        learn, level = not self.pairs, 0
+    def numbers(self, code: np.ndarray) -> np.ndarray:
+        """The number of the phrase at each place; those of the pieces, which come first, are made, others looked up."""
+        made, level = bool(self.names), 0
 
         def join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
             nonlocal level
-            key, known = left << 32 | right, (left > 0) & (right > 0)
-            if learn:
-                self.pairs.append(np.unique(key[known]))
-            names = self.pairs[level]
+            at = np.flatnonzero((left > 0) & (right > 0))
+            key = left[at] << 32 | right[at]
+            out = np.zeros(len(left), np.int64)
+            if not made:
+                names, number = np.unique(key, return_inverse=True)
+                self.names.append(names)
+                out[at] = number + 1
+            elif len(self.names[level]):
+                names = self.names[level]
+                number = np.minimum(np.searchsorted(names, key), len(names) - 1)
+                out[at] = np.where(names[number] == key, number + 1, 0)
             level += 1
-            if not len(names):
-                return np.zeros(len(key), np.int64)
-            at = np.minimum(np.searchsorted(names, key), len(names) - 1)
-            return np.where(known & (names[at] == key), at + 1, 0)
+            return out
 
         padded = np.append(code, np.zeros(PHRASE - 1, np.int64))
         two = join(padded[:-1], padded[1:])
         four = join(two[:-2], two[2:])
-        return join(four[:-1], padded[PHRASE - 1 :])
+        return join(four[: len(code)], four[PHRASE - 4 : PHRASE - 4 + len(code)])
 
-    def stream(self, code: np.ndarray) -> tuple[str, int]:
-        """The phrases in five phases one after another, two digits each, and how many phrases a phase has."""
-        number = self.number(code)
+    def stream(self, number: np.ndarray) -> tuple[str, np.ndarray]:
+        """The phrases in their phases, one after another and two digits each, and each one's place; of a row of unknown phrases one stands."""
         steps = -(-len(number) // PHRASE) + 1  # at least one unknown phrase parts the phases
-        phases = np.append(number, np.zeros(steps * PHRASE - len(number), np.int64)).reshape(steps, PHRASE).T.ravel()
-        base = math.isqrt(len(self.pairs[-1])) + 1
+        padded = np.append(number, np.zeros(steps * PHRASE - len(number), np.int64)).reshape(steps, PHRASE)
+        phases, place = padded.T.ravel(), np.arange(steps * PHRASE).reshape(steps, PHRASE).T.ravel()
+        keep = phases > 0
+        keep[1:] |= keep[:-1]
+        phases, place = phases[keep], place[keep]
+        base = math.isqrt(len(self.names[-1])) + 1
         digits = np.stack([1 + phases // base, 2 + base + phases % base], axis=1)
         digits[phases == 0] = 0
         digits[digits >= 0xD800] += 0x800  # these are no characters
-        return digits.ravel().astype("<u4").tobytes().decode("utf-32-le"), steps
+        return digits.ravel().astype("<u4").tobytes().decode("utf-32-le"), place
 
 
 def locate(pieces: list[bytes], texts: list[list[bytes]]) -> list[np.ndarray | None]:
     """For each text (as words) which of its words the automata's hits cover; None for none."""
     phrases = Phrases(pieces)
+    letters = WINDOW // PHRASE
+    written, place = phrases.stream(phrases.own)
+    starts = np.zeros(len(phrases.own), bool)  # a piece's windows begin where whole ones do
+    starts[np.concatenate([np.arange(a, b - WINDOW) for a, b in itertools.pairwise(phrases.first)])] = True
+    inside = place < len(starts)
+    inside[inside] = starts[place[inside]]
+    patterns = sorted({written[x : x + 2 * letters] for x in (2 * np.flatnonzero(inside)).tolist()})
     code, first = phrases.codes(texts)
-    text, steps = phrases.stream(code)
-    own, from_word = phrases.codes([p.split() for p in pieces])
-    written, own_steps = phrases.stream(own)
-    start = np.concatenate([np.arange(a, b - WINDOW) for a, b in zip(from_word[:-1], from_word[1:], strict=True)])
-    patterns = list({written[2 * x : 2 * x + 2 * WINDOW // PHRASE] for x in (start % PHRASE * own_steps + start // PHRASE).tolist()})
+    text, place = phrases.stream(phrases.numbers(code))
     cover = np.zeros(len(code) + 1, np.int64)
     for at in range(0, len(patterns), PATTERNS):
         windows = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for p in patterns[at : at + PATTERNS]:
             windows.add_word(p, 1)
         windows.make_automaton()
-        hit = np.fromiter((end for end, _ in windows.iter(text)), np.int64) // 2 - (WINDOW // PHRASE - 1)
-        place = hit % steps * PHRASE + hit // steps
-        np.add.at(cover, place, 1)
-        np.add.at(cover, np.minimum(place + WINDOW, len(code)), -1)
+        hit = place[np.fromiter((end for end, _ in windows.iter(text)), np.int64) // 2 - (letters - 1)]
+        np.add.at(cover, hit, 1)
+        np.add.at(cover, np.minimum(hit + WINDOW, len(code)), -1)
     covered = np.cumsum(cover[:-1]) > 0
-    parts = [covered[a : b - 1] for a, b in zip(first[:-1], first[1:], strict=True)]
+    parts = [covered[a : b - 1] for a, b in itertools.pairwise(first)]
     return [p if p.any() else None for p in parts]
 
 

@@ -133,9 +133,10 @@ def test_calibration_keeps_order_and_share():
 
 
 def test_long_texts_count_whole_and_names_may_clash(stored):
-    rows = [(1, "word " * 300_000 + BAD, 1, "a"), (2, FINE, 2, "b"), (3, BAD, 3, "c"), (5, FINE + " more", 4, "d"), (6, None, None, None)]
+    a, b, c = [i for i in range(2, 20) if zlib.crc32(str(i).encode()) % 3 != 1][:3]  # these may be learned from
+    rows = [(1, "word " * 300_000 + BAD, 1, "a"), (a, FINE, 2, "b"), (b, BAD, 3, "c"), (c, FINE + " more", 4, "d"), (0, None, None, None)]
     docs = stored(rows, "doc_id long, text string, terms long, toxic string", "d")
-    labels = stored([(2, 0), (3, 1), (5, 0), (6, 1)], "doc_id long, toxic int", "l")
+    labels = stored([(a, 0), (b, 1), (c, 0)], "doc_id long, toxic int", "l")
     got = {r.doc_id: r for r in toxicity.score_documents(docs, labels).collect()}
-    assert len(got) == 5 and got[1].evidence[:1] == [3] and got[1].score > got[2].score
+    assert len(got) == 5 and got[1].evidence[:1] == [b] and got[1].score > got[a].score
     assert toxicity.keep_clean(docs, labels).schema == docs.schema
