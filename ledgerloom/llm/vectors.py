@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,12 @@ def distinct_vectors(usable: DataFrame, keep: int) -> DataFrame:
     )
 
 
+def spread(ids: list[list[int]], blocks: np.ndarray | int) -> np.ndarray:
+    """A block for each list of ids, by a hash of its first."""
+    first = np.array([x[0] for x in ids], np.int64).view(np.uint64)
+    return ((first * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of doubles of a binary column."""
     rows = column.to_pylist()
@@ -62,23 +68,24 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def best_of(scores: np.ndarray, ids: list[list[int]], own: int, k: int) -> tuple[list[int], list[float]]:
     """The k best (id, score) of distinct vectors' scores; ``own`` is left out and ties go to smaller ids."""
-    if len(scores) > k:
-        near = np.flatnonzero(scores >= np.partition(scores, -k - 1)[-k - 1])  # one more, as one may be the query itself
-    else:
-        near = np.arange(len(scores))
+    least = np.partition(scores, -k - 1)[-k - 1] if len(scores) > k else -np.inf  # one more, as one may be the query itself
+    near = np.flatnonzero((scores >= least) & (scores > -np.inf))
     found = sorted((-scores[i], x) for i in near.tolist() for x in ids[i] if x != own)[:k]
     return [x for _, x in found], [-s for s, _ in found]
 
 
-def search_groups(rows: DataFrame, k: int, keys: list[str]) -> DataFrame:
+def search_groups(rows: DataFrame, k: int, keys: list[str], candidates: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """query_id, vec_id and score: the k best of each query within each group.
 
     ``rows`` has the keys, query_id (null for data), vec, ids. A task streams
     its groups: a group's data come first and stay, its queries pass by in batches.
+    With ``candidates`` they also have ranges (an array of numbers), and it tells from those of
+    data and queries which pairs count.
     """
+    more = ["ranges"] if candidates else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, vecs, ids, data = None, [], [], None
+        now, vecs, ids, data, marks = None, [], [], None, []
         for batch in batches:
             names = list(zip(*(batch.column(c).to_pylist() for c in keys), strict=True))
             query, vec = batch.column("query_id").to_pylist(), batch.column("vec")
@@ -86,18 +93,22 @@ def search_groups(rows: DataFrame, k: int, keys: list[str]) -> DataFrame:
             out: tuple[list, list, list] = ([], [], [])
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if names[a] != now:
-                    now, vecs, ids, data = names[a], [], [], None
+                    now, vecs, ids, data, marks = names[a], [], [], None, []
                 middle = a
                 while middle < b and query[middle] is None:
                     middle += 1
                 if middle > a:
                     vecs.append(matrix(vec.slice(a, middle - a)))
                     ids += batch.column("ids").slice(a, middle - a).to_pylist()
+                    marks += batch.column("ranges").slice(a, middle - a).to_pylist() if candidates else []
                 if middle < b and ids:
                     data = np.concatenate(vecs) if data is None else data
                     for first in range(middle, b, 256):
                         last = min(b, first + 256)
                         scores = matrix(vec.slice(first, last - first)) @ data.T
+                        if candidates:
+                            asked = np.array(batch.column("ranges").slice(first, last - first).to_pylist(), np.int16)
+                            scores[~candidates(np.array(marks, np.int16), asked)] = -np.inf
                         for q, s in zip(query[first:last], scores, strict=True):
                             found, value = best_of(s, ids, q, k)
                             out[0].extend([q] * len(found))
@@ -108,7 +119,7 @@ def search_groups(rows: DataFrame, k: int, keys: list[str]) -> DataFrame:
             )
 
     placed = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("query_id").asc_nulls_first())
-    return placed.select(*keys, "query_id", "vec", "ids").mapInArrow(run, "query_id long, vec_id long, score double")
+    return placed.select(*keys, "query_id", "vec", "ids", *more).mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def top_k(found: DataFrame, k: int) -> DataFrame:

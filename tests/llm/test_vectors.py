@@ -73,6 +73,50 @@ def test_approximate_search_recall_and_edges(stored, monkeypatch):
     assert all(abs(exact[q, i] - s) < 1e-9 for q, v in got.items() for i, s in v)
 
 
+def test_ranks_follow_the_orderings(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART", 100)
+    keys = np.random.default_rng(3).integers(0, 400, (900, ann.CURVES))  # with ties
+    keyed = spark.createDataFrame([(i, k) for i, k in enumerate(keys.tolist())], "no long, keys array<long>").repartition(3)
+    got = {r.no: r.ranges for r in ann.ranked(keyed, 900, 32).collect()}
+    for c in range(ann.CURVES):
+        order = np.lexsort((np.arange(900), keys[:, c]))
+        assert [got[i][c] for i in order.tolist()] == [rank * 32 // 900 for rank in range(900)]
+
+
+def clustered(n=3_000, dims=24, clusters=60):
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(clusters, dims))
+    x = middles[rng.integers(0, clusters, n)] + 0.15 * rng.normal(size=(n, dims))
+    return (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+
+
+@pytest.mark.parametrize("kind, reach, share", [("clustered", 1, 0.45), ("isotropic", ann.REACH, 0.9)])
+def test_windows_are_a_share_of_the_rows(stored, spark, monkeypatch, kind, reach, share):
+    monkeypatch.setattr(ann, "REACH", reach)
+    x = clustered() if kind == "clustered" else np.random.default_rng(2).normal(size=(3_000, 24)).astype(np.float32)
+    data = [(i, v.tolist(), 0, 1) for i, v in enumerate(x)]
+    keyed = [(i, k) for i, k in enumerate(ann.Curves(x.astype(float)).keys(x.astype(float)).tolist())]
+    ranges = {r.no: r.ranges for r in ann.ranked(spark.createDataFrame(keyed, "no long, keys array<long>"), len(x), ann.RANGES).collect()}
+    marks = np.array([ranges[i] for i in range(len(x))])
+    queries = np.arange(0, len(x), 20)
+    near = ann.in_window(marks, marks[queries])
+    assert near.mean() < share
+    exact = x[queries].astype(float) @ x.astype(float).T
+    exact[np.arange(len(queries)), queries] = -np.inf
+    top = np.argsort(-exact, axis=1)[:, :20]
+    assert np.take_along_axis(near, top, 1).mean() >= 0.9
+    got = collected(ann.nearest(stored(data, SHAPE), F.col("vec_id") % 20 == 0, 20))
+    hit = [len({i for i, _ in got[q]} & set(t)) / 20 for q, t in zip(queries.tolist(), top.tolist(), strict=True)]
+    assert np.mean(hit) >= 0.9 and all(ann.in_window(marks[[i for i, _ in v]], marks[[q]]).all() for q, v in got.items())
+
+
+def test_an_id_with_several_vectors_and_columns_that_clash(stored):
+    data = [(0, [1.0, 0.0], 1, 2), (20, [0.5, 0.0], 3, 4), (20, [0.0, 3.0], 5, 6), (7, [2.0, 1.0], 7, 8), (40, [1.0, 1.0], 9, 9)]
+    df = stored(data, "vec_id long, embedding array<float>, ranges int, query_id int")
+    for got in (collected(ann.nearest(df, F.col("vec_id") % 20 == 0, 3)), collected(knn.nearest(df, F.col("vec_id") % 20 == 0, 3))):
+        assert got == {0: [(7, 2.0), (40, 1.0), (20, 0.5)], 20: [(7, 3.0), (40, 3.0), (0, 0.5)], 40: [(7, 3.0), (20, 3.0), (0, 1.0)]}
+
+
 def test_few_and_no_vectors(stored):
     df = stored(rows()[:3], SHAPE)
     assert {q: len(v) for q, v in collected(ann.nearest(df, F.col("vec_id") % 20 == 0, 20)).items()} == {0: 2}
