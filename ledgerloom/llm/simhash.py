@@ -7,9 +7,9 @@ give stars (value, smallest linked value) instead of pairs. Rounds of
 large-star and small-star joins then merge the stars into components.
 
 Defined cases: a null text, or one without a word, has fingerprint 0 and links
-like any other; repeated rows share a fingerprint and a component; a null
-doc_id never is a component's id unless the component has no other; an empty
-table gives an empty result.
+like any other; a text of any length is read whole; repeated rows share a fingerprint and a component; a null
+doc_id never is a component's id unless the component has no other; other columns, whatever they are called,
+play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ from . import minhash, vptree
 from .common import chunks, drop_materialized, materialize
 
 SHINGLE, SEED, REACH = 3, 42, 3
-#: Fingerprints of which the shards' tree is built (a bound).
-SAMPLE = 65_536
+#: Fingerprints of which the shards' tree is built: so many, or SAMPLE_ROOT times the square root of all, so that shards can grow in number.
+SAMPLE, SAMPLE_ROOT = 65_536, 4
 #: A shard should hold this many times the square root of all distinct fingerprints: queries visit
 #: a share of the shards, so that fewer, larger ones keep the rows sent near to proportion with the input.
 SHARD = 8
-#: A shard with more fingerprints of its own than this (a dense ball that no tree can part) is searched in blocks.
+#: A shard with more fingerprints of its own than this (a dense ball that no tree can part), or more queries, is searched in blocks of both.
 BLOCK = 262_144
 
 
@@ -68,10 +68,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def shard_tree(distinct: DataFrame, total: int) -> tuple[vptree.Node, int]:
-    """The shards' tree, from a bounded sample of the fingerprints chosen by hash."""
-    share = min(1.0, SAMPLE / max(1, total))
+    """The shards' tree, from a sample of the fingerprints chosen by hash."""
+    size = max(SAMPLE, int(SAMPLE_ROOT * total**0.5))
+    share = min(1.0, size / max(1, total))
     draw = F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1_000_003)) / 1_000_003
-    sample = distinct.where(draw < share).select("fp").limit(2 * SAMPLE).toArrow()["fp"].to_numpy()
+    sample = distinct.where(draw < share).select("fp").limit(2 * size).toArrow()["fp"].to_numpy()
     return vptree.build(np.sort(sample.view(np.uint64)), max(16, int(SHARD * total**0.5 * share)))
 
 
@@ -82,36 +83,52 @@ def star_links(distinct: DataFrame) -> DataFrame:
     tree = spark.sparkContext.broadcast(root)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(leaves, np.int64)
+        n, asked = np.zeros(leaves, np.int64), np.zeros(leaves, np.int64)
         for batch in batches:
-            n += np.bincount(vptree.home_leaves(tree.value, batch.column("fp").to_numpy().view(np.uint64)), minlength=leaves)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(leaves)), pa.array(n)], ["leaf", "n"])
+            fp = batch.column("fp").to_numpy().view(np.uint64)
+            n += np.bincount(vptree.home_leaves(tree.value, fp), minlength=leaves)
+            asked += np.bincount(vptree.visits(tree.value, fp, REACH)[1], minlength=leaves)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(leaves)), pa.array(n), pa.array(asked)], ["leaf", "n", "asked"])
 
-    homes = distinct.select("fp").mapInArrow(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()
-    blocks = np.ones(leaves, np.int64)
-    for r in homes:
+    counts = distinct.select("fp").mapInArrow(count, "leaf long, n long, asked long").groupBy("leaf")
+    blocks, turns = np.ones(leaves, np.int64), np.ones(leaves, np.int64)
+    for r in counts.agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")).collect():
         blocks[r.leaf] = max(1, -(-r.n // BLOCK))
+        turns[r.leaf] = max(1, -(-(r.asked + r.n * (blocks[r.leaf] > 1)) // BLOCK))
+
+    def dealt(fp: np.ndarray, parts: np.ndarray, times: int) -> np.ndarray:
+        """One of so many parts for each fingerprint; near ones don't go together."""
+        return ((fp * np.uint64(times) >> np.uint64(33)) % parts.astype(np.uint64)).astype(np.int64)
+
+    def each(parts: np.ndarray) -> np.ndarray:
+        """0, 1 ... up to each number of parts."""
+        return np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)
             leaf = vptree.home_leaves(tree.value, fp)
-            block = (fp % blocks[leaf].astype(np.uint64)).astype(np.int64)
+            block = dealt(fp, blocks[leaf], 0x9E3779B97F4A7C15)
+            # a value's own block is searched once for each of its shard's turns of queries
+            home = np.repeat(np.arange(len(fp)), turns[leaf])
             at, to = vptree.visits(tree.value, fp, REACH)
             # a query visits all blocks of a shard; a value of a shard in blocks visits those after its own
-            more, times = np.repeat(at, blocks[to]), blocks[to]
-            to_block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            more = np.repeat(np.arange(len(at)), blocks[to])
             later = blocks[leaf] - 1 - block
             own = np.repeat(np.arange(len(fp)), later)
-            own_block = block[own] + 1 + np.arange(later.sum()) - np.repeat(np.cumsum(later) - later, later)
+            query = np.concatenate([at[more], own])
+            to_leaf = np.concatenate([to[more], leaf[own]])
+            to_block = np.concatenate([each(blocks[to]), block[own] + 1 + each(later)])
+            turn = dealt(fp[query], turns[to_leaf], 0xD6E8FEB86659FD93)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([leaf, np.repeat(to, times), leaf[own]])),
-                    pa.array(np.concatenate([block, to_block, own_block])),
-                    pa.array(np.concatenate([fp, fp[more], fp[own]]).view(np.int64)),
-                    pa.array(np.arange(len(fp) + len(more) + len(own)) < len(fp)),
+                    pa.array(np.concatenate([leaf[home], to_leaf])),
+                    pa.array(np.concatenate([block[home], to_block])),
+                    pa.array(np.concatenate([each(turns[leaf]), turn])),
+                    pa.array(np.concatenate([fp[home], fp[query]]).view(np.int64)),
+                    pa.array(np.arange(len(home) + len(query)) < len(home)),
                 ],
-                ["leaf", "block", "fp", "home"],
+                ["leaf", "block", "turn", "fp", "home"],
             )
 
     def solve(group: pa.Table) -> pa.Table:
@@ -120,8 +137,8 @@ def star_links(distinct: DataFrame) -> DataFrame:
         a, b = vptree.local_stars(fp[home], fp[~home], REACH)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    sent = distinct.select("fp").mapInArrow(send, "leaf long, block long, fp long, home boolean")
-    return sent.groupBy("leaf", "block").applyInArrow(solve, "a long, b long")
+    sent = distinct.select("fp").mapInArrow(send, "leaf long, block long, turn long, fp long, home boolean")
+    return sent.groupBy("leaf", "block", "turn").applyInArrow(solve, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -206,8 +223,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     their places, so that texts of one doc_id in different groups all stay; of a group's rows that share
     its smallest doc_id, the text decides. A row without a doc_id stays.
     """
-    rows = docs.withColumn("_row_no", F.monotonically_increasing_id())
-    groups = materialize(near_components(rows.select(F.col("_row_no").alias("row_no"), "doc_id", "text")), "near-groups")
+    names = docs.columns
+    inner = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names)]  # no name of the input can clash
+    rows = docs.toDF(*inner).withColumn("row_no", F.monotonically_increasing_id())
+    groups = materialize(near_components(rows.select("row_no", "doc_id", "text")), "near-groups")
     first = groups.where("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "fp", "words", "row_no")).alias("least")).select("least.row_no")
-    kept = first.union(groups.where("doc_id IS NULL").select("row_no")).withColumnRenamed("row_no", "_row_no")
-    return rows.join(materialize(kept, "kept"), "_row_no", "left_semi").select(*docs.columns)
+    kept = first.union(groups.where("doc_id IS NULL").select("row_no"))
+    return rows.join(materialize(kept, "kept"), "row_no", "left_semi").select(*inner).toDF(*names)
