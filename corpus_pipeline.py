@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before it kept; all but the last return the columns of ``documents``.
+
+Defined cases: a null or letterless text is in no language and leaves at the first stage; a text without a word that
+the labels know stays at the second; repeated rows, and rows that share a doc_id, are judged each by its own text, and of near
+copies one row of the smallest doc_id stays, and every row without a doc_id; a text whose words all repeat
+stays as an empty one and is packed as its closing id; texts of any length are read whole by every stage; columns of
+any other name pass through unchanged; an empty table passes all stages, empty.
 """
 
 from __future__ import annotations
