@@ -4,9 +4,9 @@ Texts are TF-IDF vectors over all words that the examples have. A word's weight
 documents times its relevance, the size of its correlation with the labels: words are many
 and most occur once or twice, so that by IDF alone chance words decide who is near.
 A block-max inverted index of a bounded set of labelled examples gives each
-text its exact nearest examples by cosine: an upper bound for each block of
-examples comes from its words' block maxima, and postings of blocks are read in
-the order of their bounds until no other block can hold a nearer example. The neighbours vote with
+text its exact nearest examples by cosine. The postings of the text's rarer words are read whole; what its
+frequent words can add in a block of examples is bounded by their block maxima, and their postings are read
+in the blocks of the largest bounds first, then only in those that can still hold a nearer example. The neighbours vote with
 their cosines as weights, beside one vote of the labels' share; votes are calibrated on the
 examples themselves, each left out of its own vote.
 
@@ -14,7 +14,7 @@ Words are runs of letters, lower-cased; one of more than five letters also count
 
 Defined cases: a null, empty or letterless text, and any text without a word of
 the examples, has no evidence and scores as the labels' share does; repeated rows
-and shared doc_ids are each scored by their own text; a text of any length is scored whole; equal cosines go to the
+and shared doc_ids are each scored by their own text; a text of any length is scored whole; cosines equal to 12 digits go to the
 earlier example (smaller doc_id first); labels without a document, documents without a label and
 null labels teach nothing; with no labels at all every score is 0; other columns, whatever they are called,
 play no part; an empty table gives an empty result.
@@ -22,6 +22,8 @@ play no part; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import dataclasses
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +43,8 @@ FIT_ROWS, FIT_BYTES = 3_000, 32_000_000
 STEM = 5
 #: Nearest examples that vote, and examples in a block of the index.
 NEIGHBOURS, BLOCK = 15, 64
+#: A word is frequent if one in so many examples has it; blocks that are read at first; texts that are searched at once.
+FREQUENT, FIRST_BLOCKS, TOGETHER = 20, 4, 128
 #: Scores from here on are predicted toxic.
 TOXIC = 0.7
 
@@ -53,11 +57,8 @@ class ToxicIndex:
     #: by word, then example: the examples that have it and its weight there (of unit vectors)
     examples: np.ndarray
     values: np.ndarray
-    #: by word, then block with that word: each word's first cell, and each cell's block, first posting and largest weight
-    first_cell: np.ndarray
-    blocks: np.ndarray
-    first_posting: np.ndarray
-    maxima: np.ndarray
+    #: each word's first posting, and one more for the end
+    first: np.ndarray
     labels: np.ndarray
     doc_ids: np.ndarray
     #: share of toxic rows among all labelled ones
@@ -65,6 +66,21 @@ class ToxicIndex:
     #: slope and level of the calibration, on the log odds of a vote
     calibration: tuple[float, float] = (1.0, 0.0)
 
+    @functools.cached_property
+    def frequent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each word's number among the frequent ones (-1: rarer), their postings by block (words x blocks x BLOCK), and block maxima."""
+        often = np.flatnonzero(np.diff(self.first) * FREQUENT >= len(self.labels))
+        number = np.full(len(self.terms), -1)
+        number[often] = np.arange(len(often))
+        postings = np.zeros((len(often), -(-len(self.labels) // BLOCK) * BLOCK))
+        at, of = spans(self.first[often], self.first[often + 1])
+        postings[of, self.examples[at]] = self.values[at]
+        postings = postings.reshape(len(often), -1, BLOCK)
+        return number, postings, postings.max(axis=2, initial=0)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "frequent"}
+
 
 def term_counts(texts: list[str | None], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, word, count) triples, ordered by text and word; words are hashes, or places in ``known`` where only those count."""
@@ -103,16 +119,8 @@ def build_index(
     """The inverted index of examples given as (example, word, count) triples."""
     values = unit_vectors(weights, doc, term, n, len(labels))
     order = np.lexsort((doc, term))
-    term, doc, values = term[order], doc[order], values[order]
-    block = doc // BLOCK
-    new = np.ones(len(term), bool)
-    new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-    first = np.flatnonzero(new)
-    maxima = np.maximum.reduceat(values, first) if len(first) else np.zeros(0)
-    return ToxicIndex(
-        terms, weights, doc.astype(np.int32), values, np.searchsorted(term[first], np.arange(len(terms) + 1)),
-        block[first].astype(np.int32), np.append(first, len(term)), maxima, labels, doc_ids, prior,
-    )
+    first = np.searchsorted(term[order], np.arange(len(terms) + 1))
+    return ToxicIndex(terms, weights, doc[order].astype(np.int32), values[order], first, labels, doc_ids, prior)
 
 
 def spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,34 +130,48 @@ def spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(of)) - np.repeat(np.cumsum(size) - size - first, size), of
 
 
-def nearest(index: ToxicIndex, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """The exact k nearest examples of one vector: their numbers and cosines, nearest first.
+def nearest(
+    index: ToxicIndex, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, k: int, skip: np.ndarray | None = None
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The exact k nearest examples of each of ``size`` vectors, given as (text, word, weight): their numbers and cosines, nearest first.
 
-    ``skip`` is an example that doesn't count (when an example is its own query).
-    Blocks are taken in the order of their bounds, a few more each time, until
-    no other block can hold a nearer example.
+    ``skip`` has for each vector an example that doesn't count (where examples are their own queries).
     """
-    cell, of = spans(index.first_cell[term], index.first_cell[term + 1])
-    block, n_blocks = index.blocks[cell], -(-len(index.labels) // BLOCK)
-    bound = np.bincount(block, weight[of] * index.maxima[cell], minlength=n_blocks)
-    order = np.argsort(-bound, kind="stable")
-    order = order[bound[order] > 0]
-    near, score = np.zeros(0, np.int64), np.zeros(0)
-    done, step = 0, 4
-    while done < len(order) and not (len(near) == k and bound[order[done]] < score[-1] - 1e-9):
-        taken = np.zeros(n_blocks, bool)
-        taken[order[done : done + step]] = True
-        use = np.flatnonzero(taken[block])
-        at, which = spans(index.first_posting[cell[use]], index.first_posting[cell[use] + 1])
-        dot = np.bincount(index.examples[at], weight[of[use[which]]] * index.values[at], minlength=len(index.labels))
-        if skip >= 0:
-            dot[skip] = 0
-        own = np.flatnonzero(dot > 0)
-        near, score = np.append(near, own), np.append(score, dot[own])
-        best = np.lexsort((near, -score))[:k]
-        near, score = near[best], score[best]
-        done, step = done + step, 2 * step
-    return near, score
+    number, postings, maxima = index.frequent
+    n, n_blocks = len(index.labels), postings.shape[1]
+    rare = np.flatnonzero(number[term] < 0)
+    at, of = spans(index.first[term[rare]], index.first[term[rare] + 1])
+    exact = np.bincount(
+        doc[rare][of] * (n_blocks * BLOCK) + index.examples[at], weight[rare][of] * index.values[at], minlength=size * n_blocks * BLOCK
+    ).reshape(size, n_blocks, BLOCK)
+    often = np.zeros((size, len(postings)))
+    common = np.flatnonzero(number[term] >= 0)
+    often[doc[common], number[term[common]]] = weight[common]
+    bound = exact.max(axis=2, initial=0) + often @ maxima
+    score = np.full((size, n_blocks, BLOCK), -1.0)
+    done = np.zeros((size, n_blocks), bool)
+
+    def read(wanted: np.ndarray) -> None:
+        for block in np.flatnonzero(wanted.any(axis=0)).tolist():
+            some = np.flatnonzero(wanted[:, block])
+            score[some, block] = exact[some, block] + often[some] @ postings[:, block]
+        done[wanted] = True
+        if skip is not None:
+            score.reshape(size, -1)[np.arange(size), skip] = -1.0
+
+    first = np.zeros((size, n_blocks), bool)
+    np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
+    read(first & (bound > 0))
+    flat = score.reshape(size, -1)
+    least = np.partition(flat, -k, axis=1)[:, -k] if flat.shape[1] > k else np.full(size, -1.0)
+    read(~done & (bound > 0) & (bound >= least[:, None] - 1e-9))
+    least = np.partition(flat, -k, axis=1)[:, -k] if flat.shape[1] > k else np.full(size, -1.0)
+    out = []
+    for row, low in zip(flat[:, :n], least.tolist(), strict=True):
+        own = np.flatnonzero((row >= low - 1e-12) & (row > 0))
+        own = own[np.lexsort((own, -np.round(row[own], 12)))][:k]
+        out.append((own, row[own]))
+    return out
 
 
 def vote(labels: np.ndarray, score: np.ndarray, prior: float) -> float:
@@ -266,10 +288,12 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = FIT_ROWS) -> Toxi
     doc, term, n = doc[order], term[order], n[order]
     value, at = unit_vectors(weights, doc, term, n, len(rows)), np.searchsorted(doc, np.arange(len(rows) + 1))
     votes = np.zeros(len(rows))
-    for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-        near, score = nearest(index, term[a:b], value[a:b], NEIGHBOURS, skip=i)
-        votes[i] = vote(toxic[near], score, prior)
-    return ToxicIndex(**{**index.__dict__, "calibration": calibrate(votes, toxic, prior) if len(rows) else (1.0, 0.0)})
+    for low in range(0, len(rows), TOGETHER):
+        high = min(len(rows), low + TOGETHER)
+        some = slice(at[low], at[high])
+        found = nearest(index, doc[some] - low, term[some], value[some], high - low, NEIGHBOURS, np.arange(low, high))
+        votes[low:high] = [vote(toxic[near], score, prior) for near, score in found]
+    return dataclasses.replace(index, calibration=calibrate(votes, toxic, prior) if len(rows) else (1.0, 0.0))
 
 
 def score_texts(index: ToxicIndex, texts: list[str | None]) -> tuple[np.ndarray, list[list[int]]]:
@@ -277,12 +301,13 @@ def score_texts(index: ToxicIndex, texts: list[str | None]) -> tuple[np.ndarray,
     if not len(index.labels):
         return np.full(len(texts), index.prior), [[] for _ in texts]
     votes, evidence = np.full(len(texts), index.prior), [[] for _ in texts]
-    doc, term, n = term_counts(texts, index.terms)
-    value, at = unit_vectors(index.weights, doc, term, n, len(texts)), np.searchsorted(doc, np.arange(len(texts) + 1))
-    for i in np.unique(doc).tolist():
-        near, cosine = nearest(index, term[at[i] : at[i + 1]], value[at[i] : at[i + 1]], NEIGHBOURS)
-        votes[i] = vote(index.labels[near], cosine, index.prior)
-        evidence[i] = index.doc_ids[near[:3]].tolist()
+    for low in range(0, len(texts), TOGETHER):
+        some = texts[low : low + TOGETHER]
+        doc, term, n = term_counts(some, index.terms)
+        found = nearest(index, doc, term, unit_vectors(index.weights, doc, term, n, len(some)), len(some), NEIGHBOURS)
+        for i, (near, cosine) in enumerate(found, low):
+            votes[i] = vote(index.labels[near], cosine, index.prior)
+            evidence[i] = index.doc_ids[near[:3]].tolist()
     slope, level = index.calibration
     return 1 / (1 + np.exp(-np.clip(slope * log_odds(votes) + level, -50, 50))), evidence
 

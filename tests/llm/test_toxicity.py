@@ -3,6 +3,7 @@ import math
 import zlib
 
 import numpy as np
+import pytest
 
 from ledgerloom.llm import toxicity
 from tests.conftest import SMALL
@@ -47,7 +48,8 @@ def test_nothing_to_learn_and_empty_tables(stored):
     assert toxicity.score_documents(docs.where("false"), labels).collect() == []
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("frequent", [1, 4, 1_000])
+def test_block_max_search_is_exact(monkeypatch, frequent):
     rng = np.random.default_rng(0)
     n, f = 300, 40
     counts = np.where(rng.random((n, f)) < 0.15, rng.integers(1, 5, (n, f)), 0)
@@ -59,13 +61,29 @@ def test_block_max_search_is_exact():
     index = toxicity.build_index(np.arange(f, dtype=np.uint64), weights, doc, term, number, np.zeros(n, int), np.arange(n), 0.0)
     dense = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * weights
     dense /= np.linalg.norm(dense, axis=1)[:, None]
-    for i in range(60):
-        at = np.flatnonzero(dense[i])
-        near, score = toxicity.nearest(index, at, dense[i][at], 15, skip=i)
+    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+    row, column = np.nonzero(dense[:60])
+    got = toxicity.nearest(index, row, column, dense[row, column], 60, 15, np.arange(60))
+    for i, (near, score) in enumerate(got):
         every = dense @ dense[i]
         every[i] = -1
         want = np.lexsort((np.arange(n), -np.round(every, 12)))[:15]
-        assert np.allclose(score, every[want]) and set(near) == set(want)
+        assert np.allclose(score, every[want]) and near.tolist() == want.tolist()
+
+
+def test_blocks_that_cannot_hold_a_nearer_example_are_not_read(monkeypatch):
+    counts = np.zeros((640, 12), int)
+    counts[:, 0] = 1
+    counts[np.arange(640), 1 + np.arange(640) // 64] = 9  # a word of its own for each block
+    doc, term = np.nonzero(counts)
+    index = toxicity.build_index(np.arange(12, dtype=np.uint64), np.ones(12), doc, term, counts[doc, term], np.zeros(640, int), np.arange(640), 0.0)
+    number, postings, maxima = index.frequent
+    broken = postings.copy()
+    broken[:, 5:] = np.nan  # reading these would show
+    index.__dict__["frequent"] = (number, broken, maxima)
+    q = np.array([0.2, 0.9])
+    (near, score), = toxicity.nearest(index, np.zeros(2, int), np.array([0, 1]), q, 1, 15)
+    assert near.tolist() == list(range(15)) and not np.isnan(score).any()
 
 
 def brute_scores(docs, labels):
