@@ -22,7 +22,6 @@ play no part; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import dataclasses
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ from .ngrams import letters
 from .words import BASE, run_hashes
 
 #: Bounds of the fit, for each label: rows that examples come from, and bytes of their texts (both on average, by a draw of a hash).
-FIT_ROWS, FIT_BYTES = 3_000, 32_000_000
+FIT_ROWS, FIT_BYTES = 2_000, 32_000_000
 #: Letters of a stem.
 STEM = 5
 #: Nearest examples that vote, and examples in a block of the index.
@@ -60,11 +60,11 @@ class ToxicIndex:
     #: each word's first posting, and one more for the end
     first: np.ndarray
     labels: np.ndarray
+    #: by example, in their order: doc_ids, and hashes of the texts
     doc_ids: np.ndarray
+    keys: np.ndarray
     #: share of toxic rows among all labelled ones
     prior: float
-    #: slope and level of the calibration, on the log odds of a vote
-    calibration: tuple[float, float] = (1.0, 0.0)
 
     @functools.cached_property
     def frequent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,13 +114,14 @@ def unit_vectors(weights: np.ndarray, doc: np.ndarray, term: np.ndarray, n: np.n
 
 
 def build_index(
-    terms: np.ndarray, weights: np.ndarray, doc: np.ndarray, term: np.ndarray, n: np.ndarray, labels: np.ndarray, doc_ids: np.ndarray, prior: float
-) -> ToxicIndex:
+    terms: np.ndarray, weights: np.ndarray, doc: np.ndarray, term: np.ndarray, n: np.ndarray,
+    labels: np.ndarray, doc_ids: np.ndarray, keys: np.ndarray, prior: float,
+) -> ToxicIndex:
     """The inverted index of examples given as (example, word, count) triples."""
     values = unit_vectors(weights, doc, term, n, len(labels))
     order = np.lexsort((doc, term))
     first = np.searchsorted(term[order], np.arange(len(terms) + 1))
-    return ToxicIndex(terms, weights, doc[order].astype(np.int32), values[order], first, labels, doc_ids, prior)
+    return ToxicIndex(terms, weights, doc[order].astype(np.int32), values[order], first, labels, doc_ids, keys, prior)
 
 
 def spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,68 +258,74 @@ def relevance(doc: np.ndarray, term: np.ndarray, labels: np.ndarray, size: int)
     return np.abs(both * n - has * float(toxic)) / np.maximum(spread, 1) + 1 / n
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_label: int = FIT_ROWS) -> ToxicIndex:
-    """The calibrated index; the words and counts of the bounded fit reach the driver."""
-    fit, prior = fit_rows(docs, labels, per_label)
+def build(docs: DataFrame, fit: DataFrame, prior: float) -> ToxicIndex:
+    """The index of the (doc_id, text, toxic) rows of ``fit``, whose words and counts reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in chunks(batches, "text"):
             doc, term, n = term_counts(batch.column("text").to_pylist())
             at = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("toxic"),
-                    pa.ListArray.from_arrays(at, pa.array(term.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(n)),
-                ],
-                ["doc_id", "toxic", "terms", "n"],
-            )
-
-    shape = "doc_id long, toxic int, terms array<long>, n array<long>"
-    # rows of one doc_id are told apart by what they hold, so that the order is always the same
-    rows = fit.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(count, shape).orderBy("doc_id", "terms", "n").toArrow()
-    rows = rows.filter(pa.compute.greater(pa.compute.list_value_length(rows["terms"]), 0))
-    toxic, doc_ids = rows["toxic"].to_numpy().astype(np.int64), rows["doc_id"].to_numpy()
-    doc = np.repeat(np.arange(len(rows)), pa.compute.list_value_length(rows["terms"]).to_numpy())
-    hashes, n = pa.compute.list_flatten(rows["terms"]).to_numpy().view(np.uint64), pa.compute.list_flatten(rows["n"]).to_numpy()
-    terms, term = np.unique(hashes, return_inverse=True)
+            lists = [pa.ListArray.from_arrays(at, pa.array(term.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(n.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "toxic")), *lists], ["doc_id", "key", "toxic", "terms", "n"])
+
+    shape = "doc_id long, key long, toxic int, terms array<long>, n array<int>"
+    rows = fit.select("doc_id", "key", "toxic", "text").mapInArrow(count, shape).where(F.size("terms") > 0).orderBy("doc_id", "key").toArrow()
+    toxic, doc_ids, keys = rows["toxic"].to_numpy().astype(np.int64), rows["doc_id"].to_numpy(), rows["key"].to_numpy()
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), pa.compute.list_value_length(rows["terms"]).to_numpy())
+    terms, term = np.unique(pa.compute.list_flatten(rows["terms"]).to_numpy().view(np.uint64), return_inverse=True)
+    n = pa.compute.list_flatten(rows["n"]).to_numpy()
     df, n_docs = document_frequencies(docs, terms) if len(terms) else (np.zeros(0, np.int64), 0)
     weights = (np.log((1 + n_docs) / (1 + df)) + 1) * relevance(doc, term, toxic, len(terms))
-    index = build_index(terms, weights, doc, term, n, toxic, doc_ids, prior)
-    order = np.lexsort((term, doc))
-    doc, term, n = doc[order], term[order], n[order]
-    value, at = unit_vectors(weights, doc, term, n, len(rows)), np.searchsorted(doc, np.arange(len(rows) + 1))
-    votes = np.zeros(len(rows))
-    for low in range(0, len(rows), TOGETHER):
-        high = min(len(rows), low + TOGETHER)
-        some = slice(at[low], at[high])
-        found = nearest(index, doc[some] - low, term[some], value[some], high - low, NEIGHBOURS, np.arange(low, high))
-        votes[low:high] = [vote(toxic[near], score, prior) for near, score in found]
-    return dataclasses.replace(index, calibration=calibrate(votes, toxic, prior) if len(rows) else (1.0, 0.0))
-
-
-def score_texts(index: ToxicIndex, texts: list[str | None]) -> tuple[np.ndarray, list[list[int]]]:
-    """Score and the nearest examples' doc_ids (the evidence) of each text."""
-    if not len(index.labels):
-        return np.full(len(texts), index.prior), [[] for _ in texts]
-    votes, evidence = np.full(len(texts), index.prior), [[] for _ in texts]
+    return build_index(terms, weights, doc, term, n, toxic, doc_ids, keys, prior)
+
+
+def found_near(index: ToxicIndex, texts: list[str | None], skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each text's nearest examples; ``skip`` as for ``nearest``."""
     for low in range(0, len(texts), TOGETHER):
         some = texts[low : low + TOGETHER]
         doc, term, n = term_counts(some, index.terms)
-        found = nearest(index, doc, term, unit_vectors(index.weights, doc, term, n, len(some)), len(some), NEIGHBOURS)
-        for i, (near, cosine) in enumerate(found, low):
-            votes[i] = vote(index.labels[near], cosine, index.prior)
-            evidence[i] = index.doc_ids[near[:3]].tolist()
-    slope, level = index.calibration
-    return 1 / (1 + np.exp(-np.clip(slope * log_odds(votes) + level, -50, 50))), evidence
+        value = unit_vectors(index.weights, doc, term, n, len(some))
+        yield from nearest(index, doc, term, value, len(some), NEIGHBOURS, None if skip is None else skip[low : low + TOGETHER])
+
+
+def learn(docs: DataFrame, labels: DataFrame, per_label: int = FIT_ROWS) -> tuple[Broadcast, tuple[float, float]]:
+    """The index, broadcast, and the calibration of its votes: slope and level."""
+    fit, prior = fit_rows(docs, labels, per_label)
+    fit = fit.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text", "toxic")
+    shared = docs.sparkSession.sparkContext.broadcast(build(docs, fit, prior))
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        number = {pair: i for i, pair in reversed(list(enumerate(zip(index.doc_ids.tolist(), index.keys.tolist(), strict=True))))}
+        for batch, _, _ in chunks(batches, "text"):
+            own = [number.get(pair, -1) for pair in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), strict=True)]
+            batch = batch.filter(pa.array([x >= 0 for x in own]))
+            skip = np.array([x for x in own if x >= 0], np.int64)
+            votes = [vote(index.labels[near], score, index.prior) for near, score in found_near(index, batch.column("text").to_pylist(), skip)]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("toxic")], ["vote", "toxic"])
+
+    votes = fit.mapInArrow(left_out, "vote double, toxic int").orderBy("vote", "toxic").toArrow()
+    return shared, calibrate(votes["vote"].to_numpy(), votes["toxic"].to_numpy(), prior) if len(votes) else (1.0, 0.0)
+
+
+def score_texts(index: ToxicIndex, calibration: tuple[float, float], texts: list[str | None]) -> tuple[np.ndarray, list[list[int]]]:
+    """Score and the nearest examples' doc_ids (the evidence) of each text."""
+    if not len(index.labels):
+        return np.full(len(texts), index.prior), [[] for _ in texts]
+    found = list(found_near(index, texts))
+    votes = np.array([vote(index.labels[near], cosine, index.prior) for near, cosine in found])
+    slope, level = calibration
+    score = 1 / (1 + np.exp(-np.clip(slope * log_odds(votes) + level, -50, 50)))
+    return score, [index.doc_ids[near[:3]].tolist() for near, _ in found]
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (doc_ids of the nearest examples) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    shared, calibration = learn(docs, labels)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in chunks(batches, "text"):
-            score, evidence = score_texts(shared.value, batch.column("text").to_pylist())
+            score, evidence = score_texts(shared.value, calibration, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(score), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"]
             )
@@ -333,11 +340,11 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, all columns as they were."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    shared, calibration = learn(docs, labels)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in chunks(batches, "text"):
-            score, _ = score_texts(shared.value, batch.column("text").to_pylist())
+            score, _ = score_texts(shared.value, calibration, batch.column("text").to_pylist())
             yield batch.filter(pa.array(score < TOXIC))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -58,7 +58,7 @@ def test_block_max_search_is_exact(monkeypatch, frequent):
     weights = rng.random(f) + 0.1
     doc, term = np.nonzero(counts)
     number = counts[doc, term]
-    index = toxicity.build_index(np.arange(f, dtype=np.uint64), weights, doc, term, number, np.zeros(n, int), np.arange(n), 0.0)
+    index = toxicity.build_index(np.arange(f, dtype=np.uint64), weights, doc, term, number, np.zeros(n, int), np.arange(n), np.arange(n), 0.0)
     dense = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * weights
     dense /= np.linalg.norm(dense, axis=1)[:, None]
     monkeypatch.setattr(toxicity, "FREQUENT", frequent)
@@ -76,7 +76,7 @@ def test_blocks_that_cannot_hold_a_nearer_example_are_not_read(monkeypatch):
     counts[:, 0] = 1
     counts[np.arange(640), 1 + np.arange(640) // 64] = 9  # a word of its own for each block
     doc, term = np.nonzero(counts)
-    index = toxicity.build_index(np.arange(12, dtype=np.uint64), np.ones(12), doc, term, counts[doc, term], np.zeros(640, int), np.arange(640), 0.0)
+    index = toxicity.build_index(np.arange(12, dtype=np.uint64), np.ones(12), doc, term, counts[doc, term], np.zeros(640, int), np.arange(640), np.arange(640), 0.0)
     number, postings, maxima = index.frequent
     broken = postings.copy()
     broken[:, 5:] = np.nan  # reading these would show
