@@ -121,8 +121,8 @@ def readable(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(spaced, r"\s+", " ")))
 
 
-def structural_confidence(separation: Column) -> Column:
-    return F.round(F.least(0.55 + 0.35 * separation, F.lit(0.90)), 3)
+def structural_confidence(strength: Column) -> Column:
+    return F.round(F.least(0.55 + 0.35 * strength, F.lit(0.90)), 3)
 
 
 def clamp_confidence(c: Column) -> Column:

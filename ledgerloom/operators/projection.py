@@ -29,7 +29,7 @@ def project(rows: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     out = rows.select(*(field(f).alias(f) for f in CANONICAL_FIELDS))
     if accounts is None:
         return out
-    known = F.broadcast(accounts.select("account_id", F.col("account_name").alias("_name")))
+    known = accounts.select("account_id", F.col("account_name").alias("_name"))
     named = out.join(known, "account_id", "left").withColumn("account_name", F.coalesce("account_name", "_name"))
     return named.select(*CANONICAL_FIELDS)
 

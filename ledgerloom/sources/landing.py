@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import escapes_root
 
-#: Suffixes of files that are still being written, and of sentinels.
-IGNORED = (".tmp", ".part", ".partial", ".swp", ".crdownload")
+# Suffixes of sentinels and of files that are still being written.
+IGNORED = (".done", ".tmp", ".part", ".filepart", ".crdownload", ".swp")
 SENTINEL = ".done"
 
 
@@ -21,9 +21,9 @@ def landed(spark: SparkSession, path: str, ignored: Sequence[str] = IGNORED) ->
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
     named = found.withColumn("name", F.element_at(F.split("path", "/"), -1))
-    keep = ~F.col("name").startswith(".") & ~F.col("name").rlike("(?:" + "|".join(s.replace(".", r"\.") for s in (*ignored, SENTINEL)) + ")$")
+    keep = ~F.col("name").startswith(".") & ~F.col("name").rlike("(?:" + "|".join(s.replace(".", r"\.") for s in ignored) + ")$")
     marks = named.where(F.col("name").endswith(SENTINEL)).select(F.regexp_replace("name", r"\.done$", "").alias("name"), F.lit(True).alias("_mark"))
-    files = named.where(keep).join(F.broadcast(marks.distinct()), "name", "left")
+    files = named.where(keep).join(marks.distinct(), "name", "left")
     digest = F.sha2("content", 256)
     return files.select(
         F.concat(F.lit("arr-"), F.left(digest, F.lit(16)), F.lit("-"), F.left(F.sha2("path", 256), F.lit(8))).alias("arrival_id"), "name",
