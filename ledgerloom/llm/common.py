@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at once (a longer document is its own step).
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:

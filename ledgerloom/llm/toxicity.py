@@ -44,7 +44,7 @@ STEM = 5
 #: Nearest examples that vote, and examples in a block of the index.
 NEIGHBOURS, BLOCK = 15, 64
 #: A word is frequent if one in so many examples has it; blocks that are read at first; texts that are searched at once.
-FREQUENT, FIRST_BLOCKS, TOGETHER = 20, 4, 128
+FREQUENT, FIRST_BLOCKS, TOGETHER = 10, 4, 16
 #: Scores from here on are predicted toxic.
 TOXIC = 0.7
 
