@@ -13,6 +13,8 @@ from ..schema import SIDES
 NOISE = ("usd", "eur", "gbp", "jpy", "chf", "hkd", "local", "base", "reporting", "inbase", "inlocal", "amt", "value1", "col")
 # Spellings of no number, and first cells of totals rows.
 NO_NUMBER = ("", "-", "--", "n/a", "N/A", "NULL", "null")
+#: What goes from numbers: separators, currency signs, per cent, and white space.
+SEPARATORS = ",$€£¥% \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 TOTALS = ("total", "totals", "grandtotal", "subtotal", "sum", "count", "endofreport", "eof", "end")
 # Date patterns in the order in which they are tried, day before month.
 DATE_PATTERNS = ("yyyy-M-d", "yyyy/M/d", "d/M/yyyy", "M/d/yyyy", "d-MMM-yyyy", "dMMMyyyy", "yyyyMMdd", "d.M.yyyy")
@@ -42,11 +44,10 @@ def strip_noise(c: Column) -> Column:
 def to_decimal(c: Column, scale: int = 8) -> Column:
     """Number of a cell: parentheses or a trailing minus negate; separators and currency signs go; else null."""
     text = F.trim(c)
-    inside = F.regexp_replace(text, r"[,\s$€£¥%]", "")
-    parens = inside.rlike(r"^\(.*\)$")
-    bare = F.when(parens, F.regexp_replace(inside, r"[()]", "")).otherwise(inside)
-    trailing = bare.endswith("-")
-    number = F.regexp_replace(bare, r"-$", "").try_cast(f"decimal(28,{scale})")
+    parens = text.startswith("(") & text.endswith(")")
+    inside = F.translate(F.when(parens, text.substr(F.lit(2), F.length(text) - 2)).otherwise(text), SEPARATORS, "")
+    trailing = inside.endswith("-")
+    number = F.when(trailing, F.left(inside, F.length(inside) - 1)).otherwise(inside).try_cast(f"decimal(28,{scale})")
     return F.when(text.isin(*NO_NUMBER), None).otherwise(F.when(parens | trailing, -number).otherwise(number))
 
 

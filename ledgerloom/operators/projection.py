@@ -17,16 +17,18 @@ def project(rows: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     come from ``accounts`` (account_id, account_name), which is configuration.
     """
 
+    read = [f for f in CANONICAL_FIELDS if f not in STAMPED]
+    cell = lambda f: F.trim(F.try_element_at("cells", F.try_element_at("mapping", F.lit(f))))
+    # one projection for each step, so that no cell is looked up or cleaned twice
+    texts = rows.select(*(F.col(f).cast("string").alias(f) for f in STAMPED), *(cell(f).alias(f"_{f}") for f in read))
+
     def field(name: str):
-        if name in STAMPED:
-            return F.col(name).cast("string")
-        cell = F.try_element_at("cells", F.try_element_at("mapping", F.lit(name)))
-        text = F.when(F.trim(cell) == "", None).otherwise(F.trim(cell))
+        text = F.col(f"_{name}")
         if name in MONEY_FIELDS:
             return to_decimal(text).cast(MONEY)
-        return normalise_side(text) if name == "side" else text
+        return normalise_side(text) if name == "side" else F.when(text != "", text)
 
-    out = rows.select(*(field(f).alias(f) for f in CANONICAL_FIELDS))
+    out = texts.select(*((F.col(f) if f in STAMPED else field(f)).alias(f) for f in CANONICAL_FIELDS))
     if accounts is None:
         return out
     known = accounts.select("account_id", F.col("account_name").alias("_name"))
