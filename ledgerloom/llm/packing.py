@@ -46,7 +46,7 @@ SEGMENT = 1 << 20
 #: Lengths below WINDOW that need no padding, longest first.
 POWERS = tuple(1 << i for i in reversed(range(WINDOW.bit_length() - 1)))
 #: Distinct words that an encoder remembers; others are worked out anew each time.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 
 class ByteBpe(dict):
@@ -97,8 +97,8 @@ class ByteBpe(dict):
         cut = [self.parts(t) for t in texts]
         new = list(set().union(*(c for c in cut if c)).difference(self))
         found: dict[str, bytes] = {}
-        for first in range(0, len(new), 20_000):
-            some = new[first : first + 20_000]
+        for first in range(0, len(new), 4_000):
+            some = new[first : first + 4_000]
             found.update(zip(some, self.ids([p[1:] if p[0] == "\x00" else p if p[0] == "\n" else " " + p for p in some]), strict=True))
         whole = iter(self.ids([t for t, c in zip(texts, cut, strict=True) if c is None]))
         if len(self) < REMEMBERED:

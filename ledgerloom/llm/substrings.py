@@ -45,9 +45,9 @@ WINDOW, ANCHOR = 35, 12
 #: Words of a phrase, an automaton's letter; a window is a whole number of them.
 PHRASE = 7
 #: Windows of a passage's piece, and windows that one automaton holds.
-PIECE, PATTERNS = 128, 131_072
+PIECE, PATTERNS = 128, 65_536
 #: Bytes of text that a shard of stretches and a block of documents should hold, and the fewest shards.
-SHARD_BYTES, BLOCK_BYTES, MIN_SHARDS = 2_000_000, 4_000_000, 64
+SHARD_BYTES, BLOCK_BYTES, MIN_SHARDS = 2_000_000, 2_000_000, 64
 #: Up to this many shards that are dealt out in blocks are broadcast; more are joined.
 BROADCAST_SHARDS = 100_000
 #: Anchors with more than a HOT_ANCHORS-th of all recurring places, and HOT_PLACES at least, are broadcast: they are fewer than HOT_ANCHORS.
