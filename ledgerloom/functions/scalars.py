@@ -41,14 +41,24 @@ def strip_noise(c: Column) -> Column:
     return F.aggregate(F.array(*map(F.lit, NOISE)), c, cut)
 
 
-def to_decimal(c: Column, scale: int = 8) -> Column:
-    """Number of a cell: parentheses or a trailing minus negate; separators and currency signs go; else null."""
+def bare_number(c: Column) -> Column:
+    """A cell as struct(digits, minus): its text without parentheses, separators and currency signs, and whether it had parentheses; digits are null for no number."""
     text = F.trim(c)
     parens = text.startswith("(") & text.endswith(")")
-    inside = F.translate(F.when(parens, text.substr(F.lit(2), F.length(text) - 2)).otherwise(text), SEPARATORS, "")
-    trailing = inside.endswith("-")
-    number = F.when(trailing, F.left(inside, F.length(inside) - 1)).otherwise(inside).try_cast(f"decimal(28,{scale})")
-    return F.when(text.isin(*NO_NUMBER), None).otherwise(F.when(parens | trailing, -number).otherwise(number))
+    inside = F.when(parens, text.substr(F.lit(2), F.length(text) - 2)).otherwise(text)
+    return F.struct(F.when(~text.isin(*NO_NUMBER), F.translate(inside, SEPARATORS, "")).alias("digits"), parens.alias("minus"))
+
+
+def signed_number(bare: Column, scale: int = 8) -> Column:
+    """The number of a ``bare_number``; a trailing minus negates."""
+    digits, trailing = bare["digits"], bare["digits"].endswith("-")
+    number = F.when(trailing, F.left(digits, F.length(digits) - 1)).otherwise(digits).try_cast(f"decimal(28,{scale})")
+    return F.when(bare["minus"] | trailing, -number).otherwise(number)
+
+
+def to_decimal(c: Column, scale: int = 8) -> Column:
+    """Number of a cell: parentheses or a trailing minus negate; separators and currency signs go; else null."""
+    return signed_number(bare_number(c), scale)
 
 
 def parse_date(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normalise_side, to_decimal
+from ..functions.scalars import bare_number, normalise_side, signed_number
 from ..schema import CANONICAL_FIELDS, MONEY, MONEY_FIELDS, STAMPED
 
 
@@ -20,15 +20,15 @@ def project(rows: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     read = [f for f in CANONICAL_FIELDS if f not in STAMPED]
     cell = lambda f: F.trim(F.try_element_at("cells", F.try_element_at("mapping", F.lit(f))))
     # one projection for each step, so that no cell is looked up or cleaned twice
-    texts = rows.select(*(F.col(f).cast("string").alias(f) for f in STAMPED), *(cell(f).alias(f"_{f}") for f in read))
+    texts = rows.select(*(F.col(f).cast("string").alias(f) for f in STAMPED), *(cell(f).alias(f) for f in read))
+    bare = texts.select(*(bare_number(F.col(f)).alias(f) if f in MONEY_FIELDS else F.col(f) for f in texts.columns))
 
     def field(name: str):
-        text = F.col(f"_{name}")
         if name in MONEY_FIELDS:
-            return to_decimal(text).cast(MONEY)
-        return normalise_side(text) if name == "side" else F.when(text != "", text)
+            return signed_number(F.col(name)).cast(MONEY)
+        return normalise_side(F.col(name)) if name == "side" else F.when(F.col(name) != "", F.col(name))
 
-    out = texts.select(*((F.col(f) if f in STAMPED else field(f)).alias(f) for f in CANONICAL_FIELDS))
+    out = bare.select(*((F.col(f) if f in STAMPED else field(f)).alias(f) for f in CANONICAL_FIELDS))
     if accounts is None:
         return out
     known = accounts.select("account_id", F.col("account_name").alias("_name"))

@@ -1,0 +1,5 @@
+"""The registered queries."""
+
+from . import catalogue
+
+__all__ = ["catalogue"]
