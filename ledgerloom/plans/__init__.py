@@ -1,5 +1,5 @@
 """The registered queries."""
 
-from . import catalogue
+from . import catalogue, files
 
-__all__ = ["catalogue"]
+__all__ = ["catalogue", "files"]
