@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, knn, langid, packing, simhash, spm, substrings, toxicity, urlfilter
+from . import ann, knn, langid, merkle, packing, simhash, spm, substrings, toxicity, urlfilter
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.col("score").cast("long"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -71,8 +75,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_top_k": op9_top_k,
         "op10_token_counts": op10_token_counts,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": urlfilter.oracle(), "op9_top_k": knn.oracle()}
+    return {"op8_url_filter": urlfilter.oracle(), "op9_top_k": knn.oracle(), "op11_merkle_manifest": merkle.oracle()}
