@@ -1,7 +1,7 @@
 """Near copies by the words they share: texts whose sets of five-word shingles have a Jaccard of 0.8 or more.
 
-MinHash bands propose buckets; buckets with the same members count once. Inside a
-bucket every link is decided by the exact Jaccard of the whole shingle sets. A
+MinHash bands propose buckets; buckets with the same members count once, and those whose members are all
+known to belong together not at all. Inside a bucket every link is decided by the exact Jaccard of the whole shingle sets. A
 bucket of more than BLOCK shingles is searched by pairs of blocks, so that a
 task's memory doesn't grow with it. A pair of exactly 0.8 shares no band, and is
 missed, with a chance of (1 - 0.8 ** ROWS) ** BANDS, about 3 in 100,000.
@@ -88,15 +88,16 @@ def stars(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def jaccard_links(texts: DataFrame, sketches: DataFrame) -> DataFrame:
     """(a, b): stars of nodes whose union has the components of all confirmed links.
 
-    ``texts`` has node and text, ``sketches`` node, size (of its shingle set) and bands,
-    one row for each distinct set.
+    ``texts`` has node and text, ``sketches`` node, size (of its shingle set), bands and root (equal for nodes that are known to belong together),
+    one row for each distinct set. Links between nodes of one root may be left out.
     """
-    placed = sketches.select("node", "size", F.explode("bands").alias("bucket"))
+    placed = sketches.select("node", "size", "root", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+        F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        (F.min("root") != F.max("root")).alias("apart"),
     )
     # near copies share most of their bands: one bucket of the same members is enough
-    once = shared.where("n > 1").groupBy("n", "total", "x", "y").agg(F.min("bucket").alias("bucket"))
+    once = shared.where("apart").groupBy("n", "total", "x", "y").agg(F.min("bucket").alias("bucket"))
     blocks = F.ceil(F.col("total") / F.lit(BLOCK)).cast("long")
     members = materialize(placed.join(once.select("bucket", blocks.alias("blocks")), "bucket").select("bucket", "node", "blocks"), "shared-buckets")
 

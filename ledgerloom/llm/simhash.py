@@ -208,9 +208,12 @@ def near_components(docs: DataFrame) -> DataFrame:
     star = star_links(of_fp)
     star = star.join(of_fp.toDF("a", "_a"), "a").join(of_fp.toDF("b", "_b"), "b").select("_a", "_b")
     same = [nodes.join(x, on).where("node != least").select("node", "least") for x, on in ((of_fp, "fp"), (of_words, "words"))]
+    first = components(star.union(same[0]).union(same[1]).toDF("a", "b"))
+    # most near copies are together by now: only buckets that hold several of these components can add links
     one = of_row.withColumnRenamed("row_no", "node").join(of_words.select(F.col("least").alias("node")), "node", "left_semi")
-    near = minhash.jaccard_links(docs.select(F.col("row_no").alias("node"), "text"), one.select("node", "size", "bands"))
-    root = components(star.union(same[0]).union(same[1]).union(near).toDF("a", "b"))
+    one = one.join(first, one.node == first.a, "left").select("node", "size", "bands", F.coalesce("b", "node").alias("root"))
+    near = minhash.jaccard_links(docs.select(F.col("row_no").alias("node"), "text"), one)
+    root = components(first.union(near))
     rooted = nodes.join(root, nodes.node == root.a, "left").select("fp", "words", F.coalesce("b", "node").alias("root"))
     return of_row.select("row_no", "doc_id", "fp", "words").join(rooted, ["fp", "words"])
 
