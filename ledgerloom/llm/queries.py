@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, knn, langid, merkle, packing, pii, simhash, spm, substrings, toxicity, urlfilter
+from . import align, ann, knn, langid, merkle, packing, pii, simhash, spm, substrings, toxicity, urlfilter
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_private(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_top_k": op9_top_k,
         "op10_token_counts": op10_token_counts,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_alignment": op12_alignment,
         "op13_pii": op13_pii,
     }
 

@@ -1,0 +1,120 @@
+import hashlib
+import random
+from collections import Counter
+
+import sentencepiece
+from tokenizers import Tokenizer
+
+from ledgerloom.llm import align
+from ledgerloom.llm.queries import op12_alignment, vocabulary
+
+A, B = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+SCHEMA = "doc_id long, text string"
+
+
+def brute(rows, documents=False):
+    """Rows of the query, by whole texts in both libraries and all pairs of byte ranges."""
+    first = Tokenizer.from_file(A)
+    first.encode_special_tokens = True
+    second = sentencepiece.SentencePieceProcessor(model_file=B)
+    letters = align.byte_letters()
+    names = {i: x for x, i in first.get_vocab().items()}
+
+    def spans(tokens):
+        at, out = 0, []
+        for i, x in tokens:
+            out.append((i, at, at + len(x)))
+            at += len(x)
+        return out
+
+    coded = []
+    for doc_id, text in rows:
+        a = [(i, bytes(letters[c] for c in names[i])) for i in first.encode(" " + (text or ""), add_special_tokens=False).ids]
+        b = []
+        for i in second.encode(text or ""):
+            p = second.id_to_piece(i)
+            b.append((i, bytes([int(p[3:5], 16)]) if second.is_byte(i) else p.replace("▁", " ").encode()))
+        raw = (" " + (text or "")).encode()
+        if not text or b"".join(x for _, x in a) != raw or b"".join(x for _, x in b) != raw:
+            coded.append((doc_id, [], [], []))
+            continue
+        a, b = spans(a), spans(b)
+        ends = sorted({e for *_, e in a} & {e for *_, e in b})
+        groups = [([x for x in a if lo <= x[1] < hi], [x for x in b if lo <= x[1] < hi]) for lo, hi in zip([0, *ends], ends)]
+        links = [(x[0], y[0]) for g, h in groups for x in g for y in h if x[1] < y[2] and y[1] < x[2]]
+        if len(a) * len(b) < 20_000:
+            assert links == [(x[0], y[0]) for x in a for y in b if x[1] < y[2] and y[1] < x[2]]
+        coded.append((doc_id, a, b, groups, links))
+    count = Counter()
+    for c in coded:
+        if c[3]:
+            count.update(c[4])
+    best = {}
+    for (_, y), n in count.items():
+        best[y] = max(best.get(y, 0), n)
+    out = []
+    for c in coded:
+        if not c[3]:
+            out.append((c[0], 0, 0, 0, 0, 0, 0, ""))
+            continue
+        doc_id, a, b, groups, links = c
+        said = ";".join(f"{','.join(str(x[0]) for x in g)}|{','.join(str(x[0]) for x in h)}" for g, h in groups)
+        digest = hashlib.sha256(said.encode()).hexdigest()
+        out.append((doc_id, len(a), len(b), len(groups), len(links), sum(count[p] == best[p[1]] for p in links), sum(count[p] for p in links), digest))
+    return sorted(out, key=repr), count
+
+
+def found(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+HARD = [
+    None, "", " ", "a", "  two spaces", "end ", "tab\there", "line\nbreak here", "line \n break", "\nfirst", "last\n", "a\n\nb c", "<|endoftext|> is <s> text</s>",
+    "marker ▁ inside", "▁", "emoji \U0001f600\U0001f601 and é ü ß", "日本語のテキスト です", "a\x00b c", "\x00", "don't we'll I'M", "x" * 700, "1234567 89.5%", " nb sp", "a​ b",
+    "tail 　 wide", "\r\n", "é combining ̈", "<0x0A> spelled", "﻿mark", "foo  bar\n baz   qux",
+]
+
+
+def test_query_equals_whole_texts(spark, stored, monkeypatch):
+    rng = random.Random(2)
+    words = ["the", "Überraschung", "naïve", "word,", "(and)", "1999", "colour-ful", "ñandú", "x=y", "HTTP", "d'été"]
+    rows = list(enumerate(HARD)) + [(100 + i, "".join(rng.choice(words) + rng.choice([" "] * 8 + ["\n", "  ", "\t"]) for _ in range(rng.randrange(60)))) for i in range(120)]
+    rows += [(7, "a"), (None, "the same the same"), (None, "the same the same")]
+    docs = stored(rows, SCHEMA, files=5).selectExpr("*", "1 AS block", "'x' AS grp", "2 AS entry", "3 AS n_a")
+    want, count = brute(rows)
+    assert found(align.align_documents(docs, A, B)) == want
+    pairs = align.align(docs, A, B).pairs.collect()
+    assert {(r.a, r.b): r.n for r in pairs} == count
+    best = {}
+    for (_, y), n in count.items():
+        best[y] = max(best.get(y, 0), n)
+    assert all(r.best == (r.n == best[r.b]) for r in pairs)
+
+
+def test_small_blocks_and_memory_change_nothing(monkeypatch):
+    coder = align.Aligner(A, B)
+    texts = [t for t in HARD if t] * 2
+    want = [[g for c in cells for g in c.groups] for cells in coder.cells_of(texts)]
+    monkeypatch.setattr(align, "REMEMBERED", 3)
+    other = align.Aligner(A, B)
+    assert [[g for c in cells for g in c.groups] for t in texts for cells in other.cells_of([t])] == want
+    whole = align.Aligner(A, B)
+    whole.in_cells = False
+    assert [[g for c in cells for g in c.groups] for cells in whole.cells_of(texts)] == want
+
+
+def test_counts_by_documents(spark, stored):
+    docs = stored([(1, "so so so"), (2, "so"), (3, None)], SCHEMA)
+    by_links = {(r.a, r.b): r.n for r in align.align(docs, A, B).pairs.collect()}
+    by_docs = {(r.a, r.b): r.n for r in align.align(docs, A, B, by="docs").pairs.collect()}
+    assert by_links.keys() == by_docs.keys() and set(by_links.values()) == {4} and set(by_docs.values()) == {2}
+
+
+def test_empty_table(spark, stored):
+    assert align.align_documents(stored([], SCHEMA), A, B).collect() == []
+
+
+def test_query_on_the_documents(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    assert found(op12_alignment(spark, folder)) == brute(rows)[0]
