@@ -56,6 +56,13 @@ def signed_number(bare: Column, scale: int = 8) -> Column:
     return F.when(bare["minus"] | trailing, -number).otherwise(number)
 
 
+def looks_numeric(c: Column) -> Column:
+    """Whether a cell is a number as it stands: separators, dollar and per cent signs and one pair of parentheses don't count."""
+    text = F.regexp_replace(F.trim(c), "[,$%]", "")
+    inside = F.regexp_replace(text, r"^\((.*)\)$", "$1")
+    return F.coalesce(inside.rlike(r"(?i)^\s*[+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[+-]?\d+)?|inf(?:inity)?|nan)\s*$"), F.lit(False))
+
+
 def to_decimal(c: Column, scale: int = 8) -> Column:
     """Number of a cell: parentheses or a trailing minus negate; separators and currency signs go; else null."""
     return signed_number(bare_number(c), scale)
