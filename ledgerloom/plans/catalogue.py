@@ -160,6 +160,63 @@ def queue_json(spark, sf_dir):
     return e.select("event_id", F.sha2(F.coalesce(v, "props"), 256).alias("sha256"), name.alias("name"))
 
 
+@query("""WITH a AS (SELECT doc_id AS seq, CASE WHEN doc_id % 3 = 0 THEN 'FTP' ELSE 'QUEUE' END AS ingress, sha256(text) AS sha256,
+ CASE WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 3 = 1 THEN source || '_m' || doc_id || '.json' ELSE source || '_m.json' END AS name FROM documents WHERE doc_id % 10 <> 7),
+f AS (SELECT sha256, min(seq) AS prior_seq, arg_min(name, seq) AS first_name FROM a GROUP BY 1)
+SELECT seq, ingress, name, a.sha256, prior_seq, CASE WHEN seq = prior_seq THEN 'NEW' WHEN name = first_name THEN 'DUPLICATE' ELSE 'REDELIVERY' END AS verdict,
+ row_number() OVER (PARTITION BY a.sha256 ORDER BY seq) AS times_seen FROM a JOIN f ON a.sha256 = f.sha256
+UNION ALL SELECT doc_id, NULL, NULL, sha256('{' || text), NULL, 'MALFORMED', NULL FROM documents WHERE doc_id % 10 = 7""")
+def ingress_stream(spark, sf_dir):
+    """SRC-05, SRC-06, SET-03, WIN-01: documents that land as files and others that come as messages, some malformed, as one stream over three runs that share its state."""
+    from ..streaming import ingress
+    from ..streaming.slot_stream import shared_folder
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    id_, root = F.col("doc_id"), shared_folder(spark, "ingress")
+    message = F.to_json(F.struct(F.when(id_ % 3 == 1, F.concat(F.lit("m"), id_.cast("string"))).otherwise("m").alias("messageId"), "source", F.col("text").alias("payload")))
+    landed = docs.where("doc_id % 3 = 0 AND doc_id % 10 <> 7").select("doc_id", "source", F.col("text").cast("binary").alias("content"))
+    queued = docs.where("doc_id % 3 <> 0 OR doc_id % 10 = 7").select("doc_id", F.when(id_ % 10 == 7, F.concat(F.lit("{"), "text")).otherwise(message).alias("value"))
+    queued = queued.select("doc_id", "value", F.lit("events").alias("topic"), F.lit(0).alias("partition"), id_.alias("offset"))
+    last = docs.agg(F.max("doc_id")).first()[0] or 0
+    for run in range(3):
+        for table, name in ((landed, "files"), (queued, "messages")):
+            table.where(id_.between(run * last // 3 + (run > 0), (run + 1) * last // 3)).write.mode("append").parquet(f"{root}/{name}")
+        files = spark.readStream.schema(landed.schema).parquet(f"{root}/files")
+        good, bad = ingress.from_messages(spark.readStream.schema(queued.schema).parquet(f"{root}/messages"), id_)
+        both = ingress.from_files(files, F.col("source"), id_).unionByName(good)
+        bad = bad.select(id_.alias("seq"), F.sha2("value", 256).alias("sha256"), F.lit("MALFORMED").alias("verdict"))
+        for stream, name in ((ingress.with_verdicts(both), "verdicts"), (bad, "malformed")):
+            sink = stream.writeStream.format("parquet").option("path", f"{root}/{name}").option("checkpointLocation", f"{root}/state-{name}")
+            sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{root}/verdicts").unionByName(spark.read.parquet(f"{root}/malformed"), allowMissingColumns=True)
+    return out.select("seq", "ingress", "name", "sha256", "prior_seq", "verdict", "times_seen")
+
+
+@query("""WITH s AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type FROM events),
+g AS (SELECT *, coalesce(seq <> lag(seq) OVER w + 1, true) AS back, coalesce(seq <> lag(seq) OVER w + 1 OR event_type <> lag(event_type) OVER w, true) AS changed
+ FROM s WHERE event_id % 17 <> 3 WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+r AS (SELECT *, sum(changed::INT) OVER w AS run, sum(back::INT) OVER w AS life FROM g WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY seq) - 1 AS still FROM r)
+SELECT user_id::VARCHAR AS path, min(seq) AS seq FROM k WHERE still >= 1 AND (still * 2 >= 4 OR event_id % 5 = 0) GROUP BY user_id, life""")
+def quiescence_stream(spark, sf_dir):
+    """SRC-02, SRC-03, SRC-04, STR-10: a user's events as scans of a file, with sentinels and gaps, as a stream over three runs that share its state."""
+    from ..streaming.ingress import quiet_files
+    from ..streaming.slot_stream import shared_folder
+
+    root = shared_folder(spark, "scans")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    scans = read(spark, sf_dir, "events").withColumn("seq", seq.cast("long")).where("event_id % 17 <> 3")
+    scans = scans.select("user_id", "seq", F.timestamp_seconds(F.col("seq") * 2).alias("time"), "event_type", (F.col("event_id") % 5 == 0).alias("done"))
+    last = scans.agg(F.max("seq")).first()[0] or 0
+    for run in range(3):
+        scans.where(F.col("seq").between(run * last // 3 + 1, (run + 1) * last // 3)).write.mode("append").parquet(f"{root}/scans")
+        stream = spark.readStream.schema(scans.schema).parquet(f"{root}/scans")
+        sink = quiet_files(stream, "user_id", "seq", "time", ["event_type"], 2, 4, "done")
+        sink = sink.writeStream.format("parquet").option("path", f"{root}/quiet").option("checkpointLocation", f"{root}/state")
+        sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/quiet")
+
+
 # ---- text shapes
 
 

@@ -1,6 +1,11 @@
+import datetime as dt
+import json
+import random
+
 from pyspark.sql import functions as F
 
-from ledgerloom.streaming import slot_stream
+from ledgerloom.operators import arrivals
+from ledgerloom.streaming import ingress, slot_stream
 from tests.test_operators import simulate, slot_frame, slot_rows
 
 
@@ -22,3 +27,58 @@ def test_topics(spark, tmp_path):
     slot_stream.project_topics(stream, f"{tmp_path}/ok", f"{tmp_path}/held", f"{tmp_path}/ck").start().awaitTermination()
     assert [r.id for r in spark.read.parquet(f"{tmp_path}/ok").collect()] == [1]
     assert spark.read.parquet(f"{tmp_path}/held").where(F.col("id") == 2).count() == 1
+
+
+def run(stream, root, name):
+    """All that has come, then a stop: the next call goes on from the checkpoint."""
+    sink = stream.writeStream.format("parquet").option("path", f"{root}/{name}").option("checkpointLocation", f"{root}/{name}-state")
+    query = sink.outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def test_seen_contents_survive_restarts_and_equal_the_table(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("abc"), rng.choice(["x", "y", "z", "w" * 9]) if i % 5 else f"own {i}") for i in range(120)]
+    shape = "seq long, name string, body string"
+    for part in range(4):
+        some = rows[30 * part : 30 * part + 30]
+        files, queued = [r for r in some if r[0] % 2], [r for r in some if not r[0] % 2]
+        spark.createDataFrame(files, shape).write.mode("append").parquet(f"{tmp_path}/files")
+        sent = [(s, "{broken" if s % 12 == 0 else json.dumps({"source": n, "messageId": "m", "payload": b} if s % 4 else {"own": b}), "t", 1, s) for s, n, b in queued]
+        spark.createDataFrame(sent, "seq long, value string, topic string, partition int, offset long").write.mode("append").parquet(f"{tmp_path}/messages")
+        landed = spark.readStream.schema(shape).parquet(f"{tmp_path}/files").withColumn("content", F.col("body").cast("binary"))
+        good, bad = ingress.from_messages(spark.readStream.schema("seq long, value string, topic string, partition int, offset long").parquet(f"{tmp_path}/messages"), F.col("seq"))
+        both = ingress.from_files(landed, F.col("name"), F.col("seq")).unionByName(good)
+        run(ingress.with_verdicts(both), tmp_path, "verdicts")
+        run(bad.select("seq"), tmp_path, "malformed")
+    got = spark.read.parquet(f"{tmp_path}/verdicts")
+    assert {r.seq for r in spark.read.parquet(f"{tmp_path}/malformed").collect()} == {s for s, *_ in rows if s % 12 == 0}
+    want = arrivals.dedupe_verdicts(got.select("name", "sha256", "seq"), "sha256", "name", ["seq"])
+    assert {r.seq: r.verdict for r in got.collect()} == {r.seq: r.verdict for r in want.collect()} and got.count() == 110
+    counts = {}
+    for r in sorted(got.collect(), key=lambda r: r.seq):
+        counts[r.sha256] = counts.get(r.sha256, 0) + 1
+        assert r.times_seen == counts[r.sha256] and r.ingress == ("FTP" if r.seq % 2 else "QUEUE")
+
+
+def test_quiet_files_equal_the_table_and_vanished_ones_are_forgotten(spark, tmp_path):
+    rng = random.Random(5)
+    rows = []
+    for seq in range(1, 61):
+        at = dt.datetime(2026, 1, 1) + dt.timedelta(seconds=2 * seq)
+        for k in range(6):
+            if rng.random() > 0.12 and not (k == 0 and seq > 20):
+                rows.append((f"f{k}", seq, at, rng.choice([1, 1, 1, 2]), rng.random() < 0.15))
+    shape = "path string, seq long, time timestamp, size long, mark boolean"
+    held = []
+    for part in range(5):
+        some = [r for r in rows if 12 * part < r[1] <= 12 * part + 12]
+        spark.createDataFrame(some, shape).write.mode("append").parquet(f"{tmp_path}/scans")
+        stream = spark.readStream.schema(shape).parquet(f"{tmp_path}/scans")
+        query = run(ingress.quiet_files(stream, "path", "seq", "time", ["size"], 2, 4, "mark"), tmp_path, "quiet")
+        held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    want = arrivals.quiescent(spark.createDataFrame(rows, shape), "path", "seq", ["size"], 2, 4, "mark")
+    key = lambda df: sorted((r.path, r.seq) for r in df.collect())
+    assert key(spark.read.parquet(f"{tmp_path}/quiet")) == key(want) and want.count() > 20
+    assert held[0] == 6 and held[-1] == 5
