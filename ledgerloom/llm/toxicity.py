@@ -7,8 +7,9 @@ A block-max inverted index of a bounded set of labelled examples gives each
 text its exact nearest examples by cosine. The postings of the text's rarer words are read whole; what its
 frequent words can add in a block of examples is bounded by their block maxima, and their postings are read
 in the blocks of the largest bounds first, then only in those that can still hold a nearer example. The neighbours vote with
-their cosines as weights, beside one vote of the labels' share; votes are calibrated on the
-examples themselves, each left out of its own vote.
+their cosines as weights, beside one vote of the labels' share; votes are calibrated on the examples
+themselves, cross-fitted: each one's vote comes from an index of the other folds, whose weights haven't seen its label.
+By IDF alone (``by_label=False``) cosines are plain TF-IDF; README gives the quality of both.
 
 Words are runs of letters, lower-cased; one of more than five letters also counts as a stem, its first five.
 
@@ -43,6 +44,8 @@ FIT_ROWS, FIT_BYTES = 2_000, 32_000_000
 STEM = 5
 #: Nearest examples that vote, and examples in a block of the index.
 NEIGHBOURS, BLOCK = 15, 64
+#: Folds of the examples for calibration, by a hash of their texts, so that copies are in one.
+FOLDS = 4
 #: A word is frequent if one in so many examples has it; blocks that are read at first; texts that are searched at once.
 FREQUENT, FIRST_BLOCKS, TOGETHER = 10, 4, 16
 #: Scores from here on are predicted toxic.
@@ -258,8 +261,11 @@ def relevance(doc: np.ndarray, term: np.ndarray, labels: np.ndarray, size: int)
     return np.abs(both * n - has * float(toxic)) / np.maximum(spread, 1) + 1 / n
 
 
-def build(docs: DataFrame, fit: DataFrame, prior: float) -> ToxicIndex:
-    """The index of the (doc_id, text, toxic) rows of ``fit``, whose words and counts reach the driver."""
+def build(docs: DataFrame, fit: DataFrame, prior: float, by_label: bool = True) -> tuple[ToxicIndex, list[ToxicIndex]]:
+    """The index of the (doc_id, key, text, toxic) rows of ``fit``, whose words and counts reach the driver, and one for each fold, which knows nothing of that fold's rows.
+
+    ``by_label`` as for ``learn``.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in chunks(batches, "text"):
@@ -275,8 +281,19 @@ def build(docs: DataFrame, fit: DataFrame, prior: float) -> ToxicIndex:
     terms, term = np.unique(pa.compute.list_flatten(rows["terms"]).to_numpy().view(np.uint64), return_inverse=True)
     n = pa.compute.list_flatten(rows["n"]).to_numpy()
     df, n_docs = document_frequencies(docs, terms) if len(terms) else (np.zeros(0, np.int64), 0)
-    weights = (np.log((1 + n_docs) / (1 + df)) + 1) * relevance(doc, term, toxic, len(terms))
-    return build_index(terms, weights, doc, term, n, toxic, doc_ids, keys, prior)
+    idf = np.log((1 + n_docs) / (1 + df)) + 1
+
+    def of(rows: np.ndarray) -> ToxicIndex:
+        """The index of some of the examples, as if there were no others."""
+        number = np.cumsum(rows) - 1
+        some = rows[doc]
+        own, place = np.unique(term[some], return_inverse=True)
+        at, labels = number[doc[some]].astype(np.int32), toxic[rows]
+        weights = idf[own] * (relevance(at, place, labels, len(own)) if by_label else 1.0)
+        return build_index(terms[own], weights, at, place, n[some], labels, doc_ids[rows], keys[rows], prior)
+
+    fold = keys % FOLDS
+    return of(np.ones(len(keys), bool)), [of(fold != f) for f in range(FOLDS)]
 
 
 def found_near(index: ToxicIndex, texts: list[str | None], skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -288,23 +305,28 @@ def found_near(index: ToxicIndex, texts: list[str | None], skip: np.ndarray | No
         yield from nearest(index, doc, term, value, len(some), NEIGHBOURS, None if skip is None else skip[low : low + TOGETHER])
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_label: int = FIT_ROWS) -> tuple[Broadcast, tuple[float, float]]:
-    """The index, broadcast, and the calibration of its votes: slope and level."""
+def learn(docs: DataFrame, labels: DataFrame, per_label: int = FIT_ROWS, by_label: bool = True) -> tuple[Broadcast, tuple[float, float]]:
+    """The index, broadcast, and the calibration of its votes: slope and level.
+
+    Without ``by_label`` words weigh by their IDF alone. Examples get the votes that calibrate from an index that knows neither them nor, in its weights, their labels.
+    """
     fit, prior = fit_rows(docs, labels, per_label)
     fit = fit.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text", "toxic")
-    shared = docs.sparkSession.sparkContext.broadcast(build(docs, fit, prior))
+    whole, others = build(docs, fit, prior, by_label)
+    context = docs.sparkSession.sparkContext
+    shared, without = context.broadcast(whole), context.broadcast(others)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        number = {pair: i for i, pair in reversed(list(enumerate(zip(index.doc_ids.tolist(), index.keys.tolist(), strict=True))))}
         for batch, _, _ in chunks(batches, "text"):
-            own = [number.get(pair, -1) for pair in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), strict=True)]
-            batch = batch.filter(pa.array([x >= 0 for x in own]))
-            skip = np.array([x for x in own if x >= 0], np.int64)
-            votes = [vote(index.labels[near], score, index.prior) for near, score in found_near(index, batch.column("text").to_pylist(), skip)]
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("toxic")], ["vote", "toxic"])
+            fold = batch.column("key").to_numpy() % FOLDS
+            for f, index in enumerate(without.value):
+                some = batch.filter(pa.array(fold == f))
+                texts = some.column("text").to_pylist()
+                votes = [vote(index.labels[near], score, index.prior) for near, score in found_near(index, texts)] if len(index.labels) else [index.prior] * len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), some.column("toxic")], ["vote", "toxic"])
 
     votes = fit.mapInArrow(left_out, "vote double, toxic int").orderBy("vote", "toxic").toArrow()
+    without.unpersist()
     return shared, calibrate(votes["vote"].to_numpy(), votes["toxic"].to_numpy(), prior) if len(votes) else (1.0, 0.0)
 
 
@@ -319,9 +341,9 @@ def score_texts(index: ToxicIndex, calibration: tuple[float, float], texts: list
     return score, [index.doc_ids[near[:3]].tolist() for near, _ in found]
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted and evidence (doc_ids of the nearest examples) of every document."""
-    shared, calibration = learn(docs, labels)
+def score_documents(docs: DataFrame, labels: DataFrame, by_label: bool = True) -> DataFrame:
+    """doc_id, held_out, score, predicted and evidence (doc_ids of the nearest examples) of every document; ``by_label`` as for ``learn``."""
+    shared, calibration = learn(docs, labels, by_label=by_label)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in chunks(batches, "text"):

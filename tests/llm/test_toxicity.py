@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from ledgerloom.llm import toxicity
 from tests.conftest import SMALL
@@ -86,50 +87,57 @@ def test_blocks_that_cannot_hold_a_nearer_example_are_not_read(monkeypatch):
     assert near.tolist() == list(range(15)) and not np.isnan(score).any()
 
 
-def brute_scores(docs, labels):
+def brute_scores(docs, labels, by_label):
     """The query's scores by plain dictionaries over all words and all examples."""
 
     def terms(text):
         words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
         return collections.Counter([*words, *(("stem", w[:5]) for w in words if len(w) > 5)])
 
-    counts = [(i, terms(t)) for i, t in docs]
+    counts = [(i, terms(t), t) for i, t in docs]
     may = {}
     for i, toxic, _ in labels:
         if i is not None and toxic in (0, 1) and zlib.crc32(str(i).encode()) % 3 != 1:
             may[i] = max(toxic, may.get(i, 0))
     prior = sum(may.values()) / len(may)
-    fit = [(i, c, may[i]) for i, c in counts if i in may and c]
-    n, toxic = len(fit), sum(y for *_, y in fit)
-    weight = {}
-    for term in set().union(*(c for _, c, _ in fit)):
-        df = sum(term in c for _, c in counts)
-        has, both = sum(term in c for _, c, _ in fit), sum(term in c and y for _, c, y in fit)
-        spread = math.sqrt(has * (n - has) * toxic * (n - toxic))
-        phi = abs(both * n - has * toxic) / spread if spread else 0
-        weight[term] = (math.log((1 + len(counts)) / (1 + df)) + 1) * (phi + 1 / n)
-
-    def unit(c):
-        w = {t: (1 + math.log(k)) * weight[t] for t, k in c.items() if t in weight}
-        norm = math.sqrt(sum(x * x for x in w.values()))
-        return {t: x / norm for t, x in w.items()}
-
-    units = [unit(c) for _, c, _ in fit]
-
-    def vote(c, skip=None):
-        q = unit(c)
-        near = sorted(((-sum(x * u.get(t, 0) for t, x in q.items()), k) for k, u in enumerate(units) if k != skip))[: toxicity.NEIGHBOURS]
-        near = [(-s, k) for s, k in near if s < 0]
-        return (sum(s * fit[k][2] for s, k in near) + prior) / (sum(s for s, _ in near) + 1)
-
-    slope, level = toxicity.calibrate(np.array([vote(c, k) for k, (_, c, _) in enumerate(fit)]), np.array([y for *_, y in fit]), prior)
-    return [(i, 1 / (1 + math.exp(-slope * (math.log(v) - math.log(1 - v)) - level))) for i, v in ((i, vote(c)) for i, c in counts)]
-
-
-def test_the_querys_scores_equal_brute_force(stored):
+    every = [(c, may[i], xxhash.xxh64_intdigest(t.encode(), 42) % toxicity.FOLDS) for i, c, t in counts if i in may and c]
+    df = {term: sum(term in c for _, c, _ in counts) for term in set().union(*(c for c, *_ in every))}
+
+    def votes_of(fit):
+        n, toxic = len(fit), sum(y for _, y, _ in fit)
+        weight = {}
+        for term in set().union(*(c for c, *_ in fit)):
+            has, both = sum(term in c for c, *_ in fit), sum(term in c and y for c, y, _ in fit)
+            spread = math.sqrt(has * (n - has) * toxic * (n - toxic))
+            phi = abs(both * n - has * toxic) / spread if spread else 0
+            weight[term] = (math.log((1 + len(counts)) / (1 + df[term])) + 1) * ((phi + 1 / n) if by_label else 1)
+
+        def unit(c):
+            w = {t: (1 + math.log(k)) * weight[t] for t, k in c.items() if t in weight}
+            norm = math.sqrt(sum(x * x for x in w.values()))
+            return {t: x / norm for t, x in w.items()}
+
+        units = [unit(c) for c, *_ in fit]
+
+        def vote(c):
+            q = unit(c)
+            near = sorted((-round(sum(x * u.get(t, 0) for t, x in q.items()), 12), k) for k, u in enumerate(units))[: toxicity.NEIGHBOURS]
+            near = [(-s, k) for s, k in near if s < 0]
+            return (sum(s * fit[k][1] for s, k in near) + prior) / (sum(s for s, _ in near) + 1)
+
+        return vote
+
+    without = [votes_of([x for x in every if x[2] != f]) for f in range(toxicity.FOLDS)]
+    slope, level = toxicity.calibrate(np.array([without[f](c) for c, _, f in every]), np.array([y for _, y, _ in every]), prior)
+    vote = votes_of(every)
+    return [(i, 1 / (1 + math.exp(-slope * (math.log(v) - math.log(1 - v)) - level))) for i, v in ((i, vote(c)) for i, c, _ in counts)]
+
+
+@pytest.mark.parametrize("by_label", [True, False])
+def test_the_querys_scores_equal_brute_force(stored, by_label):
     docs, labels = tables(stored, 120)
-    got = sorted(((r.doc_id, r.score) for r in toxicity.score_documents(docs, labels).collect()), key=str)
-    want = sorted(brute_scores([(r.doc_id, r.text) for r in docs.collect()], [tuple(r) for r in labels.collect()]), key=str)
+    got = sorted(((r.doc_id, r.score) for r in toxicity.score_documents(docs, labels, by_label).collect()), key=str)
+    want = sorted(brute_scores([(r.doc_id, r.text) for r in docs.collect()], [tuple(r) for r in labels.collect()], by_label), key=str)
     assert [i for i, _ in got] == [i for i, _ in want]
     assert np.allclose([s for _, s in got], [s for _, s in want], atol=1e-9)
 
