@@ -16,48 +16,48 @@ FIELDS = ("record_id", "arrival_id", "at", "component", "decision_type", "inputs
 MARK = "\x1f"
 
 
-def chain_links(records: DataFrame) -> DataFrame:
+def chain_links(records: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """arrival_id, record_id, prev_hash and record_hash of each record, along its arrival's chain in order (at, record_id).
 
-    Sorted records stream through; only the last hash is carried, so memory doesn't grow with a chain.
+    A chain goes on from its arrival's hash in ``heads`` (arrival_id, record_hash), if it has one. Sorted records stream through; only the
+    last hash is carried, so memory doesn't grow with a chain.
     """
     part = F.concat(*(x for f in FIELDS for x in (F.coalesce(F.col(f), F.lit("")), F.lit(MARK))))
     rows = records.select("arrival_id", "at", "record_id", part.alias("_text"))
+    rows = rows.withColumn("_head", F.lit("")) if heads is None else rows.join(heads.select("arrival_id", F.col("record_hash").alias("_head")), "arrival_id", "left")
     rows = rows.repartition("arrival_id").sortWithinPartitions("arrival_id", "at", "record_id", "_text").drop("at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrival, last = None, None
         for batch in batches:
             before, own = [], []
-            for a, text in zip(batch.column("arrival_id").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+            for a, text, head in zip(*(batch.column(c).to_pylist() for c in ("arrival_id", "_text", "_head")), strict=True):
                 if last is None or a != arrival:
-                    arrival, last = a, ""
+                    arrival, last = a, head or ""
                 before.append(last)
                 last = hashlib.sha256(f"{text}{last}{MARK}".encode()).hexdigest()
                 own.append(last)
             yield pa.RecordBatch.from_arrays([batch.column("arrival_id"), batch.column("record_id"), pa.array(before, pa.string()), pa.array(own, pa.string())], ["arrival_id", "record_id", "prev_hash", "record_hash"])
 
     kinds = ", ".join(f"{c} {records.schema[c].dataType.simpleString()}" for c in ("arrival_id", "record_id"))
-    return rows.select("arrival_id", "record_id", "_text").mapInArrow(run, f"{kinds}, prev_hash string, record_hash string")
+    return rows.select("arrival_id", "record_id", "_text", "_head").mapInArrow(run, f"{kinds}, prev_hash string, record_hash string")
 
 
-def build_chains(records: DataFrame) -> DataFrame:
-    """(arrival_id, chain): each arrival's records in order (at, record_id), with prev_hash and record_hash.
+def extend(stored: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What new ``records`` add to ``stored`` chains: them with prev_hash and record_hash, and those that come too late.
 
-    A chain is folded inside one row, so it is as long as one arrival's decisions are many:
-    use ``chain_links`` where arrivals may have many.
+    Records that are stored already (by arrival_id and record_id), or given twice, add nothing, so that a batch may be played again.
+    A chain goes on from its last stored record; what would stand before that one (by at and record_id) can't be linked any more. Only the
+    heads of chains that the batch touches are looked for.
     """
-    mark = "\x1f"
-    part = F.concat(*(x for f in FIELDS for x in (F.coalesce(F.col(f), F.lit("")), F.lit(mark))))
-    rows = records.withColumn("_text", part).groupBy("arrival_id").agg(F.array_sort(F.collect_list(F.struct("at", "record_id", "_text"))).alias("_rows"))
-    empty = F.expr("cast(array() as array<struct<record_id:string,prev_hash:string,record_hash:string>>)")
-
-    def step(acc, row):
-        prev = F.when(F.size(acc) == 0, F.lit("")).otherwise(F.element_at(acc, -1)["record_hash"])
-        digest = F.sha2(F.concat(row["_text"], prev, F.lit(mark)), 256)
-        return F.concat(acc, F.array(F.struct(row["record_id"].alias("record_id"), prev.alias("prev_hash"), digest.alias("record_hash"))))
-
-    return rows.select("arrival_id", F.aggregate("_rows", empty, step).alias("chain"))
+    fresh = records.dropDuplicates(["arrival_id", "record_id"]).join(stored.select("arrival_id", "record_id"), ["arrival_id", "record_id"], "left_anti")
+    touched = stored.join(fresh.select("arrival_id").distinct(), "arrival_id", "left_semi")
+    heads = touched.groupBy("arrival_id").agg(F.max_by(F.struct("at", "record_id", "record_hash"), F.struct("at", "record_id")).alias("_head"))
+    placed = fresh.join(heads, "arrival_id", "left")
+    late = F.coalesce(F.struct("at", "record_id") < F.struct(F.col("_head.at").alias("at"), F.col("_head.record_id").alias("record_id")), F.lit(False))
+    good = placed.where(~late).drop("_head")
+    links = chain_links(good, heads.select("arrival_id", "_head.record_hash"))
+    return good.join(links, ["arrival_id", "record_id"]), placed.where(late).drop("_head")
 
 
 def verify(records: DataFrame) -> DataFrame:
@@ -79,6 +79,12 @@ def verify(records: DataFrame) -> DataFrame:
     return broken.groupBy("arrival_id").agg(F.min_by(F.struct("position", "record_id", "reason"), "position").alias("b")).select("arrival_id", "b.*")
 
 
+def verify_all(records: DataFrame) -> DataFrame:
+    """(arrival_id, records, position, record_id, reason) of every chain: how long it is, and its first break (nulls where it is whole)."""
+    chains = records.groupBy("arrival_id").agg(F.count("*").alias("records"))
+    return chains.join(verify(records), "arrival_id", "left")
+
+
 def previous_hash(records: DataFrame) -> DataFrame:
     """(arrival_id, record_hash): the latest record's hash."""
     return records.groupBy("arrival_id").agg(F.max_by("record_hash", F.struct("at", "record_id")).alias("record_hash"))

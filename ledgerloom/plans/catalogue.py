@@ -585,6 +585,24 @@ def audit_build(spark, sf_dir):
     return audit.chain_links(event_records(spark, sf_dir)).select("arrival_id", "record_id", "record_hash")
 
 
+@query(f"WITH RECURSIVE {CHAIN_SQL}, m AS (SELECT arrival_id, max(pos) AS n FROM n GROUP BY 1) SELECT chain.arrival_id, record_id, h AS record_hash, m.n AS records, NULL::VARCHAR AS reason FROM chain JOIN m ON m.arrival_id = chain.arrival_id")
+def audit_extend(spark, sf_dir):
+    """WIN-05, AGG-11: chains stored in three batches, each of which plays some of the one before again, and then verified one by one."""
+    from ..streaming.slot_stream import shared_folder
+
+    root = shared_folder(spark, "chains")
+    shares = F.ntile(3).over(Window.partitionBy("arrival_id").orderBy("at", "record_id"))
+    event_records(spark, sf_dir).withColumn("share", shares).write.parquet(f"{root}/records")
+    records = spark.read.parquet(f"{root}/records")
+    spark.createDataFrame([], records.drop("share").schema.add("prev_hash", "string").add("record_hash", "string")).write.parquet(f"{root}/stored/batch=0")
+    for batch in (1, 2, 3):
+        stored = spark.read.option("basePath", f"{root}/stored").parquet(f"{root}/stored").drop("batch")
+        linked, _ = audit.extend(stored, records.where(F.col("share").isin(batch - 1, batch)).drop("share"))
+        linked.write.parquet(f"{root}/stored/batch={batch}")
+    stored = spark.read.parquet(f"{root}/stored")
+    return stored.join(audit.verify_all(stored).select("arrival_id", "records", "reason"), "arrival_id").select("arrival_id", "record_id", "record_hash", "records", "reason")
+
+
 @query("""WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, lpad(event_id::VARCHAR, 12, '0')) AS pos FROM events)
 SELECT lpad(user_id::VARCHAR, 12, '0') AS arrival_id, min(pos)::INTEGER AS position, 'content' AS reason FROM n WHERE event_id % 97 = 5 GROUP BY 1""")
 def audit_verify(spark, sf_dir):

@@ -63,7 +63,7 @@ def records(n=5):
 def test_chain(spark):
     shape = "record_id string, arrival_id string, at string, component string, decision_type string, inputs_json string, outcome_json string, actor string"
     df = spark.createDataFrame(records(), shape)
-    chain = audit.build_chains(df).select("arrival_id", F.inline("chain"))
+    chain = audit.chain_links(df).select("arrival_id", "record_id", "prev_hash", "record_hash")
     want, prev = {}, {}
     for r in records():
         text = "".join(f"{x}\x1f" for x in (*r, prev.get(r[1], "")))
@@ -74,6 +74,24 @@ def test_chain(spark):
     edited = stored.withColumn("actor", F.when(F.col("record_id") == "r2", "me").otherwise("system"))
     assert [(r.arrival_id, r.position, r.reason) for r in audit.verify(edited).collect()] == [("a0", 2, "content")]
     assert [(r.arrival_id, r.position, r.reason) for r in audit.verify(stored.where("record_id != 'r1'")).collect()] == [("a1", 1, "link")]
+    every = {r.arrival_id: (r.records, r.position, r.reason) for r in audit.verify_all(edited).collect()}
+    assert every["a0"][1:] == (2, "content") and every["a1"][1:] == (None, None) and sum(n for n, *_ in every.values()) == len(want)
+
+
+def test_chains_grow_batch_by_batch_and_replays_add_nothing(spark, tmp_path):
+    shape = "record_id string, arrival_id string, at string, component string, decision_type string, inputs_json string, outcome_json string, actor string"
+    rows = [(f"r{i:02}", f"a{i % 3}", f"2026-01-01T00:00:{i:02}Z", "c", "T", "{}", "{}", "system") for i in range(30)]
+    spark.createDataFrame([], shape + ", prev_hash string, record_hash string").write.parquet(f"{tmp_path}/s")
+    stored = lambda: spark.read.parquet(f"{tmp_path}/s")
+    for low, high in ((0, 10), (5, 20), (5, 20), (18, 30)):
+        linked, late = audit.extend(stored(), spark.createDataFrame(rows[low:high] + rows[low : low + 2], shape))
+        assert late.count() == 0
+        linked.write.mode("append").parquet(f"{tmp_path}/s")
+    whole = {r.record_id: (r.prev_hash, r.record_hash) for r in audit.chain_links(spark.createDataFrame(rows, shape)).collect()}
+    assert {r.record_id: (r.prev_hash, r.record_hash) for r in stored().collect()} == whole and stored().count() == 30
+    old = ("r00x", "a0", "2026-01-01T00:00:01Z", "c", "T", "{}", "{}", "system")
+    linked, late = audit.extend(stored(), spark.createDataFrame([old], shape))
+    assert linked.count() == 0 and [r.record_id for r in late.collect()] == ["r00x"]
 
 
 def test_links_of_a_long_chain(spark):
