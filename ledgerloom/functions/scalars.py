@@ -81,9 +81,13 @@ def parse_date(c: Column) -> Column:
     return F.coalesce(*out)
 
 
+# The shapes of dates in file names.
+FILENAME_DATES = r"\d{4}-\d{2}-\d{2}|(?<!\d)\d{8}(?!\d)|\d{2}[A-Za-z]{3}\d{4}"
+
+
 def filename_date(name: Column) -> Column:
     """Date of the leftmost ``2026-08-31``, ``20260831`` or ``31AUG2026`` in a name."""
-    return parse_date(F.regexp_substr(name, F.lit(r"\d{4}-\d{2}-\d{2}|(?<!\d)\d{8}(?!\d)|\d{2}[A-Za-z]{3}\d{4}")))
+    return parse_date(F.regexp_substr(name, F.lit(FILENAME_DATES)))
 
 
 def normalise_side(c: Column) -> Column:
