@@ -15,32 +15,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import langid, packing, simhash, substrings, toxicity
-from ledgerloom.llm.common import materialize, table
+from ledgerloom.llm.common import materialize, small_batches, table
 from ledgerloom.llm.queries import vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages stay."""
+    small_batches(spark)
     return langid.keep_known(docs)
 
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxic threshold stay."""
+    small_batches(spark)
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur more than once leave the texts."""
+    small_batches(spark)
     return substrings.remove_repeats(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of what is left."""
+    small_batches(spark)
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +63,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Arrow batches of ``rows`` rows at most from here on: both sides of a batch of long texts are held outside the JVM's heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column, nulls as empty, without Python strings and, where no null holds bytes, without a copy."""
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
@@ -73,8 +83,48 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values[at[0] : at[-1]], at - at[0]
 
 
+@functools.cache
+def c_library() -> ctypes.CDLL | None:
+    """The C library, if it is one that can be asked to give memory back."""
+    found = ctypes.CDLL(None)
+    return found if hasattr(found, "malloc_trim") else None
+
+
+def release(cycles: bool = True) -> None:
+    """Gives what a task has freed back to the machine: a Python worker lives on, and would hold it through all later stages."""
+    if cycles:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if c_library():
+        c_library().malloc_trim(0)
+
+
+def tidy_group(solve: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``solve`` for one group after another, giving memory back after each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return solve(table)
+        finally:
+            release(cycles=False)
+
+    return run
+
+
+def tidy_pair(solve: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """``tidy_group`` for cogroups."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return solve(left, right)
+        finally:
+            release(cycles=False)
+
+    return run
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches of about CHUNK_BYTES of text, with the text's bytes and offsets."""
+    """Slices of the batches of about CHUNK_BYTES of text, with the text's bytes and offsets; at the end freed memory is given back."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -85,6 +135,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first), data[at[first] : at[last]], at[first : last + 1] - at[first]
             first = last
+    batch = data = at = None
+    release()
 
 
 def crc32_mod(column: str, mod: int):

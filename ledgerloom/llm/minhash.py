@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize
+from .common import chunks, materialize, tidy_group
 
 SHINGLE, SEED = 5, 43
 #: The least Jaccard of a link, as a fraction.
@@ -85,11 +85,12 @@ def stars(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *members]), np.concatenate([none, *roots])
 
 
-def jaccard_links(texts: DataFrame, sketches: DataFrame) -> DataFrame:
+def jaccard_links(texts: DataFrame, sketches: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(a, b): stars of nodes whose union has the components of all confirmed links.
 
     ``texts`` has node and text, ``sketches`` node, size (of its shingle set), bands and root (equal for nodes that are known to belong together),
-    one row for each distinct set. Links between nodes of one root may be left out.
+    one row for each distinct set. Links between nodes of one root may be left out. Up to ``broadcast_rows`` nodes are broadcast to the texts
+    whose shingles are wanted; more are joined by a shuffle.
     """
     placed = sketches.select("node", "size", "root", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(
@@ -106,7 +107,8 @@ def jaccard_links(texts: DataFrame, sketches: DataFrame) -> DataFrame:
             sets = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    wanted = members.select("node").distinct()
+    wanted = materialize(members.select("node").distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
     sets = materialize(texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, shingles binary"), "shingle-sets")
 
     def solve(group: pa.Table) -> pa.Table:
@@ -120,4 +122,4 @@ def jaccard_links(texts: DataFrame, sketches: DataFrame) -> DataFrame:
     )
     dealt = members.withColumn("block", block).withColumn("other", F.explode(others))
     dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node")
-    return dealt.join(sets, "node").groupBy("bucket", "i", "j").applyInArrow(solve, "a long, b long")
+    return dealt.join(sets, "node").groupBy("bucket", "i", "j").applyInArrow(tidy_group(solve), "a long, b long")

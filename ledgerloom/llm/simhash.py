@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash, vptree
-from .common import chunks, drop_materialized, materialize
+from .common import chunks, drop_materialized, materialize, tidy_group
 
 SHINGLE, SEED, REACH = 3, 42, 3
 #: Fingerprints of which the shards' tree is built: so many, or SAMPLE_ROOT times the square root of all, so that shards can grow in number.
@@ -33,6 +33,8 @@ SAMPLE, SAMPLE_ROOT = 65_536, 4
 SHARD = 8
 #: A shard with more fingerprints of its own than this (a dense ball that no tree can part), or more queries, is searched in blocks of both.
 BLOCK = 262_144
+#: Up to this many row numbers (of 8 bytes) are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -138,7 +140,7 @@ def star_links(distinct: DataFrame) -> DataFrame:
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     sent = distinct.select("fp").mapInArrow(send, "leaf long, block long, turn long, fp long, home boolean")
-    return sent.groupBy("leaf", "block", "turn").applyInArrow(solve, "a long, b long")
+    return sent.groupBy("leaf", "block", "turn").applyInArrow(tidy_group(solve), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -212,7 +214,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     # most near copies are together by now: only buckets that hold several of these components can add links
     one = of_row.withColumnRenamed("row_no", "node").join(of_words.select(F.col("least").alias("node")), "node", "left_semi")
     one = one.join(first, one.node == first.a, "left").select("node", "size", "bands", F.coalesce("b", "node").alias("root"))
-    near = minhash.jaccard_links(docs.select(F.col("row_no").alias("node"), "text"), one)
+    near = minhash.jaccard_links(docs.select(F.col("row_no").alias("node"), "text"), one, BROADCAST_ROWS)
     root = components(first.union(near))
     rooted = nodes.join(root, nodes.node == root.a, "left").select("fp", "words", F.coalesce("b", "node").alias("root"))
     return of_row.select("row_no", "doc_id", "fp", "words").join(rooted, ["fp", "words"])
@@ -232,4 +234,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     groups = materialize(near_components(rows.select("row_no", "doc_id", "text")), "near-groups")
     first = groups.where("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "fp", "words", "row_no")).alias("least")).select("least.row_no")
     kept = first.union(groups.where("doc_id IS NULL").select("row_no"))
-    return rows.join(materialize(kept, "kept"), "row_no", "left_semi").select(*inner).toDF(*names)
+    gone = materialize(groups.select("row_no").join(kept, "row_no", "left_anti"), "gone")
+    # texts needn't move where the rows that leave are few enough to be sent to them
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return rows.join(gone, "row_no", "left_anti").select(*inner).toDF(*names)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize
+from .common import chunks, materialize, tidy_group, tidy_pair
 from .words import WORD_BASE, run_hashes, window_anchors
 
 WINDOW, ANCHOR = 35, 12
@@ -237,11 +237,11 @@ def passages(found: DataFrame) -> DataFrame:
     placed = placed.withColumn("block", F.pmod(F.xxhash64("row_no"), F.col("blocks")).cast("int")).select("shard", "block", "blocks", "words")
     assigned = (
         placed.where("blocks > 1").groupBy("shard", "block")
-        .applyInArrow(block_windows, "shard int, block int, a long, b long, gram long, n long")
+        .applyInArrow(tidy_group(block_windows), "shard int, block int, a long, b long, gram long, n long")
         .groupBy("shard", "a", "b").agg(F.sum("n").alias("n"), F.min("gram").alias("gram"), F.array_sort(F.collect_list("block")).alias("in"))
         .where("n > 1").select("shard", F.element_at("in", (F.pmod("gram", F.size("in")) + 1).cast("int")).alias("block"), "a", "b")
     )
-    return placed.groupBy("shard", "block").cogroup(assigned.groupBy("shard", "block")).applyInArrow(confirm, PASSAGES)
+    return placed.groupBy("shard", "block").cogroup(assigned.groupBy("shard", "block")).applyInArrow(tidy_pair(confirm), PASSAGES)
 
 
 class Phrases:
@@ -360,7 +360,7 @@ def scan(docs: DataFrame, result: Callable[[pa.Table, list[list[bytes]], list[np
         return result(table, words, covered)
 
     dealt = rows.select(*docs.columns, block)
-    return dealt.groupBy("block").cogroup(routed.groupBy("block")).applyInArrow(one_block, shape)
+    return dealt.groupBy("block").cogroup(routed.groupBy("block")).applyInArrow(tidy_pair(one_block), shape)
 
 
 def kept(words: list[bytes], covered: np.ndarray | None) -> list[bytes]:

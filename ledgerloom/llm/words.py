@@ -30,7 +30,7 @@ def base_powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below ``size`` at least; the usual sizes share one table, and larger ones aren't kept."""
-    usual = 1 << 20
+    usual = 1 << 19
     return base_powers(base, usual) if size <= usual else base_powers.__wrapped__(base, size)
 
 
