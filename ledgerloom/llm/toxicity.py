@@ -24,7 +24,7 @@ play no part; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -261,8 +261,8 @@ def relevance(doc: np.ndarray, term: np.ndarray, labels: np.ndarray, size: int)
     return np.abs(both * n - has * float(toxic)) / np.maximum(spread, 1) + 1 / n
 
 
-def build(docs: DataFrame, fit: DataFrame, prior: float, by_label: bool = True) -> tuple[ToxicIndex, list[ToxicIndex]]:
-    """The index of the (doc_id, key, text, toxic) rows of ``fit``, whose words and counts reach the driver, and one for each fold, which knows nothing of that fold's rows.
+def build(docs: DataFrame, fit: DataFrame, prior: float, by_label: bool = True) -> Iterator[ToxicIndex]:
+    """For each fold an index of the other folds' (doc_id, key, text, toxic) rows of ``fit``, which knows nothing of that fold's, and last the index of all; words and counts reach the driver.
 
     ``by_label`` as for ``learn``.
     """
@@ -292,8 +292,9 @@ def build(docs: DataFrame, fit: DataFrame, prior: float, by_label: bool = True)
         weights = idf[own] * (relevance(at, place, labels, len(own)) if by_label else 1.0)
         return build_index(terms[own], weights, at, place, n[some], labels, doc_ids[rows], keys[rows], prior)
 
-    fold = keys % FOLDS
-    return of(np.ones(len(keys), bool)), [of(fold != f) for f in range(FOLDS)]
+    for f in range(FOLDS):
+        yield of(keys % FOLDS != f)
+    yield of(np.ones(len(keys), bool))
 
 
 def found_near(index: ToxicIndex, texts: list[str | None], skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -312,22 +313,26 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = FIT_ROWS, by_labe
     """
     fit, prior = fit_rows(docs, labels, per_label)
     fit = fit.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text", "toxic")
-    whole, others = build(docs, fit, prior, by_label)
     context = docs.sparkSession.sparkContext
-    shared, without = context.broadcast(whole), context.broadcast(others)
-
-    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, _ in chunks(batches, "text"):
-            fold = batch.column("key").to_numpy() % FOLDS
-            for f, index in enumerate(without.value):
-                some = batch.filter(pa.array(fold == f))
-                texts = some.column("text").to_pylist()
-                votes = [vote(index.labels[near], score, index.prior) for near, score in found_near(index, texts)] if len(index.labels) else [index.prior] * len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), some.column("toxic")], ["vote", "toxic"])
-
-    votes = fit.mapInArrow(left_out, "vote double, toxic int").orderBy("vote", "toxic").toArrow()
-    without.unpersist()
-    return shared, calibrate(votes["vote"].to_numpy(), votes["toxic"].to_numpy(), prior) if len(votes) else (1.0, 0.0)
+    indexes, votes = build(docs, fit, prior, by_label), []
+
+    def left_out(index: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, _, _ in chunks(batches, "text"):
+                known, texts = index.value, batch.column("text").to_pylist()
+                made = [vote(known.labels[near], score, known.prior) for near, score in found_near(known, texts)] if len(known.labels) else [known.prior] * len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.float64()), batch.column("toxic")], ["vote", "toxic"])
+
+        return run
+
+    for f in range(FOLDS):  # one index at a time is on the executors
+        without = context.broadcast(next(indexes))
+        some = fit.where(F.pmod("key", F.lit(FOLDS)) == f).mapInArrow(left_out(without), "vote double, toxic int")
+        votes.append(some.orderBy("vote", "toxic").toArrow())
+        without.destroy()
+    found = pa.concat_tables(votes)
+    shared = context.broadcast(next(indexes))
+    return shared, calibrate(found["vote"].to_numpy(), found["toxic"].to_numpy(), prior) if len(found) else (1.0, 0.0)
 
 
 def score_texts(index: ToxicIndex, calibration: tuple[float, float], texts: list[str | None]) -> tuple[np.ndarray, list[list[int]]]:
