@@ -24,7 +24,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,9 +42,9 @@ from .packing import ByteBpe
 from .spm import BYTE, MARK, marks_lead, read_model
 
 #: Bytes of text whose documents share a dictionary.
-BLOCK_BYTES = 8_000_000
-#: Distinct cells that a worker remembers (no longer ones than LONGEST); beyond it starts anew.
-REMEMBERED, LONGEST = 100_000, 40
+BLOCK_BYTES = 12_000_000
+#: Distinct cells of a generation (no longer ones than LONGEST): a worker remembers two.
+REMEMBERED, LONGEST = 400_000, 40
 #: Texts that must be cut with care: other white space, or several in a row.
 ODD = re.compile("[\\s᠎​﻿]{2}|^\\s|\\s$|\x00")
 SAFE = re.compile("(?<=[^\\s᠎​﻿]) (?=[^\\s᠎​﻿])")
@@ -67,22 +70,21 @@ def token_bytes(path_a: str, path_b: str) -> tuple[list[bytes], list[bytes]]:
     return a, b
 
 
-def cut_groups(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> list[str]:
-    """The groups of two token sequences over the same bytes, as ``a1,a2|b1``."""
-    out = []
-    i = j = 0
-    while i < len(a):
-        first_a, first_b = i, j
-        end_a, end_b = size_a[a[i]], size_b[b[j]]
-        i, j = i + 1, j + 1
-        while end_a != end_b:
-            if end_a < end_b:
-                end_a += size_a[a[i]]
-                i += 1
-            else:
-                end_b += size_b[b[j]]
-                j += 1
-        out.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
+def cut_groups(a: list[list[int]], b: list[list[int]], size_a: np.ndarray, size_b: np.ndarray) -> list[str]:
+    """The groups of each pair of token sequences over the same bytes, as ``a1,a2|b1;a3|b2``; all pairs at once."""
+    flat_a, flat_b = list(itertools.chain.from_iterable(a)), list(itertools.chain.from_iterable(b))
+    end_a, end_b = np.cumsum(size_a[flat_a]), np.cumsum(size_b[flat_b])
+    both = np.intersect1d(end_a, end_b, assume_unique=True)
+    to_a, to_b = ((np.searchsorted(end, both) + 1).tolist() for end in (end_a, end_b))
+    last = np.cumsum([len(x) for x in a]).tolist()
+    said_a, said_b = list(map(str, flat_a)), list(map(str, flat_b))
+    out, groups, i, j, k = [], [], 0, 0, 0
+    for x, y in zip(to_a, to_b, strict=True):
+        groups.append(f"{said_a[i]}|{said_b[j]}" if x == i + 1 and y == j + 1 else f"{','.join(said_a[i:x])}|{','.join(said_b[j:y])}")
+        i, j = x, y
+        if i == last[k]:
+            out.append(";".join(groups))
+            groups, k = [], k + 1
     return out
 
 
@@ -108,12 +110,8 @@ def links_of(group: str, size_a: list[int], size_b: list[int]) -> dict[tuple[int
             end_b += size_b[b[j]]
 
 
-@dataclass(frozen=True)
-class Cell:
-    n_a: int
-    n_b: int
-    groups: tuple[str, ...]
-    text: str
+#: A cell's groups as text, and how many tokens of A and B it has.
+Cell = tuple[str, int, int]
 
 
 class Aligner:
@@ -122,17 +120,19 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side; threads of small batches mostly wait
         coder = ByteBpe(path_a)
         self.a = coder.whole
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_a, self.bytes_b = token_bytes(path_a, path_b)
-        self.size_a, self.size_b = [[len(x) for x in table] for table in (self.bytes_a, self.bytes_b)]
+        self.size_a, self.size_b = (np.array([len(x) for x in table]) for table in (self.bytes_a, self.bytes_b))
         model = read_model(path_b)
         plain = not model.charsmap and not model.drop_extra_spaces and model.dummy_prefix and model.escape_spaces
         self.in_cells = coder.in_parts and plain and marks_lead(model)
         self.breaks_alone = not any("\n" in p for p in model.pieces)
         self.cells: dict[str, Cell | None] = {}
+        self.older: dict[str, Cell | None] = {}
 
     def cut(self, text: str) -> list[str]:
         """Keys of a text's cells: a cell after a space without it, one after a line break with it, and after \\0 what stands behind a space as it is."""
@@ -143,51 +143,42 @@ class Aligner:
         first, *others = SAFE.split(text)
         return ["\x00" + first, *others]
 
-    def grouped(self, a: list[list[int]], b: list[list[int]], spelled: list[bytes]) -> list[Cell | None]:
-        """A cell for each pair of sequences; None where one doesn't spell the bytes."""
-        out: list[Cell | None] = []
-        for x, y, raw in zip(a, b, spelled, strict=True):
-            if b"".join([self.bytes_a[i] for i in x]) != raw or b"".join([self.bytes_b[i] for i in y]) != raw:
-                out.append(None)
-                continue
-            groups = cut_groups(x, y, self.size_a, self.size_b)
-            out.append(Cell(len(x), len(y), tuple(groups), ";".join(groups)))
-        return out
+    def spells(self, a: list[list[int]], b: list[list[int]], raw: list[bytes]) -> bool:
+        """Whether both sequences of every pair spell their bytes."""
+        whole, size = b"".join(raw), np.array([len(x) for x in raw])
+        for ids, table, sizes in ((a, self.bytes_a, self.size_a), (b, self.bytes_b, self.size_b)):
+            flat = list(itertools.chain.from_iterable(ids))
+            ends = np.concatenate([[0], np.cumsum(sizes[flat])])[np.cumsum([len(x) for x in ids])]
+            if not np.array_equal(ends, np.cumsum(size)) or b"".join([table[i] for i in flat]) != whole:
+                return False
+        return True
 
     def encode(self, keys: list[str]) -> list[Cell | None]:
-        """Cells of these keys, in batches of both libraries."""
+        """Cells of these keys, in a batch of both libraries; None where one doesn't spell the bytes."""
         inner = [k if k[:1] == "\n" else " " + k.removeprefix("\x00") for k in keys]
-        a = [e.ids for e in self.a.encode_batch(inner, add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast(inner, add_special_tokens=False)]
         b = self.b.encode([k.removeprefix("\x00") for k in keys], num_threads=1)
         # B puts a space before the line break, too, as a piece of its own
         b = [y[1:] if k[:1] == "\n" else y for k, y in zip(keys, b, strict=True)]
-        return self.grouped(a, b, [x.encode() for x in inner])
+        raw = [x.encode() for x in inner]
+        good = range(len(keys)) if self.spells(a, b, raw) else [i for i in range(len(keys)) if self.spells(a[i : i + 1], b[i : i + 1], raw[i : i + 1])]
+        out: list[Cell | None] = [None] * len(keys)
+        for i, text in zip(good, cut_groups([a[i] for i in good], [b[i] for i in good], self.size_a, self.size_b), strict=True):
+            out[i] = text, len(a[i]), len(b[i])
+        return out
 
-    def learn(self, keys: set[str]) -> dict[str, Cell | None]:
-        """The cells of all keys: those remembered, and new ones."""
-        new = [k for k in keys if k not in self.cells]
+    def learn(self, keys: list[str]) -> list[Cell | None]:
+        """The cells of distinct keys: those remembered, and new ones."""
+        if len(self.cells) > REMEMBERED:  # the generation before goes, but for what is still in use
+            self.cells, self.older = {}, self.cells
+        cells, older = self.cells, self.older
+        new = [k for k in keys if k not in cells and k not in older]
         found: dict[str, Cell | None] = {}
         for at in range(0, len(new), 4_000):
             some = new[at : at + 4_000]
             found.update(zip(some, self.encode(some), strict=True))
-        if len(self.cells) > REMEMBERED:
-            found.update((k, self.cells[k]) for k in keys if k in self.cells)
-            self.cells = {}
-        self.cells.update((k, c) for k, c in found.items() if len(k) <= LONGEST)
-        return found
-
-    def cells_of(self, texts: list[str | None]) -> list[list[Cell]]:
-        """The cells of each text, none for texts without tokens."""
-        cut = [self.cut(t) if t else [] for t in texts]
-        found = self.learn(set().union(*cut))
-        cells = self.cells
-        out = []
-        for text, keys in zip(texts, cut, strict=True):
-            got = [found[k] if k in found else cells[k] for k in keys]
-            if None in got:  # only the whole text can tell whether all its bytes are spelled
-                whole = self.encode(["\x00" + text])[0]
-                got = [] if whole is None else [whole]
-            out.append(got)
+        out = [found[k] if k in found else cells[k] if k in cells else older[k] for k in keys]
+        cells.update((k, c) for k, c in zip(keys, out, strict=True) if len(k) <= LONGEST)
         return out
 
 
@@ -207,29 +198,66 @@ CODED_ARROW = pa.schema(
 )
 
 
+class Numbers(dict):
+    """Keys to the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
+
+
 class Block:
     """Documents that share a dictionary of groups."""
 
-    def __init__(self, number: int):
-        self.number = number
-        self.entry: dict[str, int] = {}
-        self.of_cell: dict[int, list[int]] = {}
-        self.held: list[Cell] = []  # so that a cell's id() stays its own
+    def __init__(self, number: int, coder: Aligner):
+        self.number, self.coder = number, coder
+        self.entry: dict[str, int] = Numbers()
+        self.cell: dict[str, int] = Numbers()
+        self.texts: list[str | None] = []  # of the cells in order; None: the whole text must be looked at
+        self.n_a, self.n_b = array("q"), array("q")
+        self.entries, self.first = array("i"), array("q", [0])
         self.docs: list[tuple] = []
         self.size = 0
 
-    def add(self, doc_id: int | None, cells: list[Cell]) -> None:
-        entries: list[int] = []
-        of_cell = self.of_cell
-        for c in cells:
-            known = of_cell.get(id(c))
-            if known is None:
-                known = of_cell[id(c)] = [self.entry.setdefault(g, len(self.entry)) for g in c.groups]
-                self.held.append(c)
-            entries += known
-        distinct, counts = np.unique(np.array(entries, np.int32), return_counts=True)
-        digest = hashlib.sha256(";".join([c.text for c in cells]).encode()).hexdigest() if cells else ""
-        self.docs.append((doc_id, sum(c.n_a for c in cells), sum(c.n_b for c in cells), len(entries), digest, distinct, counts))
+    def learn(self) -> None:
+        """Whatever is new among the cells."""
+        new = list(itertools.islice(self.cell, len(self.texts), None))
+        for cell in self.coder.learn(new):
+            text, n_a, n_b = cell or (None, 0, 0)
+            self.texts.append(text)
+            self.n_a.append(n_a)
+            self.n_b.append(n_b)
+            if text is not None:
+                self.entries.extend(map(self.entry.__getitem__, text.split(";")))
+            self.first.append(len(self.entries))
+
+    def add(self, doc_ids: list[int | None], texts: list[str | None]) -> None:
+        """Some documents; their new cells are encoded together."""
+        number = self.cell.__getitem__
+        cut = [list(map(number, self.coder.cut(t))) if t else [] for t in texts]
+        self.learn()
+        for k, cells in enumerate(cut):
+            if None in map(self.texts.__getitem__, cells):  # only the whole text can tell whether all its bytes are spelled
+                cut[k] = [number("\x00" + texts[k])]
+        self.learn()
+        said = [list(map(self.texts.__getitem__, cells)) for cells in cut]
+        cut = [cells if x and x[0] is not None else [] for cells, x in zip(cut, said, strict=True)]
+        n_a, n_b, first, entries = (np.array(x) for x in (self.n_a, self.n_b, self.first, self.entries))
+        # all documents at once: each one's distinct cells, and of these its distinct groups, with their counts
+        doc = np.repeat(np.arange(len(cut)), [len(cells) for cells in cut])
+        pair, times = np.unique(doc * max(1, len(n_a)) + np.fromiter(itertools.chain.from_iterable(cut), np.int64, len(doc)), return_counts=True)
+        doc, cell = np.divmod(pair, max(1, len(n_a)))
+        size = first[cell + 1] - first[cell]
+        at = np.arange(size.sum()) + np.repeat(first[cell] - np.cumsum(size) + size, size)
+        pair, place = np.unique(np.repeat(doc, size) * max(1, len(self.entry)) + entries[at], return_inverse=True)
+        counts = np.bincount(place, np.repeat(times, size), len(pair)).astype(np.int64)
+        total_a, total_b, groups = (np.bincount(doc, x * times, len(cut)).astype(np.int64).tolist() for x in (n_a[cell], n_b[cell], size))
+        of, distinct = np.divmod(pair, max(1, len(self.entry)))
+        distinct, cuts = distinct.astype(np.int32), np.searchsorted(of, np.arange(len(cut) + 1)).tolist()
+        for k, doc_id in enumerate(doc_ids):
+            digest = hashlib.sha256(";".join(said[k]).encode()).hexdigest() if cut[k] else ""
+            low, high = cuts[k], cuts[k + 1]
+            self.docs.append((doc_id, total_a[k], total_b[k], groups[k], digest, distinct[low:high], counts[low:high]))
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         """The dictionary's rows, then the documents'."""
@@ -242,9 +270,11 @@ class Block:
             given["block"] = pa.array(np.full(rows, self.number, np.int64))
             return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(rows, f.type) for f in CODED_ARROW], schema=CODED_ARROW)
 
-        if self.entry:
-            numbers = pa.array(np.arange(len(self.entry), dtype=np.int32))
-            yield made(len(self.entry), {"entry": numbers, "grp": pa.array(list(self.entry), pa.string()), "times": pa.array(times), "docs": pa.array(docs)})
+        held = np.flatnonzero(times)  # not those of texts that turned out to have no tokens
+        if len(held):
+            names = np.array(list(self.entry), object)[held]
+            given = {"entry": pa.array(held.astype(np.int32)), "grp": pa.array(names, pa.string()), "times": pa.array(times[held]), "docs": pa.array(docs[held])}
+            yield made(len(held), given)
         for first in range(0, len(self.docs), 5_000):
             some = self.docs[first : first + 5_000]
             columns = dict(zip(("doc_id", "n_a", "n_b", "n_groups", "groups_sha256"), zip(*(d[:5] for d in some), strict=True), strict=True))
@@ -260,16 +290,13 @@ def code_blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = aligner(path_a, path_b)
-        task = TaskContext.get().partitionId() << 32
-        block = Block(task)
+        block = Block(TaskContext.get().partitionId() << 32, coder)
         for batch, data, _ in chunks(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            for doc_id, cells in zip(batch.column("doc_id").to_pylist(), coder.cells_of(texts), strict=True):
-                block.add(doc_id, cells)
+            block.add(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
             block.size += len(data)
             if block.size >= BLOCK_BYTES:
                 yield from block.batches()
-                block = Block(block.number + 1)
+                block = Block(block.number + 1, coder)
         yield from block.batches()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CODED)
@@ -322,7 +349,7 @@ def describe(found: Alignment) -> DataFrame:
         numbers, times = (docs[c].combine_chunks().flatten().to_numpy() for c in ("entries", "counts"))
         out = {c: docs[c] for c in given}
         for name, column in (("n_links", "links"), ("n_best", "best"), ("count_sum", "counted")):
-            value = np.zeros(len(entry), np.int64)
+            value = np.zeros(entry.max(initial=-1) + 1, np.int64)
             value[entry] = values[column].to_numpy()
             total = np.concatenate([[0], np.cumsum(value[numbers] * times)])
             out[name] = pa.array(total[at[1:]] - total[at[:-1]], pa.int64())
