@@ -45,8 +45,8 @@ PER_SEQUENCE, SENTENCE_CUT, HARD_CUT = 4, 8, 96
 SEGMENT = 1 << 20
 #: Lengths below WINDOW that need no padding, longest first.
 POWERS = tuple(1 << i for i in reversed(range(WINDOW.bit_length() - 1)))
-#: Distinct words that an encoder remembers; others are worked out anew each time.
-REMEMBERED = 150_000
+#: Distinct words of a generation: an encoder remembers two.
+REMEMBERED = 75_000
 
 
 class ByteBpe(dict):
@@ -66,6 +66,7 @@ class ByteBpe(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
@@ -89,22 +90,23 @@ class ByteBpe(dict):
         return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        got = self.whole.encode_batch(texts, add_special_tokens=False)
+        got = self.whole.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in got]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit integers; new parts go to the library in batches."""
         cut = [self.parts(t) for t in texts]
-        new = list(set().union(*(c for c in cut if c)).difference(self))
-        found: dict[str, bytes] = {}
+        if len(self) > REMEMBERED:  # the generation before goes, but for what is still in use
+            self.older = dict(self)
+            self.clear()
+        wanted = set().union(*(c for c in cut if c)).difference(self)
+        self.update((p, self.older[p]) for p in wanted if p in self.older)
+        new = list(wanted.difference(self.older))
         for first in range(0, len(new), 4_000):
             some = new[first : first + 4_000]
-            found.update(zip(some, self.ids([p[1:] if p[0] == "\x00" else p if p[0] == "\n" else " " + p for p in some]), strict=True))
+            self.update(zip(some, self.ids([p[1:] if p[0] == "\x00" else p if p[0] == "\n" else " " + p for p in some]), strict=True))
         whole = iter(self.ids([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        if len(self) < REMEMBERED:
-            self.update(found)
-            return [next(whole) if c is None else b"".join(map(self.__getitem__, c)) for c in cut]
-        return [next(whole) if c is None else b"".join([self[p] if p in self else found[p] for p in c]) for c in cut]
+        return [next(whole) if c is None else b"".join(map(self.__getitem__, c)) for c in cut]
 
     def sentence_ends(self) -> np.ndarray:
         """For each id whether its piece ends a sentence or a line."""
