@@ -94,5 +94,5 @@ def test_run_gives_the_last_stages_rows(spark):
 
 def test_every_operator_has_a_query():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.queries())
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
