@@ -21,6 +21,24 @@ def test_stream_equals_the_batch_machine(spark, tmp_path):
     assert got == simulate(rows)
 
 
+class Held:
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_slots_of_a_bucket_are_paired_together(spark):
+    rows = slot_rows(300, 4)
+    frame = slot_frame(spark, rows).toPandas().astype({"arrival_id": str, "client_id": str})
+    state, got = Held(), []
+    for first in range(0, len(frame), 100):
+        got += [r for out in slot_stream.pair((7,), iter([frame[first : first + 50][::-1], frame[first + 50 : first + 100]]), state) for r in out.itertuples()]
+    none = lambda x: None if x != x else x
+    assert {r.seq: tuple(map(none, (r.side_1, r.side_2, r.state, r.assignment_id, r.supersedes))) for r in got} == simulate(rows)
+    assert len(frame[["client_id", "domain", "value_date"]].drop_duplicates()) > 1
+
+
 def test_topics(spark, tmp_path):
     spark.createDataFrame([(1, "DISPATCHED"), (2, "REJECTED")], "id int, disposition string").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("id int, disposition string").parquet(f"{tmp_path}/in")
