@@ -55,22 +55,22 @@ def order_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """Orders, and their lines summed, as two sides; half of the orders are in cents off by the line taxes."""
     cents = lambda c: F.round(c, 2).cast("decimal(28,8)")
     none = F.lit(None).cast("decimal(28,8)")
-    o = read(spark, sf_dir, "orders")
+    o, line = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    parts = parts_of(line)
     a = o.select(
         F.col("o_orderkey").cast("string").alias("join_key"), F.lit(None).cast("decimal(28,8)").alias("quantity"), none.alias("trade_price"),
         none.alias("settlement_price"), none.alias("gross_amount"), cents(F.col("o_totalprice")).alias("net_amount"),
         none.alias("market_value"), F.when(F.col("o_orderstatus") == "F", "USD").alias("currency"),
     )
-    line = read(spark, sf_dir, "lineitem")
-    b = line.groupBy("l_orderkey").agg(
+    b = gathered(line.withColumn("join_key", F.col("l_orderkey").cast("string")), parts, "join_key").groupBy("join_key").agg(
         F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("decimal(28,8)").alias("q"),
         F.sum(F.round(F.col("l_extendedprice"), 2).cast("decimal(18,2)")).cast("decimal(28,8)").alias("n"),
     )
     b = b.select(
-        F.col("l_orderkey").cast("string").alias("join_key"), F.col("q").alias("quantity"), none.alias("trade_price"),
+        "join_key", F.col("q").alias("quantity"), none.alias("trade_price"),
         none.alias("settlement_price"), none.alias("gross_amount"), F.col("n").alias("net_amount"), none.alias("market_value"), F.lit("USD").alias("currency"),
     )
-    return a, b
+    return gathered(a, parts, "join_key"), b
 
 
 SIDES_SQL = """
