@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.scalars import record_hash
 
@@ -16,16 +17,16 @@ FIELDS = ("record_id", "arrival_id", "at", "component", "decision_type", "inputs
 MARK = "\x1f"
 
 
-def chain_links(records: DataFrame, heads: DataFrame | None = None) -> DataFrame:
-    """arrival_id, record_id, prev_hash and record_hash of each record, along its arrival's chain in order (at, record_id).
+def hashed_text() -> Column:
+    """What a record's hash is taken of, but for the hash before it."""
+    return F.concat(*(x for f in FIELDS for x in (F.coalesce(F.col(f), F.lit("")), F.lit(MARK))))
 
-    A chain goes on from its arrival's hash in ``heads`` (arrival_id, record_hash), if it has one. Sorted records stream through; only the
-    last hash is carried, so memory doesn't grow with a chain.
+
+def linked(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep`` of ``rows`` with prev_hash and record_hash; the rows have _text and _head, and lie, arrival by arrival, in their chains' order.
+
+    Rows stream through; only the last hash is carried, so memory doesn't grow with a chain.
     """
-    part = F.concat(*(x for f in FIELDS for x in (F.coalesce(F.col(f), F.lit("")), F.lit(MARK))))
-    rows = records.select("arrival_id", "at", "record_id", part.alias("_text"))
-    rows = rows.withColumn("_head", F.lit("")) if heads is None else rows.join(heads.select("arrival_id", F.col("record_hash").alias("_head")), "arrival_id", "left")
-    rows = rows.repartition("arrival_id").sortWithinPartitions("arrival_id", "at", "record_id", "_text").drop("at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrival, last = None, None
@@ -37,27 +38,36 @@ def chain_links(records: DataFrame, heads: DataFrame | None = None) -> DataFrame
                 before.append(last)
                 last = hashlib.sha256(f"{text}{last}{MARK}".encode()).hexdigest()
                 own.append(last)
-            yield pa.RecordBatch.from_arrays([batch.column("arrival_id"), batch.column("record_id"), pa.array(before, pa.string()), pa.array(own, pa.string())], ["arrival_id", "record_id", "prev_hash", "record_hash"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.array(before, pa.string()), pa.array(own, pa.string())], [*keep, "prev_hash", "record_hash"])
+
+    kinds = StructType([*(rows.schema[c] for c in keep), StructField("prev_hash", StringType()), StructField("record_hash", StringType())])
+    return rows.select(*keep, "_text", "_head").mapInArrow(run, kinds)
+
 
-    kinds = ", ".join(f"{c} {records.schema[c].dataType.simpleString()}" for c in ("arrival_id", "record_id"))
-    return rows.select("arrival_id", "record_id", "_text", "_head").mapInArrow(run, f"{kinds}, prev_hash string, record_hash string")
+def chain_links(records: DataFrame) -> DataFrame:
+    """arrival_id, record_id, prev_hash and record_hash of each record, along its arrival's chain in order (at, record_id)."""
+    rows = records.select("arrival_id", "at", "record_id", hashed_text().alias("_text"), F.lit("").alias("_head"))
+    return linked(rows.repartition("arrival_id").sortWithinPartitions("arrival_id", "at", "record_id", "_text"), ["arrival_id", "record_id"])
 
 
 def extend(stored: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What new ``records`` add to ``stored`` chains: them with prev_hash and record_hash, and those that come too late.
 
-    Records that are stored already (by arrival_id and record_id), or given twice, add nothing, so that a batch may be played again.
-    A chain goes on from its last stored record; what would stand before that one (by at and record_id) can't be linked any more. Only the
-    heads of chains that the batch touches are looked for.
+    Records that are stored already (by arrival_id and record_id; two without an id are the same), or given twice (the first by time counts), add
+    nothing, so that a batch may be played again. A chain goes on from its last stored record; what would stand before that one (by at and
+    record_id) can't be linked any more. Chains and batch are shuffled once, by arrival.
     """
-    fresh = records.dropDuplicates(["arrival_id", "record_id"]).join(stored.select("arrival_id", "record_id"), ["arrival_id", "record_id"], "left_anti")
-    touched = stored.join(fresh.select("arrival_id").distinct(), "arrival_id", "left_semi")
-    heads = touched.groupBy("arrival_id").agg(F.max_by(F.struct("at", "record_id", "record_hash"), F.struct("at", "record_id")).alias("_head"))
-    placed = fresh.join(heads, "arrival_id", "left")
-    late = F.coalesce(F.struct("at", "record_id") < F.struct(F.col("_head.at").alias("at"), F.col("_head.record_id").alias("record_id")), F.lit(False))
-    good = placed.where(~late).drop("_head")
-    links = chain_links(good, heads.select("arrival_id", "_head.record_hash"))
-    return good.join(links, ["arrival_id", "record_id"]), placed.where(late).drop("_head")
+    names = ["arrival_id", "record_id", *(c for c in records.columns if c not in ("arrival_id", "record_id"))]
+    old = stored.select("arrival_id", "record_id", "at", "record_hash", F.lit(False).alias("_new"))
+    both = records.select(*names, hashed_text().alias("_text"), F.lit(True).alias("_new")).unionByName(old, allowMissingColumns=True).repartition("arrival_id")
+    seen = F.row_number().over(Window.partitionBy("arrival_id", "record_id").orderBy("_new", "at", "_text"))
+    # stored records come first, so that each new one sees the last of all of them
+    so_far = Window.partitionBy("arrival_id").orderBy("_new", "at", "record_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max(F.when(~F.col("_new"), F.struct("at", "record_id", "record_hash"))).over(so_far)
+    fresh = both.withColumn("_seen", seen).withColumn("_last", last).where("_new AND _seen = 1")
+    late = F.coalesce(F.struct("at", "record_id") < F.struct(F.col("_last.at").alias("at"), F.col("_last.record_id").alias("record_id")), F.lit(False))
+    good = fresh.where(~late).select(*names, "_text", F.coalesce("_last.record_hash", F.lit("")).alias("_head"))
+    return linked(good.sortWithinPartitions("arrival_id", "at", "record_id", "_text"), names), fresh.where(late).select(*names)
 
 
 def verify(records: DataFrame) -> DataFrame:

@@ -217,3 +217,18 @@ def test_board(spark):
     assert board.first_wins(up, "k", F.col("n")).first().x == "a"
     clear = spark.createDataFrame([(0, 0, 0, 0, 0.0)], "open_alerts int, quarantined int, rejected int, mismatches int, quarantine_rate double")
     assert board.posture(clear).first().level == "CLEAR"
+
+
+def test_chains_are_extended_in_one_shuffle(spark, capsys):
+    shape = "record_id string, arrival_id string, at string, component string, decision_type string, inputs_json string, outcome_json string, actor string"
+    rows = [(f"{i:03}", f"a{i % 3}", f"2026-01-01T00:00:{i:02}Z", "c", "d", f"{{{i}}}", "{}", "s") for i in range(30)]
+    empty = spark.createDataFrame([], shape + ", prev_hash string, record_hash string")
+    whole = {r.record_id: (r.prev_hash, r.record_hash) for r in audit.chain_links(spark.createDataFrame(rows, shape)).collect()}
+    first = audit.extend(empty, spark.createDataFrame(rows[:12], shape))[0].collect()
+    stored = spark.createDataFrame(first, empty.select(*first[0].__fields__).schema)
+    twice = [("012", *rows[12][1:2], "2026-01-01T00:00:59Z", *rows[12][3:]), *rows[10:], *rows[28:]]
+    more, late = audit.extend(stored, spark.createDataFrame(twice, shape))
+    capsys.readouterr()
+    more.explain()
+    assert capsys.readouterr().out.count("Exchange ") == 1
+    assert {r.record_id: (r.prev_hash, r.record_hash) for r in [*first, *more.collect()]} == whole and not late.count()
