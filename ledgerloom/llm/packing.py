@@ -22,7 +22,9 @@ on the number of splits.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import os
 import re
 import zlib
 from array import array
@@ -46,7 +48,9 @@ SEGMENT = 1 << 20
 #: Lengths below WINDOW that need no padding, longest first.
 POWERS = tuple(1 << i for i in reversed(range(WINDOW.bit_length() - 1)))
 #: Distinct words of a generation: an encoder remembers two.
-REMEMBERED = 75_000
+REMEMBERED = 300_000
+#: New words that go to the library as one text.
+JOINED = 50
 
 
 class ByteBpe(dict):
@@ -54,15 +58,18 @@ class ByteBpe(dict):
 
     Of a byte-level BPE with the usual split of texts and no normaliser, a single space with other
     characters on both sides always starts a new part of the text, and so does a single line break;
-    each distinct part is encoded once and its ids remembered. Texts with other white space
+    each distinct part is encoded once and its ids remembered. New parts without white space go to the library
+    as texts of many, whose ids are cut where a piece starts with the space. Texts with other white space
     are cut where it is safe. Texts that hold a special token's string, and all texts
     under other settings, go to the library whole.
     """
 
     odd = re.compile("[\\s᠎​﻿]{2}|^\\s|\\s$|\x00")
     safe = re.compile("(?<=[^\\s᠎​﻿]) (?=[^\\s᠎​﻿])")
+    space = re.compile("[\\s᠎​﻿\x00]")
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side; threads of small batches mostly wait
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -79,6 +86,9 @@ class ByteBpe(dict):
             and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
         )
 
+        self.leads = np.zeros(max(self.n_ids, 1 + max(self.whole.get_vocab().values(), default=0)), bool)
+        self.leads[[i for piece, i in self.whole.get_vocab().items() if piece[:1] == "Ġ"]] = True
+
     def parts(self, text: str) -> list[str] | None:
         """The parts of a text: the first after a \\0, those after a line break with it, others without their space; None if it must stay whole."""
         if not self.in_parts or "\x00" in text or any(s in text for s in self.special):
@@ -93,6 +103,16 @@ class ByteBpe(dict):
         got = self.whole.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in got]
 
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with a space before it: of texts of many words, cut where a piece starts with the space."""
+        joined = [" " + " ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        ids = np.frombuffer(b"".join(self.ids(joined)), "<u4")
+        at = [*np.flatnonzero(self.leads[ids]).tolist(), len(ids)]
+        if len(at) != len(words) + 1:  # a vocabulary of other pieces
+            return self.ids([" " + w for w in words])
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in itertools.pairwise(at)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit integers; new parts go to the library in batches."""
         cut = [self.parts(t) for t in texts]
@@ -102,6 +122,9 @@ class ByteBpe(dict):
         wanted = set().union(*(c for c in cut if c)).difference(self)
         self.update((p, self.older[p]) for p in wanted if p in self.older)
         new = list(wanted.difference(self.older))
+        words = [p for p in new if not self.space.search(p)]
+        self.update(zip(words, self.word_ids(words), strict=True))
+        new = [p for p in new if self.space.search(p)]
         for first in range(0, len(new), 4_000):
             some = new[first : first + 4_000]
             self.update(zip(some, self.ids([p[1:] if p[0] == "\x00" else p if p[0] == "\n" else " " + p for p in some]), strict=True))

@@ -146,3 +146,24 @@ def test_very_long_texts_and_columns_that_clash(stored):
     df = stored(docs, "doc_id long, text string, start int, length long, sequence_id string")
     rows = packing.pack_documents(df, PATH).collect()
     assert check(rows, [d[:2] for d in docs]) < 0.05 and packing.pack_documents(df, PATH).columns[:4] == ["doc_id", "start", "length", "ids_crc32"]
+
+
+def test_new_words_go_to_the_library_as_few_texts(monkeypatch):
+    import public_tokenizers
+
+    coder = packing.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" ".join(f"w{i}ö,x{i % 7}" for i in range(400)), "a\nb  c\t\n d", "don't 12 3.4   x​y z", "x Ġ Ġy ĠĠ"]
+    whole = coder.ids(texts)
+    asked = []
+    monkeypatch.setattr(coder, "ids", lambda some: asked.extend(some) or packing.ByteBpe.ids(coder, some))
+    assert coder.encode(texts) == whole
+    assert len(asked) < 30
+
+
+def test_words_of_a_vocabulary_without_leading_spaces():
+    import public_tokenizers
+
+    coder = packing.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    right = coder.word_ids(["some", "words"])
+    coder.leads[:] = False
+    assert coder.word_ids(["some", "words"]) == right == coder.ids([" some", " words"])
