@@ -118,3 +118,20 @@ def test_documents(stored):
     n = {r.doc_id: r.n_tokens for r in spm.count_tokens(df, PATH).collect()}
     assert n[1] == n[2] == 0 and n[4] > 60000
     assert spm.count_tokens(df.where("false"), PATH).collect() == spm.code_digest(df.where("false"), PATH).collect() == []
+
+
+def test_every_row_has_its_parity(stored):
+    rows = [(i, f"row {i} of some_words\n ünd <0x41> ▁") for i in range(40)] + [(40, None), (41, "")]
+    got = spm.code_digest(stored(rows, "doc_id long, text string"), PATH).collect()
+    assert len(got) == 42 and all(r.parity is True for r in got)
+
+
+def test_digest_is_false_where_the_reference_differs(monkeypatch):
+    tokenizer, reference = spm.whole_coders(PATH)
+
+    class Other:
+        encode = staticmethod(lambda texts: [x[:-1] for x in reference.encode(texts)])
+        decode = staticmethod(reference.decode)
+
+    monkeypatch.setattr(spm, "whole_coders", lambda path: (tokenizer, Other))
+    assert [equal for _, _, equal in spm.compared(PATH, ["a b", "c"])] == [False, False]
