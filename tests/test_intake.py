@@ -1,0 +1,52 @@
+from datetime import date
+
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import calendars
+from ledgerloom.operators import intake, ladder, valuedate
+from ledgerloom.plans.catalogue import ALIASES
+
+
+def test_headers_are_in_the_order_in_which_they_are_met(stored):
+    rows = [("a", 0, "xy"), ("a", 1, "xy"), ("b", 3, "yz"), ("b", 2, "zx"), ("b", 4, "qy"), ("c", 0, "")]
+    names = F.when(F.col("names") == "", F.array().cast("array<string>")).otherwise(F.split("names", ""))
+    rows = stored(rows, "arrival_id string, row_idx int, names string").withColumn("cells", F.map_from_arrays(names, names))
+    got = intake.file_headers(rows).collect()
+    assert {r.arrival_id: r.headers for r in got} == {"a": ["x", "y"], "b": ["z", "x", "y", "q"], "c": []}
+
+
+def test_a_date_stands_for_its_rows(stored):
+    cells = stored([("a", 5, date(2024, 1, 2), 3), ("a", 0, date(2024, 1, 3), 2), ("a", 1, None, 9)], "arrival_id string, row_idx int, d date, n long")
+    (r,) = valuedate.dominant_dates(cells).collect()
+    assert (r.d, r.n_dates, r.n_top, r.n_rows) == (date(2024, 1, 2), 2, 3, 5)
+
+
+def test_a_layouts_ratio_is_that_of_all_its_files(stored):
+    rows = [("a", None, 0, "Px", ["1"], 0.25, 3, True), ("b", None, 0, "Px", ["2"], 1.0, 1, False)]
+    columns = stored(rows, "arrival_id string, client_id string, col_idx int, header string, samples array<string>, ratio double, weight long, price_like boolean")
+    (r,) = ladder.layouts(columns).collect()
+    assert (r.ratio, r.samples, r.price_like) == (0.4375, ["1"], True)
+
+
+def test_each_distinct_text_is_read_as_a_date_once(spark, stored, monkeypatch):
+    head = "Account ID,Symbol,Trade Date,Value Date,Qty,Exec Price,Net Amount,CCY\n"
+    line = "A-0,P1,2024-01-02,{},1,2.5,2.5,USD\n"
+    contents = {f"f{i}": head + line.format("2024-01-04") * 6 + line.format("05/01/2024") * i for i in range(8)} | {"j": '[{"Account ID": "A-1", "Value Date": "2024-01-04"}, {"Symbol": "x", "Value Date": "2024-01-08"}]', "e": ""}
+    files = stored([(k, "MCP_TRD_20240105.csv", v.encode(), "MAIN", date(2024, 1, 8)) for k, v in contents.items()], "arrival_id string, name string, content binary, calendar_id string, arrival_day date")
+    patterns = spark.createDataFrame([("C0", 0, "MCP_TRD", "TRADE")], "client_id string, hint_no int, pattern string, domain string")
+    accounts = spark.createDataFrame([("A-0", "C0"), ("A-1", "C1")], "account_id string, client_id string")
+    days = calendars.calendar_days(spark, {"MAIN": [("2024-01-01", "New Year")]}, "2023-12-01", "2024-02-01")
+    stages, written = {}, intake.written
+
+    def noted(df, label):
+        stages[label] = written(df, label)
+        return stages[label]
+
+    monkeypatch.setattr(intake, "written", noted)
+    fields = tuple(sorted({f for _, f in ALIASES} | {"trade_price"}))
+    got = {r.arrival_id: (r.client_id, r.value_date, r.method, r.disposition) for r in intake.classify(files, ALIASES, fields, patterns, accounts, days).collect()}
+    fourth, fifth = date(2024, 1, 4), date(2024, 1, 5)
+    assert got == {f"f{i}": ("C0", fifth if i > 6 else fourth, "CONTENT_EXPLICIT", "DISPATCHED") for i in range(8)} | {
+        "j": ("C1", fourth, "CONTENT_EXPLICIT", "QUARANTINED"), "e": ("C0", fifth, "FILENAME", "QUARANTINED")}
+    assert stages["texts-read"].count() == 4 and stages["file-dates"].count() == 1
+    assert stages["first-files"].count() == stages["alike"].where("size(headers) > 0").count() == 2
