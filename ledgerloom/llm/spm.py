@@ -377,21 +377,29 @@ def decode_documents(coded: DataFrame, path: str) -> DataFrame:
 
 @functools.cache
 def whole_coders(path: str):
-    """The rebuilt tokenizer with all its steps, and the sentencepiece library's processor."""
+    """The rebuilt tokenizer for whole texts that are normalised, and the sentencepiece library's processor.
+
+    A whole text goes to the model as one word: where no piece spans two words, cutting it first changes nothing and takes longer.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side
     import sentencepiece
 
-    return build_tokenizer(read_model(path)), sentencepiece.SentencePieceProcessor(model_file=path)
+    model = read_model(path)
+    tokenizer = build_tokenizer(model, normalise=False)
+    if (MARK, NORMAL) in zip(model.pieces, model.kinds, strict=True):  # no text's ids spell the marker in byte pieces, so that it can go once for a text, not once for a piece
+        tokenizer.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " "), *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])])
+    return tokenizer, sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def compared(path: str, texts: list[str | None], coded: list[bytes] | None = None) -> Iterator[tuple[list[int], str, bool]]:
-    """For each text its ids (those ``coded``, else the rebuilt tokenizer's of the whole text), what they decode to, and parity.
+def compared(path: str, texts: list[str | None], coded: list[bytes] | None = None, normal: list[str] | None = None) -> Iterator[tuple[list[int], str, bool]]:
+    """For each text (``normal``: normalised, if that is known) its ids (those ``coded``, else the rebuilt tokenizer's of the whole text), what they decode to, and parity.
 
     Parity is that the rebuilt tokenizer and the sentencepiece library give the whole text these ids, and the ids the same text.
     """
     tokenizer, reference = whole_coders(path)
     texts = [t or "" for t in texts]
-    own = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    normal = [encoder(path).parts.normalise(t) for t in texts] if normal is None else normal
+    own = [e.ids for e in tokenizer.encode_batch_fast(normal, add_special_tokens=False)]
     ids = own if coded is None else [array("I", x).tolist() for x in coded]
     if coded is None and encoder(path).spelled_out is not None:  # such texts confuse the library's unigram model
         ids = [array("I", encoder(path).encode([t])[0]).tolist() if "<0x" in t else x for t, x in zip(texts, own, strict=True)]
@@ -413,10 +421,11 @@ def code_digest(docs: DataFrame, path: str) -> DataFrame:
         for batch, _, _ in chunks(batches, "text"):
             texts = batch.column("text").to_pylist()
             size, sums, same, equal = [], [], [], []
-            for text, (ids, said, parity_) in zip(texts, compared(path, texts), strict=True):
+            normal = [coder.parts.normalise(t or "") for t in texts]
+            for plain, (ids, said, parity_) in zip(map(coder.plain, normal), compared(path, texts, normal=normal), strict=True):
                 size.append(len(ids))
                 sums.append(zlib.crc32(array("I", ids).tobytes()))
-                same.append(said == coder.plain(coder.parts.normalise(text or "")))
+                same.append(said == plain)
                 equal.append(parity_)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_()), pa.array(equal, pa.bool_())],

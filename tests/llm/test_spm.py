@@ -135,3 +135,13 @@ def test_digest_is_false_where_the_reference_differs(monkeypatch):
 
     monkeypatch.setattr(spm, "whole_coders", lambda path: (tokenizer, Other))
     assert [equal for _, _, equal in spm.compared(PATH, ["a b", "c"])] == [False, False]
+
+
+def test_whole_texts_are_one_word_and_markers_go_once():
+    tokenizer, ref = spm.whole_coders(PATH)
+    whole, normalise = spm.build_tokenizer(spm.read_model(PATH)), spm.encoder(PATH).parts.normalise
+    assert tokenizer.pre_tokenizer is None and tokenizer.normalizer is None
+    for text in [*ODD, *random_texts(), "▁▁", " ▁ x▁", "\U0001f9ff▁é", "\x00 a\x00", "ab cd\n" * 5000]:
+        ids = tokenizer.encode(normalise(text), add_special_tokens=False).ids
+        assert ids == ref.encode(text) == whole.encode(text, add_special_tokens=False).ids, text
+        assert tokenizer.decode(ids, skip_special_tokens=False) == ref.decode(ids) == whole.decode(ids, skip_special_tokens=False), text
