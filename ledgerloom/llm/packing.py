@@ -26,6 +26,7 @@ import itertools
 import json
 import os
 import re
+import string
 import zlib
 from array import array
 from collections import deque
@@ -34,11 +35,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, utf8
 
 WINDOW = 2_048
 END_ID = 1
@@ -47,23 +49,34 @@ PER_SEQUENCE, SENTENCE_CUT, HARD_CUT = 4, 8, 96
 SEGMENT = 1 << 20
 #: Lengths below WINDOW that need no padding, longest first.
 POWERS = tuple(1 << i for i in reversed(range(WINDOW.bit_length() - 1)))
-#: Distinct words of a generation: an encoder remembers two.
-REMEMBERED = 300_000
+#: Distinct words that an encoder remembers at most; beyond, it keeps the half that was used last.
+REMEMBERED = 400_000
 #: New words that go to the library as one text.
-JOINED = 50
+JOINED = 30
+#: Bytes of text that an encoder cuts into words at once.
+ENCODED = 4_000_000
+ASCII_LETTERS = np.frombuffer(string.ascii_letters.encode(), np.uint8)
+#: Places whose earlier places at a power of two are looked up at once.
+LOOKED_UP = 1 << 16
 
 
-class ByteBpe(dict):
+def strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()  # to_pylist takes several times as long
+
+
+class ByteBpe:
     """Ids of texts by a tokenizers file.
 
     Of a byte-level BPE with the usual split of texts and no normaliser, a single space with other
-    characters on both sides always starts a new part of the text, and so does a single line break;
-    each distinct part is encoded once and its ids remembered. New parts without white space go to the library
+    characters on both sides always starts a new part of the text, and so does a single line break; ASCII punctuation after
+    a letter always starts a piece, so that a part's stem and the punctuation at its end have ids of their own;
+    each distinct stem is encoded once and its ids remembered. New ones without white space go to the library
     as texts of many, whose ids are cut where a piece starts with the space. Texts with other white space
     are cut where it is safe. Texts that hold a special token's string, and all texts
     under other settings, go to the library whole.
     """
 
+    rare = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
     odd = re.compile("[\\s᠎​﻿]{2}|^\\s|\\s$|\x00")
     safe = re.compile("(?<=[^\\s᠎​﻿]) (?=[^\\s᠎​﻿])")
     space = re.compile("[\\s᠎​﻿\x00]")
@@ -72,8 +85,8 @@ class ByteBpe(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side; threads of small batches mostly wait
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.older: dict[str, bytes] = {}
+        self.known, self.known_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.used, self.calls = np.zeros(0, np.int64), 0  # the call that last had a known part
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
@@ -89,16 +102,6 @@ class ByteBpe(dict):
         self.leads = np.zeros(max(self.n_ids, 1 + max(self.whole.get_vocab().values(), default=0)), bool)
         self.leads[[i for piece, i in self.whole.get_vocab().items() if piece[:1] == "Ġ"]] = True
 
-    def parts(self, text: str) -> list[str] | None:
-        """The parts of a text: the first after a \\0, those after a line break with it, others without their space; None if it must stay whole."""
-        if not self.in_parts or "\x00" in text or any(s in text for s in self.special):
-            return None
-        if not text:
-            return []
-        found = self.safe.split(text) if self.odd.search(text) else text.replace("\n", " \n").split(" ")
-        found[0] = "\x00" + found[0]
-        return found
-
     def ids(self, texts: list[str]) -> list[bytes]:
         got = self.whole.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in got]
@@ -113,23 +116,77 @@ class ByteBpe(dict):
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in itertools.pairwise(at)]
 
+    def learn(self, parts: pa.Array) -> pa.Array:
+        """Ids of distinct parts; new ones go to the library in batches, and the last used are remembered.
+
+        A part has a space before it, but for one with a line break at its start and one after a \\0, which is no part of it.
+        """
+        at = pc.index_in(parts, value_set=self.known)
+        is_new = at.is_null().to_numpy(zero_copy_only=False)
+        more = parts.filter(at.is_null())
+        new = strings(more)
+        is_word = [p.isalpha() or not self.space.search(p) for p in new]
+        words = iter(self.word_ids([p for p, yes in zip(new, is_word, strict=True) if yes]))
+        spelled = [p[1:] if p[0] == "\x00" else p if p[0] == "\n" else " " + p for p, yes in zip(new, is_word, strict=True) if not yes]
+        others = itertools.chain.from_iterable(self.ids(spelled[i : i + 4_000]) for i in range(0, len(spelled), 4_000))
+        ids = pa.array([next(words) if yes else next(others) for yes in is_word], pa.large_binary())
+        number = at.fill_null(0).to_numpy().astype(np.int64)
+        number[is_new] = np.arange(len(new)) + len(self.known)
+        self.known, self.known_ids = pa.concat_arrays([self.known, more]), pa.concat_arrays([self.known_ids, ids])
+        self.calls += 1
+        self.used = np.append(self.used, np.zeros(len(new), np.int64))
+        self.used[number] = self.calls
+        found = self.known_ids.take(pa.array(number))
+        if len(self.used) > REMEMBERED:
+            stay = np.argsort(-self.used, kind="stable")[: REMEMBERED // 2]
+            self.known, self.known_ids, self.used = self.known.take(pa.array(stay)), self.known_ids.take(pa.array(stay)), self.used[stay]
+        return found
+
+    def part_ids(self, parts: pa.Array) -> pa.Array:
+        """Each part's ids: its stem's, and those of the punctuation after the stem's last letter."""
+        coded = parts.dictionary_encode()
+        distinct = coded.dictionary
+        stem = pc.utf8_rtrim(distinct, string.punctuation)
+        data, at = utf8(stem)
+        data = np.concatenate([np.zeros(2, np.uint8), data])
+        last, before = data[at[1:] + 1], data[at[1:]]
+        letter = np.isin(last, ASCII_LETTERS) | (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)  # to ÿ, without × and ÷
+        has_tail = letter & (np.diff(at) > 0) & (np.diff(at) < np.diff(utf8(distinct)[1]))
+        keep = pa.array(has_tail)
+        tails = ["\x00" + p[len(s) :] for p, s in zip(strings(distinct.filter(keep)), strings(stem.filter(keep)), strict=True)]
+        units = pa.concat_arrays([pc.if_else(keep, stem, distinct), pa.array(tails, pa.large_string())]).dictionary_encode()
+        ids = self.learn(units.dictionary).take(units.indices)
+        tail = np.full(len(distinct), -1)
+        tail[has_tail] = np.arange(len(tails)) + len(distinct)
+        after = ids.take(pa.array(tail, mask=~has_tail)).fill_null(b"")
+        return pc.binary_join_element_wise(ids[: len(distinct)], after, pa.scalar(b"", pa.large_binary())).take(coded.indices)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, as little-endian unsigned 32-bit integers; new parts go to the library in batches."""
-        cut = [self.parts(t) for t in texts]
-        if len(self) > REMEMBERED:  # the generation before goes, but for what is still in use
-            self.older = dict(self)
-            self.clear()
-        wanted = set().union(*(c for c in cut if c)).difference(self)
-        self.update((p, self.older[p]) for p in wanted if p in self.older)
-        new = list(wanted.difference(self.older))
-        words = [p for p in new if not self.space.search(p)]
-        self.update(zip(words, self.word_ids(words), strict=True))
-        new = [p for p in new if self.space.search(p)]
-        for first in range(0, len(new), 4_000):
-            some = new[first : first + 4_000]
-            self.update(zip(some, self.ids([p[1:] if p[0] == "\x00" else p if p[0] == "\n" else " " + p for p in some]), strict=True))
-        whole = iter(self.ids([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(whole) if c is None else b"".join(map(self.__getitem__, c)) for c in cut]
+        """Each text's ids, as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(texts)
+        whole, lines, cut = [], {}, {}
+        for i, text in enumerate(texts):
+            if not self.in_parts or "\x00" in text or any(s[0] in text and s in text for s in self.special):
+                whole.append(i)
+            elif text:
+                line = text.replace("\n", " \n")
+                doubtful = line[0] == " " or line[-1] in " \n" or "  " in line or "\n " in line or self.rare.search(text)
+                if doubtful and self.odd.search(text):
+                    cut[i] = self.safe.split(text)
+                    cut[i][0] = "\x00" + cut[i][0]
+                else:
+                    lines[i] = "\x00" + line
+        spaced = pc.split_pattern(pa.array([*lines.values()], pa.large_string()), " ")
+        for numbers, lists in ((lines, spaced), (cut, pa.array([*cut.values()], pa.list_(pa.large_string())))):
+            if not numbers:
+                continue
+            _, at, raw = self.part_ids(lists.values).buffers()
+            at = np.frombuffer(at, np.int64)[lists.offsets.to_numpy()].tolist()
+            for i, (a, b) in zip(numbers, itertools.pairwise(at), strict=True):
+                out[i] = raw[a:b].to_pybytes()
+        for i, ids in zip(whole, self.ids([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        return out
 
     def sentence_ends(self) -> np.ndarray:
         """For each id whether its piece ends a sentence or a line."""
@@ -152,6 +209,21 @@ def padding(length: int) -> int:
     return 0 if length & (length - 1) == 0 else WINDOW - length
 
 
+def powers_before(places: list[int]) -> Iterator[list[int]]:
+    """For each place the numbers of those that lie a power of two before it, the longest first."""
+    at = np.array(places)
+    number = np.full(at[-1] + 1, -1)
+    number[at] = np.arange(len(at))
+    back = np.array(POWERS)
+    for first in range(0, len(at), LOOKED_UP):
+        to = at[first : first + LOOKED_UP, None] - back
+        found = np.where(to < 0, -1, number[np.maximum(to, 0)])
+        bounds = np.cumsum([0, *(found >= 0).sum(axis=1).tolist()]).tolist()
+        flat = found[found >= 0].tolist()
+        for a, b in itertools.pairwise(bounds):
+            yield flat[a:b]
+
+
 def best_cuts(places: list[int], penalty: list[int], last: bool) -> list[int]:
     """The cheapest cuts of one segment. Of equal costs the padded sequence wins, the longer one first, then the longer power of two.
 
@@ -160,24 +232,23 @@ def best_cuts(places: list[int], penalty: list[int], last: bool) -> list[int]:
     ``last`` may end at whichever cut of its last window is cheapest, the latest of equal ones.
     """
     n = len(places)
-    cost, back = [0] * n, [0] * n
-    queue: deque[int] = deque([0])  # earlier cuts within reach, cost + place rising
-    at = {0: 0}
-    for i in range(1, n):
-        p = places[i]
-        while places[queue[0]] < p - WINDOW:
+    cost, back, level = [0] * n, [0] * n, [0] * n  # level: cost + place
+    queue: deque[int] = deque([0])  # earlier cuts within reach, level rising
+    first = np.searchsorted(places, np.array(places) - WINDOW).tolist()
+    for i, p, more, low, near in zip(itertools.count(), places, penalty, first, powers_before(places)):
+        if not i:
+            continue
+        while queue[0] < low:
             queue.popleft()
         j = queue[0]
-        best = cost[j] + WINDOW - (p - places[j])
+        best = level[j] + WINDOW - p
         # powers of two need no padding
-        for power in POWERS:
-            k = at.get(p - power)
-            if k is not None and cost[k] < best:
+        for k in near:
+            if cost[k] < best:
                 best, j = cost[k], k
-        cost[i], back[i] = best + PER_SEQUENCE + penalty[i], j
-        at[p] = i
-        value = cost[i] + p
-        while queue and cost[queue[-1]] + places[queue[-1]] > value:
+        cost[i], back[i] = best + PER_SEQUENCE + more, j
+        level[i] = value = cost[i] + p
+        while queue and level[queue[-1]] > value:
             queue.pop()
         queue.append(i)
     i = n - 1
@@ -252,7 +323,7 @@ def pack_documents(docs: DataFrame, path: str) -> DataFrame:
         waiting: list[Piece] = []
         tokens = 0
         close = array("I", [END_ID]).tobytes()
-        for batch, _, _ in chunks(batches, "text"):
+        for batch, _, _ in chunks(batches, "text", ENCODED):
             coded = coder.encode([t or "" for t in batch.column("text").to_pylist()])
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
                 ids = np.frombuffer(raw + close, "<u4")

@@ -167,3 +167,35 @@ def test_words_of_a_vocabulary_without_leading_spaces():
     right = coder.word_ids(["some", "words"])
     coder.leads[:] = False
     assert coder.word_ids(["some", "words"]) == right == coder.ids([" some", " words"])
+
+
+def test_a_stem_goes_to_the_library_once(monkeypatch):
+    coder = packing.ByteBpe(PATH)
+    texts = ["stem, stem. (x) stem! stem?! stem", "stem's stem\nstem;", "été, été. été", "×, ×. ÷; ª, ª."]
+    whole = coder.ids(texts)
+    asked = []
+    monkeypatch.setattr(coder, "ids", lambda some: asked.extend(some) or packing.ByteBpe.ids(coder, some))
+    assert coder.encode(texts) == whole
+    words = " ".join(asked).replace("\n", " ").split(" ")  # at a text's start, after a space, after a line break
+    assert words.count("stem") == 3 and not {"stem,", "stem.", "stem!", "stem?!", "stem;", "été,"} & set(words)
+
+
+def test_ids_of_odd_mixtures_while_few_words_are_remembered(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    assert all(packing.ByteBpe.rare.search(c) for c in map(chr, range(0x3100)) if (c.isspace() or c in "᠎​﻿") and c not in " \n")
+    rng = np.random.default_rng(5)
+    bits = ["the", "Ñu", "ß", "ª", "×", "é", "日", "٣", "1", "'s", "'ll", "'", ",", ".", "!?", "%%", "_", "«", " ", " ", " ", "\n", "\t", "\xa0", " ", "​", "\x85", "Ġ", "\x01"]
+    texts = ["".join(rng.choice(bits, rng.integers(1, 40))) for _ in range(1500)]
+    coder = packing.ByteBpe(PATH)
+    for first in range(0, len(texts), 100):
+        some = texts[first : first + 100]
+        assert coder.encode(some) == coder.ids(some)
+        assert len(coder.known) == len(coder.known_ids) == len(coder.used) <= 40
+
+
+@pytest.mark.parametrize("looked_up", [3, 1 << 16])
+def test_places_at_powers_of_two(looked_up, monkeypatch):
+    monkeypatch.setattr(packing, "LOOKED_UP", looked_up)
+    places = [0, *np.cumsum(np.random.default_rng(2).integers(1, 9, 400)).tolist()]
+    at = {p: i for i, p in enumerate(places)}
+    assert list(packing.powers_before(places)) == [[at[p - power] for power in packing.POWERS if p - power in at] for p in places]
