@@ -26,7 +26,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -142,6 +142,16 @@ def normaliser(model: SpmModel) -> normalizers.Normalizer:
     return normalizers.Sequence(steps)
 
 
+def normaliser_of_texts(model: SpmModel) -> Callable[[str], str]:
+    """``normaliser`` for one text; without a character map and rules for extra spaces two string operations are all of it."""
+    if model.charsmap or model.drop_extra_spaces:
+        return normaliser(model).normalize_str
+    lead = " " if model.dummy_prefix else ""
+    if model.escape_spaces:
+        return lambda text: text and (lead + text).replace(" ", MARK)
+    return lambda text: text and lead + text
+
+
 def build_tokenizer(model: SpmModel, normalise: bool = True) -> Tokenizer:
     """The tokenizers-library equal of a SentencePiece model; without ``normalise`` it takes normalised parts."""
     unk = model.pieces[model.unk_id]
@@ -190,7 +200,7 @@ class Parts:
         self.break_alone = not any("\n" in p for p in plain)
         self.odd = re.compile(f"{MARK}{MARK}|{MARK}\n|{MARK}$|\n\n|^\n")
         self.runs = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.normalise = normaliser(model).normalize_str
+        self.normalise = normaliser_of_texts(model)
 
     def of(self, normal: str) -> list[str]:
         """The parts of a normalised text; ``spell`` gives each one's characters."""
@@ -388,7 +398,19 @@ def whole_coders(path: str):
     tokenizer = build_tokenizer(model, normalise=False)
     if (MARK, NORMAL) in zip(model.pieces, model.kinds, strict=True):  # no text's ids spell the marker in byte pieces, so that it can go once for a text, not once for a piece
         tokenizer.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " "), *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])])
-    return tokenizer, sentencepiece.SentencePieceProcessor(model_file=path)
+    return tokenizer, sentencepiece.SentencePieceProcessor(model_file=path, num_threads=1)
+
+
+@functools.cache
+def decoder_of_texts(path: str) -> Callable[[list[list[int]]], list[str]]:
+    """What ``whole_coders``' tokenizer decodes whole rows of ids to; where the marker is a piece, spaces take its place in the decoded text."""
+    tokenizer, _ = whole_coders(path)
+    model = read_model(path)
+    if (MARK, NORMAL) not in zip(model.pieces, model.kinds, strict=True):
+        return lambda ids: tokenizer.decode_batch(ids, skip_special_tokens=False)
+    marked, plain = Tokenizer(tokenizer.model), encoder(path).plain
+    marked.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
+    return lambda ids: [plain(t) for t in marked.decode_batch(ids, skip_special_tokens=False)]
 
 
 def compared(path: str, texts: list[str | None], coded: list[bytes] | None = None, normal: list[str] | None = None) -> Iterator[tuple[list[int], str, bool]]:
@@ -397,14 +419,14 @@ def compared(path: str, texts: list[str | None], coded: list[bytes] | None = Non
     Parity is that the rebuilt tokenizer and the sentencepiece library give the whole text these ids, and the ids the same text.
     """
     tokenizer, reference = whole_coders(path)
+    decode = decoder_of_texts(path)
     texts = [t or "" for t in texts]
     normal = [encoder(path).parts.normalise(t) for t in texts] if normal is None else normal
     own = [e.ids for e in tokenizer.encode_batch_fast(normal, add_special_tokens=False)]
     ids = own if coded is None else [array("I", x).tolist() for x in coded]
     if coded is None and encoder(path).spelled_out is not None:  # such texts confuse the library's unigram model
         ids = [array("I", encoder(path).encode([t])[0]).tolist() if "<0x" in t else x for t, x in zip(texts, own, strict=True)]
-    said = tokenizer.decode_batch(ids, skip_special_tokens=False)
-    for mine, theirs, x, text in zip(own, reference.encode(texts), ids, said, strict=True):
+    for mine, theirs, x, text in zip(own, reference.encode(texts), ids, decode(ids), strict=True):
         yield x, text, mine == x == theirs and text == reference.decode(x)
 
 

@@ -145,3 +145,27 @@ def test_whole_texts_are_one_word_and_markers_go_once():
         ids = tokenizer.encode(normalise(text), add_special_tokens=False).ids
         assert ids == ref.encode(text) == whole.encode(text, add_special_tokens=False).ids, text
         assert tokenizer.decode(ids, skip_special_tokens=False) == ref.decode(ids) == whole.decode(ids, skip_special_tokens=False), text
+
+
+def test_both_libraries_code_whole_texts_without_threads():
+    _, reference = spm.whole_coders(PATH)
+    assert reference._num_threads == 1
+    texts = [*ODD, *random_texts(), None]
+    whole = spm.build_tokenizer(spm.read_model(PATH))
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for coded in (None, spm.encoder(PATH).encode(texts)):
+        assert list(spm.compared(PATH, texts, coded)) == [(x, whole.decode(x, skip_special_tokens=False), True) for x in want]
+    assert spm.decoder_of_texts(PATH)(want) == [whole.decode(x, skip_special_tokens=False) for x in want]
+
+
+def test_normalising_by_strings_is_the_libraries(monkeypatch):
+    model = spm.read_model(PATH)
+    for prefix in (True, False):
+        for escape in (True, False):
+            some = dataclasses.replace(model, dummy_prefix=prefix, escape_spaces=escape)
+            assert not some.charsmap and not some.drop_extra_spaces
+            own, library = spm.normaliser_of_texts(some), spm.normaliser(some).normalize_str
+            assert not hasattr(own, "__self__")  # two string operations, not the library's method
+            for text in [*ODD, *random_texts(), "\x00", "\U0001f9ff ▁ "]:
+                assert own(text) == library(text), text
+            assert spm.normaliser_of_texts(dataclasses.replace(some, drop_extra_spaces=True))(" a  b ") == spm.normaliser(dataclasses.replace(some, drop_extra_spaces=True)).normalize_str(" a  b ")
