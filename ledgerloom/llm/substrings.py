@@ -3,11 +3,11 @@
 1. Every window of 35 words is represented by one phrase of it (its anchor), so that
    equal windows have equal anchors. Anchors are counted; stretches of documents under
    windows whose anchors recur are routed to the shard of the first row that has the anchor.
-2. A shard confirms which windows recur. Each distinct one belongs to one passage;
-   passages are written in pieces with the anchors they hold. Shards that hold much more than
+2. A shard confirms which windows recur. Shards that hold much more than
    the others are dealt out in blocks, whose windows are counted across them in Spark.
-3. All documents are dealt into blocks, and a block gets the pieces that hold an anchor of
-   its documents. It compiles them into Aho-Corasick automata and streams its whole
+3. All documents are dealt into blocks, and a shard writes for each block of documents the passages
+   that recurring windows form there, each distinct window once: never more than what stands in the documents.
+   The block compiles them into Aho-Corasick automata and streams its whole
    documents through: a hit is a window, word for word, and the hits are the result.
 
 The automata's letters are phrases of seven words, each phrase with an exact number of two digits,
@@ -35,17 +35,17 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, tidy_group, tidy_pair
-from .words import WORD_BASE, run_hashes, window_anchors
+from .common import CHUNK_BYTES, chunks, materialize, tidy_group, tidy_pair, utf8
+from .words import WORD_BASE, break_table, run_hashes, window_anchors, word_spans
 
 WINDOW, ANCHOR = 35, 12
 #: Words of a phrase, an automaton's letter; a window is a whole number of them.
 PHRASE = 7
-#: Windows of a passage's piece, and windows that one automaton holds.
-PIECE, PATTERNS = 128, 65_536
+#: Windows that one automaton holds.
+PATTERNS = 65_536
 #: Bytes of text that a shard of stretches and a block of documents should hold, and the fewest shards.
 SHARD_BYTES, BLOCK_BYTES, MIN_SHARDS = 2_000_000, 2_000_000, 64
 #: Up to this many shards that are dealt out in blocks are broadcast; more are joined.
@@ -122,32 +122,65 @@ def stretches(rows: DataFrame) -> DataFrame:
     return rows.select("row_no", "text").join(marks, "row_no").mapInArrow(run, "home long, row_no long, words binary")
 
 
-def window_keys(words: list[bytes]) -> np.ndarray:
-    """Two 64-bit hashes of each window of a stretch (the same in every task)."""
-    data = np.frombuffer(b"".join(words), np.uint8)
-    end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-    h = run_hashes(data, np.concatenate([[0], end[:-1]]), end, 0xA0761D6478BD642F)
-    n = np.arange(len(words) - WINDOW + 1)
-    one = run_hashes(h, n, n + WINDOW, WORD_BASE)
-    return np.stack([one, run_hashes(h ^ (h >> np.uint64(7)), n, n + WINDOW, 0xE7037ED1A0B428DB)], axis=1)
+KEY = np.dtype([("a", np.uint64), ("b", np.uint64)])
 
 
-def shard_windows(table: pa.Table) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """A shard's stretches as words, their windows' keys one after another, and each stretch's first window."""
-    words = [x.split() for x in table["words"].to_pylist()]
-    keys = [window_keys(w) for w in words]
-    return words, np.concatenate(keys), np.cumsum([0, *map(len, keys)])
+class Texts:
+    """Some texts' bytes and the spans of their words; ``first`` has each text's first word, with one more for the end."""
 
+    def __init__(self, data: np.ndarray, at: np.ndarray):
+        self.data, self.at = data, at
+        self.starts, self.ends, self.first = word_spans(data, at)
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Texts:
+        return cls(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+
+    def text_of_words(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.at) - 1), np.diff(self.first))
+
+    def letters(self) -> np.ndarray:
+        """The words' bytes, one after another."""
+        return self.data[~break_table()[self.data]]
+
+    def windows(self) -> np.ndarray:
+        """The words at which windows start."""
+        ends = np.repeat(self.first[1:], np.diff(self.first))
+        return np.flatnonzero(np.arange(len(self.starts)) + WINDOW <= ends)
 
-KEY = np.dtype([("a", np.uint64), ("b", np.uint64)])
 
+def word_codes(*some: Texts) -> list[np.ndarray]:
+    """Exact numbers of the words, from 0 in the order in which they first occur."""
+    at = np.concatenate([[0], *(t.ends - t.starts for t in some)]).cumsum()
+    letters = np.concatenate([t.letters() for t in some])
+    words = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(letters)])
+    code = words.dictionary_encode().indices.to_numpy().astype(np.int64)
+    return np.split(code, np.cumsum([len(t.starts) for t in some])[:-1])
 
-def text_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The anchors' hashes and words of each window of some texts, the window's first word, and the texts' first words."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    _, _, first, grams, anchor = window_anchors(data, np.cumsum([0, *map(len, texts)]), WINDOW, ANCHOR)
-    start = np.flatnonzero(anchor >= 0)
-    return grams[anchor[start]], anchor[start], start, first
+
+def window_keys(texts: Texts) -> np.ndarray:
+    """Two 64-bit hashes of each window (the same in every task)."""
+    keys = []
+    low = 0
+    while low < len(texts.at) - 1:  # some texts at a time
+        high = max(low + 1, int(np.searchsorted(texts.at, texts.at[low] + CHUNK_BYTES, "right")) - 1)
+        some = Texts(texts.data[texts.at[low] : texts.at[high]], texts.at[low : high + 1] - texts.at[low])
+        low = high
+        h = run_hashes(some.data, some.starts, some.ends, 0xA0761D6478BD642F)
+        n = some.windows()
+        one, two = np.zeros(len(n), KEY), h ^ (h >> np.uint64(7))
+        one["a"] = run_hashes(h, n, n + WINDOW, WORD_BASE)
+        one["b"] = run_hashes(two, n, n + WINDOW, 0xE7037ED1A0B428DB)
+        keys.append(one)
+    return np.concatenate(keys)
+
+
+def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key occurs first, and each key's number among them."""
+    _, first, same = np.unique(keys["a"], return_index=True, return_inverse=True)
+    if (keys["b"] != keys["b"][first[same]]).any():  # one half of a key alone clashes: not seen in practice
+        _, first, same = np.unique(keys, return_index=True, return_inverse=True)
+    return first, same
 
 
 def runs(member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,87 +194,77 @@ def runs(member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def block_windows(table: pa.Table) -> pa.Table:
-    """Keys of a block's distinct windows, with how often they occur there and their anchors."""
-    words, keys, _ = shard_windows(table)
-    own, first, n = np.unique(np.ascontiguousarray(keys).view(KEY).ravel(), return_index=True, return_counts=True)
-    grams, *_ = text_anchors([b" ".join(w) + b" " for w in words])
+    """Keys of a block's distinct windows, with how often they occur there."""
+    keys = window_keys(Texts.of(table["words"].to_pylist()))
+    first, same = distinct_keys(keys)
+    own = keys[first]
     return pa.table(
         {
             "shard": np.full(len(own), table["shard"][0].as_py(), np.int32), "block": np.full(len(own), table["block"][0].as_py(), np.int32),
-            "a": own["a"].view(np.int64), "b": own["b"].view(np.int64), "gram": grams[first].view(np.int64), "n": n,
+            "a": own["a"].view(np.int64), "b": own["b"].view(np.int64), "n": np.bincount(same, minlength=len(own)),
         }
     )
 
 
-PASSAGES = "words binary, grams array<long>"
+PASSAGES = pa.schema([("block", pa.int32()), ("words", pa.binary())])
 
 
 def confirm(table: pa.Table, assigned: pa.Table) -> pa.Table:
-    """(words, grams): pieces of the passages that a block's recurring windows form, each distinct window once, and their anchors.
+    """(block, words): for each block of documents the passages that a shard's recurring windows form in its rows, each distinct window once.
 
     A shard of one block counts its windows itself, word for word. Of a shard in several, ``assigned`` has the keys
-    of recurring windows that this block is to give.
+    of the windows of this block that recur in the shard.
     """
-    none = pa.table({"words": pa.array([], pa.binary()), "grams": pa.array([], pa.list_(pa.int64()))})
     if not table.num_rows:
-        return none
-    words, keys, from_window = shard_windows(table)
-    flat = np.ascontiguousarray(keys).view(KEY).ravel()
-    distinct, first, same = np.unique(flat, return_index=True, return_inverse=True)
-    stretch = np.repeat(np.arange(len(words)), np.diff(from_window))
+        return PASSAGES.empty_table()
+    texts = Texts.of(table["words"].to_pylist())
+    keys, place = window_keys(texts), texts.windows()
+    first, same = distinct_keys(keys)
     if table["blocks"][0].as_py() > 1:
         given = np.empty(assigned.num_rows, KEY)
         given["a"], given["b"] = assigned["a"].to_numpy().view(np.uint64), assigned["b"].to_numpy().view(np.uint64)
-        chosen = first[np.isin(distinct, given)]
+        recurs = np.isin(keys[first], given)[same]
     else:
-        number: dict[bytes, int] = {}
-        code = np.array([number.setdefault(x, len(number)) for w in words for x in w], np.int64)
+        (code,) = word_codes(texts)
         view = np.lib.stride_tricks.sliding_window_view(code, WINDOW)
-        place = np.arange(len(flat)) + stretch * (WINDOW - 1)
         like = place[first[same]]
         # word for word: whole windows where a run of them begins, and the last word of all others
-        head = np.ones(len(flat), bool)
+        head = np.ones(len(place), bool)
         head[1:] = (np.diff(place) != 1) | (np.diff(like) != 1)
         equal = code[place + WINDOW - 1] == code[like + WINDOW - 1]
         equal[head] &= (view[place[head]] == view[like[head]]).all(axis=1)
         if not equal.all():  # keys that clash: not seen in practice
             equal = np.array([(view[a] == view[b]).all() for a, b in zip(place.tolist(), like.tolist(), strict=True)])
-        chosen = first[np.bincount(same[equal], minlength=len(distinct)) > 1]
-    if not len(chosen):
-        return none
-    member = np.full(len(flat), -1)
-    member[chosen] = stretch[chosen]
+        recurs = equal & (np.bincount(same[equal], minlength=len(first)) > 1)[same]
+    at = np.flatnonzero(recurs)
+    stretch = texts.text_of_words()[place]
+    goes_to = table["goes_to"].to_numpy()[stretch]
+    _, once = np.unique(goes_to[at].astype(np.int64) * len(first) + same[at], return_index=True)
+    member = np.full(len(place), -1)
+    member[at[once]] = stretch[at[once]]
     begin, end = runs(member)
-    pieces = [
-        b" ".join(words[stretch[a]][x - from_window[stretch[a]] : min(x + PIECE, b) - from_window[stretch[a]] + WINDOW - 1]) + b" "
-        for a, b in zip(begin.tolist(), end.tolist(), strict=True)
-        for x in range(a, b, PIECE)
-    ]
-    grams, _, start, from_word = text_anchors(pieces)
-    cut = np.searchsorted(start, from_word)
-    return pa.table(
-        {"words": pieces, "grams": [np.unique(grams[a:b].view(np.int64)) for a, b in zip(cut[:-1], cut[1:], strict=True)]},
-        schema=pa.schema([("words", pa.binary()), ("grams", pa.list_(pa.int64()))]),
-    )
+    raw = texts.data.tobytes()
+    words = [raw[a:b] for a, b in zip(texts.starts[place[begin]].tolist(), texts.ends[place[end - 1] + WINDOW - 1].tolist(), strict=True)]
+    return pa.table({"block": goes_to[begin], "words": words}, schema=PASSAGES)
 
 
-def passages(found: DataFrame) -> DataFrame:
-    """The pieces of all recurring passages of some stretches."""
+def passages(found: DataFrame, block: Column) -> DataFrame:
+    """(block, words): the recurring passages of some stretches, for each block of documents those of its rows."""
     total = found.agg(F.sum(F.length("words"))).first()[0] or 0
     shards = max(MIN_SHARDS, total // SHARD_BYTES)
     most = 2 * max(1, total // shards)
-    sharded = found.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int"))
+    sharded = found.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int")).withColumn("goes_to", block)
     sizes = materialize(sharded.groupBy("shard").agg(F.ceil(F.sum(F.length("words")) / most).cast("int").alias("blocks")).where("blocks > 1"), "shards")
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_SHARDS else sizes
     placed = sharded.join(sizes, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("row_no"), F.col("blocks")).cast("int")).select("shard", "block", "blocks", "words")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("row_no"), F.col("blocks")).cast("int")).select("shard", "block", "blocks", "goes_to", "words")
     assigned = (
         placed.where("blocks > 1").groupBy("shard", "block")
-        .applyInArrow(tidy_group(block_windows), "shard int, block int, a long, b long, gram long, n long")
-        .groupBy("shard", "a", "b").agg(F.sum("n").alias("n"), F.min("gram").alias("gram"), F.array_sort(F.collect_list("block")).alias("in"))
-        .where("n > 1").select("shard", F.element_at("in", (F.pmod("gram", F.size("in")) + 1).cast("int")).alias("block"), "a", "b")
+        .applyInArrow(tidy_group(block_windows), "shard int, block int, a long, b long, n long")
+        .groupBy("shard", "a", "b").agg(F.sum("n").alias("n"), F.collect_list("block").alias("in"))
+        .where("n > 1").select("shard", F.explode("in").alias("block"), "a", "b")
     )
-    return placed.groupBy("shard", "block").cogroup(assigned.groupBy("shard", "block")).applyInArrow(tidy_pair(confirm), PASSAGES)
+    return placed.groupBy("shard", "block").cogroup(assigned.groupBy("shard", "block")).applyInArrow(tidy_pair(confirm), "block int, words binary")
 
 
 class Phrases:
@@ -250,21 +273,21 @@ class Phrases:
     Words are joined to pairs, pairs to fours, fours to runs of PHRASE words that overlap in one.
     """
 
-    def __init__(self, pieces: list[bytes]):
-        split = [p.split() for p in pieces]
-        self.word = {w: i for i, w in enumerate({w for p in split for w in p}, 1)}
+    def __init__(self, pieces: Texts, texts: Texts):
+        own, other = word_codes(pieces, texts)
+        self.n_words = own.max(initial=-1) + 1
         self.names: list[np.ndarray] = []
-        code, self.first = self.codes(split)
+        code, self.first, _ = self.codes(pieces, own)
         self.own = self.numbers(code)
+        code, _, self.place = self.codes(texts, other)
+        self.others = self.numbers(code)
 
-    def codes(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """The texts' words by number, a 0 after each text, and each text's first place."""
-        get = self.word.get
-        flat: list[int] = []
-        for t in texts:
-            flat += [get(w, 0) for w in t]
-            flat.append(0)
-        return np.array(flat, np.int64), np.cumsum([0, *(len(t) + 1 for t in texts)])
+    def codes(self, texts: Texts, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' words by number (0: in no piece), a 0 after each text; each text's first place, and each word's."""
+        place = np.arange(len(code)) + texts.text_of_words()
+        out = np.zeros(len(code) + len(texts.at) - 1, np.int64)
+        out[place] = np.where(code < self.n_words, code + 1, 0)
+        return out, texts.first + np.arange(len(texts.at)), place
 
     def numbers(self, code: np.ndarray) -> np.ndarray:
         """The number of the phrase at each place; those of the pieces, which come first, are made, others looked up."""
@@ -306,9 +329,9 @@ class Phrases:
         return digits.ravel().astype("<u4").tobytes().decode("utf-32-le"), place
 
 
-def locate(pieces: list[bytes], texts: list[list[bytes]]) -> list[np.ndarray | None]:
-    """For each text (as words) which of its words the automata's hits cover; None for none."""
-    phrases = Phrases(pieces)
+def covered(pieces: Texts, texts: Texts) -> np.ndarray:
+    """For each word of the texts whether the automata's hits cover it."""
+    phrases = Phrases(pieces, texts)
     letters = WINDOW // PHRASE
     written, place = phrases.stream(phrases.own)
     starts = np.zeros(len(phrases.own), bool)  # a piece's windows begin where whole ones do
@@ -316,9 +339,8 @@ def locate(pieces: list[bytes], texts: list[list[bytes]]) -> list[np.ndarray | N
     inside = place < len(starts)
     inside[inside] = starts[place[inside]]
     patterns = sorted({written[x : x + 2 * letters] for x in (2 * np.flatnonzero(inside)).tolist()})
-    code, first = phrases.codes(texts)
-    text, place = phrases.stream(phrases.numbers(code))
-    cover = np.zeros(len(code) + 1, np.int64)
+    text, place = phrases.stream(phrases.others)
+    cover = np.zeros(len(phrases.others) + 1, np.int64)
     for at in range(0, len(patterns), PATTERNS):
         windows = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for p in patterns[at : at + PATTERNS]:
@@ -326,60 +348,58 @@ def locate(pieces: list[bytes], texts: list[list[bytes]]) -> list[np.ndarray | N
         windows.make_automaton()
         hit = place[np.fromiter((end for end, _ in windows.iter(text)), np.int64) // 2 - (letters - 1)]
         np.add.at(cover, hit, 1)
-        np.add.at(cover, np.minimum(hit + WINDOW, len(code)), -1)
-    covered = np.cumsum(cover[:-1]) > 0
-    parts = [covered[a : b - 1] for a, b in itertools.pairwise(first)]
+        np.add.at(cover, np.minimum(hit + WINDOW, len(cover) - 1), -1)
+    return np.cumsum(cover[:-1])[phrases.place] > 0
+
+
+def locate(pieces: list[bytes], texts: list[list[bytes]]) -> list[np.ndarray | None]:
+    """For each text (as words) which of its words the automata's hits cover; None for none."""
+    some = Texts.of([b" ".join(t) for t in texts])
+    found = covered(Texts.of(pieces), some)
+    parts = [found[a:b] for a, b in itertools.pairwise(some.first.tolist())]
     return [p if p.any() else None for p in parts]
 
 
-def scan(docs: DataFrame, result: Callable[[pa.Table, list[list[bytes]], list[np.ndarray | None]], pa.Table], shape: str) -> DataFrame:
-    """Every document through the automata of its block; ``result`` makes rows of a block's table, its words and what of them is covered.
+def kept(texts: Texts, gone: np.ndarray) -> list[bytes]:
+    """Each text's words that aren't gone, joined by one space."""
+    size = texts.ends - texts.starts
+    letters = texts.letters()[np.repeat(~gone, size)]
+    ends = np.cumsum(size[~gone] + 1)
+    out = np.full(ends[-1] if len(ends) else 0, ord(" "), np.uint8)
+    is_letter = np.ones(len(out), bool)
+    is_letter[ends - 1] = False
+    out[is_letter] = letters
+    raw, bounds = out.tobytes(), np.append(0, ends)[np.append(0, np.cumsum(~gone))[texts.first]].tolist()
+    return [raw[a : max(a, b - 1)] for a, b in itertools.pairwise(bounds)]
+
+
+def scan(docs: DataFrame, result: Callable[[pa.Table, np.ndarray, np.ndarray, list[bytes]], pa.Table], shape: str) -> DataFrame:
+    """Every document through the automata of its block; ``result`` makes rows of a block's table, its texts' words and removed words, and what is kept.
 
     ``docs`` has a text and any other columns but row_no and block.
     """
     rows = with_rows(docs)
     blocks = max(1, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
-    block = F.pmod(F.xxhash64("row_no"), F.lit(blocks)).cast("int").alias("block")
+    block = F.pmod(F.xxhash64("row_no"), F.lit(blocks)).cast("int")
     found = materialize(stretches(rows), "stretches")
-    pieces = materialize(passages(found).withColumn("piece", F.monotonically_increasing_id()), "passages")
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams, _, start, from_word = text_anchors([w + b" " for w in batch.column("words").to_pylist()])
-            of = batch.column("block").to_numpy()[np.searchsorted(from_word, start, "right") - 1]
-            pairs = np.unique(np.stack([grams.view(np.int64), of.astype(np.int64)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1], pa.int32())], ["gram", "block"])
-
-    where = found.select("words", block).mapInArrow(places, "gram long, block int").distinct()
-    routed = pieces.select("piece", F.explode("grams").alias("gram")).join(where, "gram").select("piece", "block").distinct()
-    routed = routed.join(pieces.select("piece", "words"), "piece").select("block", "words")
+    pieces = materialize(passages(found, block), "passages")
 
     def one_block(table: pa.Table, some: pa.Table) -> pa.Table:
-        words = [(t or "").encode("utf-8", "replace").split() for t in table["text"].to_pylist()]
-        covered = locate(some["words"].to_pylist(), words) if some.num_rows else [None] * len(words)
-        return result(table, words, covered)
-
-    dealt = rows.select(*docs.columns, block)
-    return dealt.groupBy("block").cogroup(routed.groupBy("block")).applyInArrow(tidy_pair(one_block), shape)
-
+        texts = Texts(*utf8(pa.concat_arrays(table["text"].cast(pa.large_string()).chunks)))
+        gone = covered(Texts.of(some["words"].to_pylist()), texts) if some.num_rows else np.zeros(len(texts.starts), bool)
+        total = np.append(0, np.cumsum(gone))
+        return result(table, np.diff(texts.first), np.diff(total[texts.first]), kept(texts, gone))
 
-def kept(words: list[bytes], covered: np.ndarray | None) -> list[bytes]:
-    return words if covered is None else [words[i] for i in np.flatnonzero(~covered).tolist()]
+    dealt = rows.select(*docs.columns, block.alias("block"))
+    return dealt.groupBy("block").cogroup(pieces.groupBy("block")).applyInArrow(tidy_pair(one_block), shape)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document."""
 
-    def result(table: pa.Table, words: list[list[bytes]], covered: list[np.ndarray | None]) -> pa.Table:
-        left = [kept(w, c) for w, c in zip(words, covered, strict=True)]
-        return pa.table(
-            {
-                "doc_id": table["doc_id"],
-                "n_words": pa.array([len(w) for w in words], pa.int64()),
-                "n_removed": pa.array([len(w) - len(x) for w, x in zip(words, left, strict=True)], pa.int64()),
-                "kept_sha256": pa.array([hashlib.sha256(b" ".join(x)).hexdigest() for x in left], pa.string()),
-            }
-        )
+    def result(table: pa.Table, n_words: np.ndarray, n_removed: np.ndarray, left: list[bytes]) -> pa.Table:
+        sums = [hashlib.sha256(x).hexdigest() for x in left]
+        return pa.table({"doc_id": table["doc_id"], "n_words": n_words, "n_removed": n_removed, "kept_sha256": sums})
 
     return scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), result, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
@@ -392,14 +412,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     names = docs.columns
     inner = ["text" if c == "text" else f"c{i}" for i, c in enumerate(names)]  # no name of the input can clash
 
-    def result(table: pa.Table, words: list[list[bytes]], covered: list[np.ndarray | None]) -> pa.Table:
+    def result(table: pa.Table, n_words: np.ndarray, n_removed: np.ndarray, left: list[bytes]) -> pa.Table:
         texts = table["text"].to_pylist()
-        new = [t if c is None else b" ".join(kept(w, c)).decode() for t, w, c in zip(texts, words, covered, strict=True)]
+        new = [x.decode() if n else t for t, n, x in zip(texts, n_removed.tolist(), left, strict=True)]
         out = [table[c] for c in inner]
         out[names.index("text")] = pa.array(new, table["text"].type)
         if "n_chars" in names:
             old = table[inner[names.index("n_chars")]]
-            n = [o if c is None else len(t) for t, c, o in zip(new, covered, old.to_pylist(), strict=True)]
+            n = [len(t) if n else o for t, n, o in zip(new, n_removed.tolist(), old.to_pylist(), strict=True)]
             out[names.index("n_chars")] = pa.array(n, old.type)
         return pa.table(out, names)
 

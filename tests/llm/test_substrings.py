@@ -2,7 +2,9 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import substrings
 
@@ -132,3 +134,41 @@ def test_digest_with_columns_that_clash(stored):
 def test_passages_of_any_length(stored, n):
     docs = [(1, words("p", n)), (2, "x " + words("p", n) + " y")]
     assert run(stored(docs, "doc_id long, text string")) == brute(docs)
+
+
+@pytest.mark.parametrize("shards", [64, 1])  # shards in several blocks, and in one
+def test_a_block_gets_the_recurring_windows_of_its_rows_and_no_other(stored, monkeypatch, shards):
+    """Passages that share a phrase went to every block that holds the phrase: as many as passages times blocks."""
+    monkeypatch.setattr(substrings, "MIN_SHARDS", shards)
+    docs = [(i, f"{words(f'p{i % 40}_', 30)} {words('common', 14)} {words(f'q{i % 40}_', 30)}") for i in range(120)]
+    docs += [(1000 + i, f"{words('common', 14)} {words(f'own{i}_', 30)}") for i in range(60)]
+    rows = substrings.with_rows(stored(docs, "doc_id long, text string", files=4))
+    block = F.pmod(F.xxhash64("row_no"), F.lit(16)).cast("int")
+    got = collections.defaultdict(collections.Counter)
+    for r in substrings.passages(substrings.stretches(rows), block).collect():
+        w = bytes(r.words).split()
+        got[r.block].update(tuple(w[k : k + W]) for k in range(len(w) - W + 1))
+    there, seen = collections.defaultdict(collections.Counter), collections.Counter()
+    for r in rows.withColumn("block", block).collect():
+        w = r.text.encode().split()
+        own = [tuple(w[k : k + W]) for k in range(len(w) - W + 1)]
+        seen.update(own)
+        there[r.block].update(own)
+    want = {b: x for b, s in there.items() if (x := {k for k in s if seen[k] > 1})}
+    assert {b: set(c) for b, c in got.items()} == want
+    assert all(n <= (there[b][k] if shards > 1 else 1) for b, c in got.items() for k, n in c.items())
+
+
+def test_keys_that_clash_by_half():
+    keys = np.array([(1, 1), (1, 2), (1, 1), (3, 2), (1, 2)], substrings.KEY)
+    first, same = substrings.distinct_keys(keys)
+    assert first.tolist() == [0, 1, 3] and same.tolist() == [0, 1, 0, 2, 1]
+
+
+def test_words_that_stay_are_joined_by_one_space():
+    draw = random.Random(7)
+    texts = ["", " \n", *("".join(draw.choice(["a", "bü", " ", "\t\n"]) for _ in range(draw.randint(0, 30))) for _ in range(50))]
+    some = substrings.Texts.of([t.encode() for t in texts])
+    gone = np.array([draw.random() < 0.5 for _ in some.starts], bool)
+    flags = iter(gone.tolist())
+    assert substrings.kept(some, gone) == [b" ".join([w for w in t.encode().split() if not next(flags)]) for t in texts]
